@@ -42,4 +42,4 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def total_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the plan (file sizes for a scan); no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
