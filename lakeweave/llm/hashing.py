@@ -96,6 +96,17 @@ def union_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np
     return doc[first], start[first], far[last] - doc[first] * lift
 
 
+def key_words(table: pa.Table) -> np.ndarray:
+    """The 16-byte keys of a block's texts, as two words each."""
+    return np.frombuffer(b"".join(table.column("key").to_pylist()), np.uint64)
+
+
+def block_number(table: pa.Table) -> int:
+    """A block's number, from what is in it: a task that runs again gives the same."""
+    keys = key_words(table)
+    return int(mix(np.array([keys.sum() + np.uint64(len(keys))], np.uint64))[0] >> np.uint64(1))
+
+
 # --- the exchange -----------------------------------------------------------------
 
 REQUEST_SCHEMA = "dest int, block long, own boolean, payload binary"
@@ -151,6 +162,7 @@ def _answered(listed: DataFrame, counts: bool) -> DataFrame:
 
     def run(tables: pa.Table) -> pa.Table:
         own = tables.column("own").to_pylist()
+        dest = np.uint64(tables.column("dest")[0].as_py())
         block = tables.column("block").to_pylist()
         blobs = tables.column("payload").to_pylist()
         out = [(b, True, p) for b, o, p in zip(block, own, blobs) if o]
@@ -183,25 +195,28 @@ def _answered(listed: DataFrame, counts: bool) -> DataFrame:
             by = np.argsort(src[hits], kind="stable")
             hits, code = hits[by], code[by].astype(np.uint32)
             cut = np.searchsorted(src[hits], np.arange(len(names) + 1))
-            out += [(names[i], False, pack(place[hits[cut[i] : cut[i + 1]]], code[cut[i] : cut[i + 1]])) for i in range(len(names)) if cut[i] < cut[i + 1]]
+            name = (key[hits] & np.uint64(0xFFFFFFFF)) | (dest << np.uint64(32))
+            for i, b in enumerate(names):
+                at = slice(cut[i], cut[i + 1])
+                if cut[i] < cut[i + 1]:
+                    out.append((b, False, pack(place[hits[at]], code[at], name[at]) if counts else pack(place[hits[at]], code[at])))
         return pa.table([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.bool_()), pa.array([r[2] for r in out], pa.binary())], names=["block", "own", "payload"])
 
     return listed.groupBy("dest").applyInArrow(run, schema)
 
 
-def read_answers(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Of one block's rows: its own arrays, and the answered (place, code), sorted by place."""
-    own, place, code = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+def read_answers(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Of one block's rows: its own arrays, and the answered (place, code, name), sorted by place."""
+    own, told = [], [(np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint64))]
     for is_own, p in zip(table.column("own").to_pylist(), table.column("payload").to_pylist()):
         arrays = unpack(p)
         if is_own:
             own = arrays
         else:
-            place.append(arrays[0])
-            code.append(arrays[1])
-    place, code = np.concatenate(place), np.concatenate(code)
+            told.append((*arrays, np.zeros(0, np.uint64))[:3])
+    place, code, name = (np.concatenate(x) for x in zip(*told))
     o = np.argsort(place, kind="stable")
-    return own, place[o], code[o]
+    return own, place[o], code[o], name[o] if len(name) else name
 
 
 def in_blocks(batches: Iterator[pa.RecordBatch], text: str, chars: int) -> Iterator[pa.Table]:

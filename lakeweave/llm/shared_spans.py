@@ -53,16 +53,6 @@ def _cover_positions(length: np.ndarray, window: int) -> tuple[np.ndarray, np.nd
     return doc[ok], pos[ok]
 
 
-def _keys(table: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column("key").to_pylist()), np.uint64)
-
-
-def _number(block: pa.Table) -> int:
-    """A block's number, from what is in it: a task that runs again gives the same."""
-    keys = _keys(block)
-    return int(H.mix(np.array([keys.sum() + np.uint64(len(keys))], np.uint64))[0] >> np.uint64(1))
-
-
 def _anchors(table: pa.Table, span: int, n_dest: int) -> pa.RecordBatch:
     window = span - PERIOD + 1
     b = H.Block(table.column("text").to_pylist())
@@ -88,15 +78,15 @@ def _anchors(table: pa.Table, span: int, n_dest: int) -> pa.RecordBatch:
     is_last = np.zeros(len(order), bool)
     is_last[last] = True
     listed = np.sort(order[~several | is_first | (is_last & around_differ[group])])
-    own = pack(_keys(table), b.len, listed.astype(np.uint32), known.astype(np.uint32), known_code)
-    return H.requests(_number(table), own, h[listed], (around[listed] >> np.uint64(32)).astype(np.uint32), n_dest)
+    own = pack(H.key_words(table), b.len, listed.astype(np.uint32), known.astype(np.uint32), known_code)
+    return H.requests(H.block_number(table), own, h[listed], (around[listed] >> np.uint64(32)).astype(np.uint32), n_dest)
 
 
 def _anchor_answers(span: int):
     window = span - PERIOD + 1
 
     def run(table: pa.Table) -> pa.Table:
-        (keys, length, listed, known, known_code), place, code = H.read_answers(table)
+        (keys, length, listed, known, known_code), place, code, _ = H.read_answers(table)
         doc, pos = _cover_positions(length, window)
         index = np.concatenate([known.astype(np.int64), listed[place].astype(np.int64)])
         code = np.concatenate([known_code.astype(np.int64), code.astype(np.int64)])
@@ -144,13 +134,13 @@ def _extend(table: pa.Table, span: int, n_dest: int) -> pa.RecordBatch:
     # a text that repeats a window lists it several times in one block; that is no other text
     sd, ss, se = H.union_spans(np.concatenate([sure[0][keep], wd[known]]), np.concatenate([sure[1][keep], wp[known]]), np.concatenate([sure[2][keep], wp[known] + span]))
     run = np.cumsum(np.concatenate([[0], n]))
-    own = pack(_keys(table), sd, ss, se, rd, rs, run, listed.astype(np.uint32))
-    return H.requests(_number(table), own, h[listed], None, n_dest)
+    own = pack(H.key_words(table), sd, ss, se, rd, rs, run, listed.astype(np.uint32))
+    return H.requests(H.block_number(table), own, h[listed], None, n_dest)
 
 
 def _extend_answers(span: int):
     def run(table: pa.Table) -> pa.Table:
-        (keys, sd, ss, se, rd, rs, run_at, listed), place, _ = H.read_answers(table)
+        (keys, sd, ss, se, rd, rs, run_at, listed), place, _, _ = H.read_answers(table)
         w = listed[place].astype(np.int64)
         r = np.searchsorted(run_at, w, "right") - 1
         doc, start = rd[r], rs[r] + (w - run_at[r])
