@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeweave.llm import corpus_queries, near_dup_queries, pii_queries, span_queries
+from lakeweave.llm import conversation_queries, corpus_queries, near_dup_queries, pii_queries, span_queries
 
-MODULES = (span_queries, corpus_queries, near_dup_queries, pii_queries)
+MODULES = (span_queries, corpus_queries, conversation_queries, near_dup_queries, pii_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
