@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeweave.plans import drift_queries, nested_queries
+from lakeweave.plans import document_queries, drift_queries, nested_queries
 
-MODULES = (nested_queries, drift_queries)
-FLAGSHIP = "p4_found"
+MODULES = (document_queries, nested_queries, drift_queries)
+FLAGSHIP = "optimize_savings"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
