@@ -113,7 +113,7 @@ def walk(value: object, path: str = "$") -> Iterator[tuple[str, str | None, obje
             stack += [(f"{at}[{i}]", None, v) for i, v in reversed(list(enumerate(node)))]
 
 
-NODE_SCHEMA = "json_path string, member string, kind string, value string"
+NODE_COLUMNS = ("json_path", "member", "kind", "value")
 
 
 def json_nodes(df: DataFrame, text: str, members: tuple[str, ...] | None = None) -> DataFrame:
@@ -122,7 +122,8 @@ def json_nodes(df: DataFrame, text: str, members: tuple[str, ...] | None = None)
     With ``members``, values that are null or objects are left out; a list counts once.
     """
     keep = [f for f in df.schema.fields if f.name != text]
-    schema = T.StructType([*keep, *T._parse_datatype_string(NODE_SCHEMA).fields])
+    named = [T.StructField(f"{f.name}_" if f.name in NODE_COLUMNS else f.name, f.dataType) for f in keep]
+    schema = T.StructType([*named, *(T.StructField(c, T.StringType()) for c in NODE_COLUMNS)])
     wanted = None if members is None else frozenset(members)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
