@@ -223,6 +223,8 @@ def in_blocks(batches: Iterator[pa.RecordBatch], text: str, chars: int) -> Itera
     """The rows of a partition in blocks of about ``chars`` bytes of text, whatever the batches' sizes."""
     held, size = [], 0
     for batch in batches:
+        if not batch.num_rows:
+            continue
         at = 0
         lengths = np.diff(np.frombuffer(batch.column(text).buffers()[1], np.int32, batch.num_rows + 1, 4 * batch.column(text).offset)) if pa.types.is_string(batch.column(text).type) else np.array([len(x.as_py() or "") for x in batch.column(text)])
         ends = np.cumsum(lengths)
@@ -240,6 +242,6 @@ def in_blocks(batches: Iterator[pa.RecordBatch], text: str, chars: int) -> Itera
         yield pa.Table.from_batches(held)
 
 
-def fan_out(df_bytes: int, per_task: int = 64 << 20) -> int:
+def fan_out(df_bytes: int, per_task: int = 32 << 20) -> int:
     """How many comparing tasks for so many bytes of text: they follow the data."""
     return max(16, -(-df_bytes // per_task))

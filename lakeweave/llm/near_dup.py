@@ -252,7 +252,7 @@ def _words(text: str) -> F.Column:
 def alike(df: DataFrame, id_col: str = "result_id", text_col: str = "text", likeness: float = 0.7, words: int = 3, min_words: int = 20) -> tuple[DataFrame, DataFrame]:
     """(id, key) of every record long enough, key naming its text, and the alike pairs of keys."""
     ids, texts = _texts(df, id_col, text_col, min_words)
-    pairs = alike_pairs(texts, likeness, words, min_words, H.fan_out(4 * total_bytes(df)))
+    pairs = alike_pairs(texts, likeness, words, min_words, H.fan_out(total_bytes(df, text_col)))
     return ids, pairs
 
 

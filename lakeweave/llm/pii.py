@@ -10,7 +10,8 @@ each node's belief, so a number that is named as a phone once is one in the sign
 too. Repeats are joined one to the next, so the edges follow the text's length.
 
 What a word looks like is learned: words that follow an introduction ("my name is",
-"Best regards," ...) or a title are taken as names, all others as none, and a softmax
+"Best regards," ...) or a title, or that sign a line beside a known given name, are taken as
+names, all others as none, and a softmax
 over hashed letter groups of the word is fitted on them. It is fitted on ``sample`` texts
 at most, those with the smallest hash of their id; the weights have a fixed size, whatever
 the corpus. Towns that follow a street and a postal code in the sample are kept as a list
@@ -67,7 +68,7 @@ PHONE = re.compile(
     rf"[6-9]\d\d{_S}\d{{3}}{_S}\d{{3}}|[6-9]\d\d(?:{_S}\d\d){{3}}|[6-9]\d{{8}}"
     rf")(?![\w]|[-./]\d)"
 )
-ID_VALUE = re.compile(r"(?<![\w+#])(?=[^\n]*\d)(?:(?!(?:ID|NR|NO|Nr|No)\b)[A-Z]{1,3}[ -]?|[a-z]{1,3}(?=[\d-]))?\d[\dA-Za-z]*(?:[ ./-]{1,1}(?=[\dA-Za-z]*\d|[A-Za-z](?![\w]))[\dA-Za-z]+)*(?!\w)")
+ID_VALUE = re.compile(r"(?<![\w+#])(?:[A-Za-z]{2} ?\d\d ?\d\d ?\d\d ?[A-Da-d](?!\w)|(?=[^\n]*\d)(?:(?!(?:ID|NR|NO|Nr|No)\b)[A-Z]{1,3}[ -]?|[a-z]{1,3}(?=[\d-]))?\d[\dA-Za-z]*(?:[ ./-]{1,1}(?=[\dA-Za-z]*\d|[A-Za-z](?![\w]))[\dA-Za-z]+)*(?!\w))")
 ID_BEFORE = re.compile(rf"(?i)\b(?:{ID_WORDS})\b(?P<gap>[^\n\d.;!?]{{0,28}}(?:n[°ºo]\.? ?|nr\.? ?|no\.? ?|num\.? ?)?[^\n\d;!?]{{0,6}})$")
 ID_AT = re.compile(rf"(?i)(?<!\w)(?:{ID_WORDS})(?!\w)")
 ID_SHAPES = re.compile(
@@ -111,8 +112,12 @@ GAP_INITIAL = re.compile(r"^\.?(?:[  ]|&nbsp;|&#160;){0,2}$")
 GAP_COMMA = re.compile(r"^,(?:[  ]|&nbsp;|&#160;){1,2}$")
 GAP_TITLE = re.compile(r"^\.?(?:[  ]|&nbsp;|&#160;){1,2}$")
 INTRO = re.compile(rf"(?i)(?<!\w)(?:{INTRODUCTIONS})\s")
+TITLE = re.compile(r"(?<!\w)(?=(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra)\b\.? )")
+LINE = re.compile(r"(?m)^[> ]*(?=[^\W\d_][\w'’-]+,? (?:[^\W\d_]\. )?[^\W\d_][\w'’-]+ *$)")
 BITS = 15
 NONE, GIVEN, FAMILY = 0, 1, 2
+#: What a word of which nothing is known is worth as none.
+PRIOR = 2.0
 
 
 def grams(word: str) -> list[int]:
@@ -183,6 +188,8 @@ class Model:
             score = self.weights[grams(parts[0])].sum(0)
             for p in parts[1:]:
                 score = np.minimum(score, self.weights[grams(p)].sum(0)) if len(p) > 2 else score
+            # letters that say nothing leave it at the prior
+            score = score + np.array([PRIOR * np.exp(score.min() - score.max()), 0.0, 0.0])
             score = np.clip(score - score.max(), -8, 0)
             score[GIVEN] = max(score[GIVEN], -1.0) if word.casefold() in self.given else score[GIVEN]
             got = self.cache[word] = tuple(float(x) for x in score)
@@ -222,6 +229,12 @@ def fit(texts: list[str], given_names: list[str], rounds: int = 120) -> Model:
         for m in INTRO.finditer(t):
             for w, label in _name_after(t, m.end(), given):
                 (lower if w.islower() else named)[(w.casefold(), label)] += 1
+        for m in TITLE.finditer(t):
+            named.update((w.casefold(), label) for w, label in _name_after(t, m.end(), given) if not w.islower())
+        for m in LINE.finditer(t):  # a signature: two words alone on a line, one of them a known given name
+            pair = _name_after(t, m.end(), given)
+            if any(w.casefold() in given and label == GIVEN for w, label in pair):
+                named.update((w.casefold(), label) for w, label in pair)
         for start, end in _streets(t):
             m = AFTER_CODE.match(t, end) or TOWN_ONLY.match(t, end)
             if m and (m.end() == len(t) or t[m.end()] in ",.\r\n[<" or CODE_LAST.match(t, m.end())):
@@ -510,8 +523,8 @@ def mask(text: str | None, found: list[tuple[str, int, int]]) -> str | None:
 
 
 def train(df: DataFrame, given_names: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` texts that hold an introduction, those with the least hash of their id."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(rf"(?i)(?<!\w)(?:{INTRODUCTIONS})\s") & (F.length("text") < 4000))
+    """A model from at most ``sample`` texts that hold an introduction or a title, those with the least hash of their id."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(rf"(?i)(?<!\w)(?:{INTRODUCTIONS})\s") | F.col("text").rlike(TITLE.pattern)).filter(F.length("text") < 4000)
     rows = rows.orderBy(F.xxhash64("id"), "text").limit(sample).select("text")
     names = [r[0] for r in given_names.select("given_name").limit(100_000).collect()]
     return fit([r[0] for r in rows.collect()], names)

@@ -159,7 +159,7 @@ def shared_spans(df: DataFrame, id_col: str = "result_id", text_col: str = "text
     # the filter on the key stands in both uses of the texts, so that one exchange serves both
     rows = rows.withColumn("key", F.unhex(F.md5("text"))).filter(F.col("key").isNotNull())
     ids = rows.groupBy("id").agg(F.max(F.struct("key", F.length("text").alias("n_chars"))).alias("t")).select("id", "t.*")
-    n_dest = H.fan_out(4 * total_bytes(df))
+    n_dest = H.fan_out(total_bytes(df, text_col))
     texts = rows.groupBy("key").agg(F.first("text").alias("text"))
 
     def list_anchors(batches):

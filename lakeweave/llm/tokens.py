@@ -210,7 +210,8 @@ class Counter:
 
     def count(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(tokens, viterbi) of each text."""
-        pieces = [self.cut.findall(" " + t) if t else [] for t in texts]
+        # the mark for a space counts as one where a text has it
+        pieces = [self.cut.findall(" " + (t.replace(_SPACE, " ") if _SPACE in t else t)) if t else [] for t in texts]
         out = np.zeros(len(texts), np.int64)
         at, held = 0, 0
         fresh: set[str] = set()
