@@ -87,7 +87,22 @@ def chat_history(lines: DataFrame) -> DataFrame:
     return m.select("file", F.row_number().over(W.partitionBy("file").orderBy("run")).alias("message"), "role", "text")
 
 
-PAYLOAD_ITEM = T.StructType.fromDDL("role string, text string, toolUses array<struct<tool_use_id string, tool string, input string>>, toolResults array<struct<tool_use_id string, text string, is_error boolean>>")
+def _items(**fields: T.DataType) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField(k, t) for k, t in fields.items()]))
+
+
+_S, _B = T.StringType(), T.BooleanType()
+#: A message of a payload, with the other spellings of its members.
+PAYLOAD_ITEM = T.StructType(
+    [
+        T.StructField("role", _S),
+        T.StructField("text", _S),
+        T.StructField("toolUses", _items(tool_use_id=_S, tool=_S, input=_S)),
+        T.StructField("toolResults", _items(tool_use_id=_S, text=_S, is_error=_B)),
+        T.StructField("tool_calls", _items(id=_S, name=_S, input=_S)),
+        T.StructField("tool_results", _items(tool_call_id=_S, text=_S, is_error=_B)),
+    ]
+)
 
 
 def payload_rows(transcripts: DataFrame) -> DataFrame:
@@ -98,8 +113,7 @@ def payload_rows(transcripts: DataFrame) -> DataFrame:
 
 def parse_payload(rows: DataFrame) -> DataFrame:
     """The inverse of :func:`payload_rows`, and of other spellings of the same members."""
-    more = T.StructType([*PAYLOAD_ITEM.fields, T.StructField("tool_calls", T.ArrayType(T.StructType.fromDDL("id string, name string, input string"))), T.StructField("tool_results", T.ArrayType(T.StructType.fromDDL("tool_call_id string, text string, is_error boolean")))])
-    p = rows.select("transcript_id", "message_index", F.from_json("item", more).alias("m"))
+    p = rows.select("transcript_id", "message_index", F.from_json("item", PAYLOAD_ITEM).alias("m"))
     uses = F.coalesce("m.toolUses", F.transform("m.tool_calls", lambda u: F.struct(u["id"].alias("tool_use_id"), u["name"].alias("tool"), u["input"].alias("input"))))
     results = F.coalesce("m.toolResults", F.transform("m.tool_results", lambda r: F.struct(r["tool_call_id"].alias("tool_use_id"), r["text"].alias("text"), r["is_error"].alias("is_error"))))
     return p.select("transcript_id", "message_index", "m.role", "m.text", uses.alias("toolUses"), results.alias("toolResults"))

@@ -33,3 +33,12 @@ def test_entry_works_without_llm(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(registry.queries()) <= set(entry.queries())
+
+
+def test_entry_is_read_without_a_session():
+    import pathlib
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 0"
+    subprocess.run([sys.executable, "-c", code], cwd=pathlib.Path(__file__).parents[1], check=True)
