@@ -112,6 +112,14 @@ def block_number(table: pa.Table) -> int:
 REQUEST_SCHEMA = "dest int, block long, own boolean, payload binary"
 
 
+def _bytes(gaps: np.ndarray) -> np.ndarray:
+    """Gaps as bytes: 255 goes on to the next byte, anything else ends the gap."""
+    whole = gaps // 255
+    out = np.full(int(whole.sum()) + len(gaps), 255, np.uint8)
+    out[np.cumsum(whole + 1) - 1] = gaps % 255
+    return out
+
+
 def requests(block: int, own: bytes, hashes: np.ndarray, extra: np.ndarray | None, n_dest: int) -> pa.RecordBatch:
     """Rows that carry a block's listed hashes to the tasks that compare them.
 
@@ -127,8 +135,7 @@ def requests(block: int, own: bytes, hashes: np.ndarray, extra: np.ndarray | Non
         at = o[cut[d] : cut[d + 1]]
         if not len(at):
             continue
-        gap = np.diff(at, prepend=0)
-        gap = gap.astype(np.uint8 if gap.max() < 1 << 8 else np.uint16 if gap.max() < 1 << 16 else np.uint32)
+        gap = _bytes(np.diff(at, prepend=0))
         h = hashes[at]
         dests.append(d)
         blobs.append(pack(gap, h, np.zeros(0, np.uint32)) if extra is None else pack(gap, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), extra[at]))
@@ -171,7 +178,7 @@ def _answered(listed: DataFrame, counts: bool) -> DataFrame:
             if o:
                 continue
             gap, h, x = unpack(p)
-            place.append(np.cumsum(gap, dtype=np.int64))
+            place.append(np.cumsum(gap, dtype=np.int64)[gap < 255])
             key.append(h.astype(np.uint64))
             extra.append(x)
             src.append(np.full(len(h), len(names), np.int32))
@@ -242,6 +249,6 @@ def in_blocks(batches: Iterator[pa.RecordBatch], text: str, chars: int) -> Itera
         yield pa.Table.from_batches(held)
 
 
-def fan_out(df_bytes: int, per_task: int = 32 << 20) -> int:
+def fan_out(df_bytes: int, per_task: int = 8 << 20) -> int:
     """How many comparing tasks for so many bytes of text: they follow the data."""
     return max(16, -(-df_bytes // per_task))
