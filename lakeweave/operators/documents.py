@@ -145,10 +145,10 @@ def bm25(df: DataFrame, question: str, k1: float = 1.5, b: float = 0.75) -> Data
     q = _query(question)
     t = filled(df).select("doc_id", X.words(F.col("text")).alias("ws"))
     t = t.select("doc_id", F.size("ws").alias("len"), F.filter("ws", lambda w: F.array_contains(q, w)).alias("hits"))
-    totals = t.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    n, avg_len = t.agg(F.count("*")).scalar(), t.agg(F.avg("len")).scalar()
     tf = t.select("doc_id", "len", F.explode("hits").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("f"))
     df_ = tf.groupBy("term").agg(F.count("*").alias("df"))
-    s = tf.join(F.broadcast(df_), "term").join(F.broadcast(totals))  # a row per term of the question, and one row
+    s = tf.join(F.broadcast(df_), "term").withColumn("n", n).withColumn("avg_len", avg_len)  # df_ has a row per term of the question
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     return s.groupBy("doc_id").agg(F.round(F.sum(part), 6).alias("score"))

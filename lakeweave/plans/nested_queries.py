@@ -67,3 +67,9 @@ SQL = {
     "p4_tool_uses": _elements("toolUses", "call_pos", "e.tool_use_id AS tool_use_id, e.tool AS tool, e.input AS input"),
     "p4_tool_results": _elements("toolResults", "result_pos", "e.tool_use_id AS tool_use_id, e.text AS text, e.is_error AS is_error"),
 }
+_USES = f"""u AS ({SQL["p4_tool_uses"]}),
+j AS (SELECT *, CASE WHEN json_valid(input) THEN CASE WHEN json_type(input) = 'VARCHAR' THEN json_extract_string(input, '$') ELSE input END END AS d FROM u),
+o AS (SELECT * FROM j WHERE CASE WHEN json_valid(d) THEN json_type(d) = 'OBJECT' ELSE false END),
+n AS (SELECT o.*, k.fullkey AS json_path, k.key AS member, k.type AS t, k.atom FROM o, json_tree(o.d) AS k)"""
+_WANTED = "member IN ('command', 'file_path', 'pattern') AND t NOT IN ('NULL', 'OBJECT')"
+SQL["p4_found"] = f"WITH {_USES} SELECT DISTINCT transcript_id, message_index, call_pos, json_path FROM n WHERE {_WANTED}"
