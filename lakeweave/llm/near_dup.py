@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 
 from lakeweave.functions.arrow import pack
 from lakeweave.llm import hashing as H
-from lakeweave.sources.tables import materialize, total_bytes
+from lakeweave.sources.tables import discard, materialize, total_bytes
 
-BANDS = 20
+BANDS = 32
 BITS_PER_BAND = 2.5
 SEGMENTS = 32
 CROWD = 32
@@ -262,7 +262,6 @@ def expand(df: DataFrame, id_col: str = "result_id", text_col: str = "text", lik
     Its size is that of the result asked for; :func:`alike_groups` says the same in one row a record.
     """
     ids, pairs = alike(df, id_col, text_col, likeness, words, min_words)
-    pairs = materialize(pairs, "alike-pairs")
     a, b = ids.select(F.col("key").alias("key_a"), F.col("id").alias("x")), ids.select(F.col("key").alias("key_b"), F.col("id").alias("y"))
     between = pairs.join(a, "key_a").join(b, "key_b").select("x", "y")
     long_enough = df.select(F.unhex(F.md5(text_col)).alias("key"), F.col(text_col).alias("text"))
@@ -284,16 +283,18 @@ def alike_groups(df: DataFrame, id_col: str = "result_id", text_col: str = "text
     links = materialize(links.unionByName(links.select(F.col("other").alias("key"), F.col("key").alias("other"))), "alike-links")
     per_key = ids.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("n_copies"))
     label = materialize(per_key.join(links.groupBy("key").agg(F.count("*").alias("n_links")), "key", "left").select("key", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("first_id").alias("class_id")).filter("n_links > 0 or n_copies > 1"), "alike-label")
-    while True:
+    moved = True
+    while moved:
         # the least label of a record and its neighbours, then the label's own label: paths halve each round
         near = links.join(label.select(F.col("key").alias("other"), F.col("class_id").alias("c")), "other").groupBy("key").agg(F.min("c").alias("c"))
         new = label.join(near, "key", "left").select("key", "n_copies", "n_links", F.least("class_id", F.coalesce("c", "class_id")).alias("class_id"), F.col("class_id").alias("was"))
         new = materialize(new, "alike-label")
         jump = new.filter("class_id <> was").groupBy(F.col("was").alias("class_id")).agg(F.min("class_id").alias("to"))
-        moved = new.join(jump, "class_id", "left")
-        label = materialize(moved.select("key", "n_copies", "n_links", F.coalesce("to", "class_id").alias("class_id")), "alike-label")
-        if new.filter("class_id <> was").isEmpty():
-            break
+        after = materialize(new.join(jump, "class_id", "left").select("key", "n_copies", "n_links", F.coalesce("to", "class_id").alias("class_id")), "alike-label")
+        moved = not jump.isEmpty()
+        discard(label)
+        discard(new)
+        label = after
     grown = ids.join(label, "key")
     few = df.select(F.unhex(F.md5(text_col)).alias("key"), F.col(text_col).alias("text")).join(label.filter("n_links = 0").select("key"), "key", "left_semi").filter(_words("text") < min_words).select("key").distinct()
     return grown.join(few, "key", "left_anti").select(F.col("id").alias(id_col), "class_id", "n_copies", "n_links")

@@ -18,4 +18,10 @@ def groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": found, "p6_groups": groups}
-SQL: dict[str, str] = {}
+
+_PAIRS = """t AS (SELECT result_id, list_filter(string_split_regex(replace(max(text), chr(65279), ''), '[ \\t\\r\\n]+'), lambda x: x <> '') AS w FROM results WHERE result_id IS NOT NULL AND text IS NOT NULL GROUP BY result_id),
+sh AS (SELECT result_id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS s FROM t WHERE len(w) >= 20),
+n AS (SELECT result_id, count(*) AS n FROM sh GROUP BY result_id),
+both_hold AS (SELECT a.result_id AS result_a, b.result_id AS result_b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.result_id < b.result_id GROUP BY ALL),
+pairs AS (SELECT result_a, result_b FROM both_hold JOIN n x ON x.result_id = result_a JOIN n y ON y.result_id = result_b WHERE c >= 0.7 * (x.n + y.n - c))"""
+SQL = {"p6_found": f"WITH {_PAIRS} SELECT * FROM pairs"}
