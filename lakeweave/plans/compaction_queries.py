@@ -8,7 +8,7 @@ from lakeweave.functions import fixed, udtf
 from lakeweave.operators import compaction as P
 from lakeweave.operators import documents as D
 from lakeweave.operators import speech, spans
-from lakeweave.plans.document_queries import _CHUNKS, _EDGES, _Q, _T, QUESTION, _s, _words
+from lakeweave.plans.document_queries import _CHUNKS, _EDGES, _Q, _T, QUESTION, _normalized, _s, _words
 from lakeweave.sources.tables import table
 
 MARKERS = ["greenhouse", "Sunday", "no such marker"]
@@ -99,6 +99,13 @@ SQL = {
         SELECT doc_id, sha256(string_agg(piece, chr(10) || chr(10) ORDER BY idx)) AS digest, sum(mark) AS n_markers FROM p GROUP BY doc_id""",
     "marker_coverage": f"""WITH m AS (SELECT doc_id, list_filter(['greenhouse', 'Sunday', 'no such marker'], lambda x: contains(text, x)) AS f, list_filter(['greenhouse', 'Sunday', 'no such marker'], lambda x: NOT contains(text, x)) AS g FROM {_T})
         SELECT doc_id, len(f) AS found, array_to_string(g, ',') AS missing, round(len(f) / 3, 4) AS recall FROM m""",
+    "text_differences": f"WITH n AS (SELECT doc_id, text, {_normalized('text')} AS b FROM {_T}) SELECT CASE WHEN b = '' THEN 'only_left' WHEN text = b THEN 'same' ELSE 'changed' END AS status, count(*) AS n FROM n GROUP BY 1",
+    "speech_signals": f"""WITH t AS (SELECT doc_id, text, list_transform(string_split(text, chr(10)), lambda x: trim(x)) AS ls, len(list_filter(string_split_regex(text, '[ \\t\\r\\n]+'), lambda w: w <> '')) AS n_words,
+        len(regexp_extract_all(text, '(?i)\\b(?:uh+|uhm+|umm+|hmm+|you know|i mean|basically|kinda|literally|so yeah)\\b')) AS hits, greatest(1, len(regexp_extract_all(text, '[.!?]'))) AS stops FROM {_T}),
+        f AS (SELECT *, len(list_distinct(list_filter(list_transform(ls, lambda x: lower(regexp_extract(x, {_s(speech.SPEAKER)}, 1))), lambda x: x <> ''))) AS speakers,
+        len(list_filter(['tipo assim', 'quer dizer,', ' né?', 'you know,', 'basically,', 'literally,', 'thanks for watching', 'subtitles by'], lambda m: contains(lower(text), m))) AS fillers FROM t)
+        SELECT doc_id, len(list_filter(ls, lambda x: regexp_matches(x, {_s(speech.TIMING)}))) > 0 OR regexp_matches(text, {_s(speech.AUDIO_TAG)}) OR regexp_matches(text, {_s(speech.STAMP)}) OR speakers >= 2 OR fillers >= 2 AS speech,
+        (hits >= 3 AND hits * 100 >= n_words * 3) OR (n_words >= 40 AND n_words / stops >= 30 AND NOT contains(text, chr(10))) AS dictated FROM f""",
     "line_range_pointers": f"""WITH r AS (SELECT session_id, result_id, min((message_index, pos)) AS at_pos, regexp_replace(max({_CR}), '\\n+\\z', '') AS t FROM results WHERE session_id IS NOT NULL AND len(text) >= 120 GROUP BY ALL),
         j AS (SELECT a.session_id, a.result_id, b.result_id AS points_to, b.at_pos, strpos(chr(10) || b.t || chr(10), chr(10) || a.t || chr(10)) AS p, a.t AS mine, b.t AS theirs FROM r a JOIN r b ON a.session_id = b.session_id AND a.result_id <> b.result_id AND b.at_pos > a.at_pos
           WHERE contains(chr(10) || b.t || chr(10), chr(10) || a.t || chr(10)) QUALIFY row_number() OVER (PARTITION BY a.session_id, a.result_id ORDER BY b.at_pos, b.result_id) = 1)

@@ -218,6 +218,12 @@ SQL = {
         SELECT doc_id, CASE WHEN n >= 12 AND r[1].n >= 3 AND r[1].n > r[2].n * 1.5 THEN r[1].t END AS voted FROM v""",
     "redaction_counts": f"WITH r AS (SELECT doc_id, {_redacted('text')} AS t FROM {_T}) SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(t, '<{k}>')) AS n_{k.lower()}" for k, _ in fixed.REDACTIONS) + ", sha256(t) AS digest FROM r",
     "instruction_blocks": f"SELECT * FROM (SELECT doc_id, regexp_matches(text, {_s(fixed.INSTRUCTION)}) AS instruction, regexp_matches(text, {_s(fixed.QUOTED_SPEECH)}) AS quoted FROM {_T}) WHERE instruction OR quoted",
+    "content_types": f"""WITH t AS (SELECT regexp_replace(text, '\\A\\s+|\\s+\\z', '', 'g') AS t FROM {_T}), l AS (SELECT t, string_split(t, chr(10)) AS ls FROM t),
+        h AS (SELECT t, len(ls) AS n, len(list_filter(ls, lambda x: regexp_matches(x, '^[ \\t]*\\|?([ \\t]*:?-+:?[ \\t]*\\|)+[ \\t]*:?-+:?[ \\t]*\\|?[ \\t]*$'))) AS d, len(list_filter(ls, lambda x: regexp_matches(x, '^\\s*[A-Za-z0-9_.\\-]+:\\s*\\S?'))) AS y,
+          len(list_filter(ls, lambda x: regexp_matches(x, '^\\s*(\\d{{4}}-\\d{{2}}-\\d{{2}}|\\d{{2}}:\\d{{2}}(:\\d{{2}})?|INFO|DEBUG|WARN|ERROR|TRACE|LOG\\b)'))) AS g,
+          len(list_filter(ls, lambda x: regexp_matches(x, '^\\s*(def |class |function |import |from |const |let |var |fn |func |public |private |if |for |while |return |#include|package |interface )'))) AS c FROM l)
+        SELECT CASE WHEN t = '' THEN 'prose' WHEN regexp_matches(t, '(?m)^\\s*(`{{3,}}|~{{3,}})') THEN 'code' WHEN regexp_matches(t, '^[\\[{{]') THEN 'json' WHEN regexp_matches(t, '^<') AND regexp_matches(t, '<[a-zA-Z][^>]*>') THEN 'xml' WHEN n >= 3 AND d > 0 THEN 'markdown_table'
+          WHEN n >= 2 AND y >= greatest(2, n // 2) THEN 'yaml' WHEN n >= 3 AND g >= 2 THEN 'logs' WHEN n >= 2 AND c > 0 THEN 'code' WHEN regexp_matches(t, '^#') THEN 'markdown' ELSE 'prose' END AS content_type, count(*) AS n FROM h GROUP BY 1""",
     "dictation_signals": f"""WITH t AS (SELECT doc_id, len(regexp_extract_all(text, {_s("(" + fixed.FILLER + ")")})) AS fillers, len(list_filter(string_split_regex(text, '[ \\t\\r\\n]+'), lambda w: w <> '')) AS n_words FROM {_T}),
         p AS (SELECT *, CASE WHEN n_words > 0 THEN round(fillers * 100 / n_words, 4) ELSE 0.0 END AS per_hundred FROM t) SELECT *, fillers >= 3 AND per_hundred >= 3 AS dictated FROM p""",
     "term_sets": f"""WITH t AS (SELECT doc_id, list_distinct({_words("text")}) AS t FROM {_T}), u AS (SELECT doc_id, len(t) AS n_terms, len(list_intersect(t, {_Q})) AS n_both FROM t)

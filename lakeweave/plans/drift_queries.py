@@ -53,4 +53,9 @@ r AS (SELECT file_id, max(CASE WHEN kinds IS NULL THEN field END) AS field, max(
 x AS (SELECT e.file_id, e.field, CASE WHEN r.field IS NOT NULL THEN 'renamed' WHEN old_kinds IS NULL THEN 'added' WHEN kinds IS NULL THEN 'removed' ELSE 'retyped' END AS change, coalesce(r.new_field, '') AS new_field
   FROM e LEFT JOIN r ON r.file_id = e.file_id AND r.field = e.field WHERE NOT EXISTS (SELECT 1 FROM r r2 WHERE r2.file_id = e.file_id AND r2.new_field = e.field)),
 found AS (SELECT * FROM x WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.file_id = x.file_id AND (starts_with(x.field, e.field || '.') OR starts_with(x.field, e.field || '[]'))))"""
-SQL = {"p5_found": f"WITH {_CHANGES} SELECT * FROM found"}
+SQL = {
+    "p5_found": f"WITH {_CHANGES} SELECT * FROM found",
+    "p5_lifespans": f"""WITH {_CHANGES}, s AS (SELECT agent_id AS producer, file_id, row_number() OVER (PARTITION BY agent_id ORDER BY written_at, file_id) AS seq, count(*) OVER (PARTITION BY agent_id) AS n_files FROM session_files),
+        y AS (SELECT s.*, c.field, c.parent, c.kinds, seq - row_number() OVER (PARTITION BY producer, c.field, c.kinds ORDER BY seq) AS island FROM c JOIN s USING (file_id))
+        SELECT producer, field, parent, kinds, min(seq) AS first_seq, max(seq) AS last_seq, arg_min(file_id, seq) AS first_file_id, arg_max(file_id, seq) AS last_file_id, max(n_files) AS n_files FROM y GROUP BY producer, field, parent, kinds, island""",
+}

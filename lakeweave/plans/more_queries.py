@@ -175,6 +175,12 @@ _ONE = "SELECT DISTINCT ON (transcript_id) transcript_id, payload FROM transcrip
 
 SQL = {
     "block_rebuild": "SELECT doc_id, sha256(text) AS digest FROM documents WHERE text <> ''",
+    "sentence_roles": f"""WITH t AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?\\n]+[.!?]*'), lambda s: trim(s)), lambda s: regexp_matches(s, '\\w')) AS ss FROM documents WHERE text IS NOT NULL),
+        r AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS idx, ss[i] AS sentence FROM (SELECT doc_id, ss, unnest(range(1, len(ss) + 1)) AS i FROM t)),
+        x AS (SELECT *, CASE WHEN sentence LIKE '%?' THEN 'ask' WHEN regexp_matches(sentence, '{G.RULE.replace("'", "''")}') THEN 'constraint' WHEN regexp_matches(sentence, '{G.ASK.replace("'", "''")}') THEN 'ask' ELSE 'context' END AS role,
+          list_distinct(list_transform(regexp_extract_all(lower(sentence), '\\p{{L}}{{4,}}'), lambda w: w[:5])) AS stems FROM r),
+        y AS (SELECT *, lag(stems) OVER (PARTITION BY doc_id ORDER BY idx) AS before FROM x)
+        SELECT doc_id, idx, sentence, role, sum(CASE WHEN before IS NULL OR regexp_matches(sentence, '{G.SHIFT.replace("'", "''")}') OR NOT list_has_any(stems, before) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY idx) AS topic FROM y""",
     "merge_spans": f"""WITH {_LT}, s AS (SELECT doc_id, char_start AS a, char_start + len(line) + 1 AS b FROM lt1 WHERE regexp_matches(line, '^[A-Z]')),
         n AS (SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM s), i AS (SELECT *, sum(CASE WHEN far IS NULL OR a > far THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a, b) AS g FROM n)
         SELECT doc_id, min(a) AS span_start, max(b) AS span_end, count(*) AS n FROM i GROUP BY doc_id, g""",

@@ -73,3 +73,7 @@ o AS (SELECT * FROM j WHERE CASE WHEN json_valid(d) THEN json_type(d) = 'OBJECT'
 n AS (SELECT o.*, k.fullkey AS json_path, k.key AS member, k.type AS t, k.atom FROM o, json_tree(o.d) AS k)"""
 _WANTED = "member IN ('command', 'file_path', 'pattern') AND t NOT IN ('NULL', 'OBJECT')"
 SQL["p4_found"] = f"WITH {_USES} SELECT DISTINCT transcript_id, message_index, call_pos, json_path FROM n WHERE {_WANTED}"
+SQL["p4_input_schema"] = (
+    f"WITH {_USES}, k AS (SELECT regexp_replace(json_path, '\\[[0-9]+\\]', '[]', 'g') AS field, CASE t WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind FROM n) "
+    "SELECT field, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, count(*) AS n_values FROM k GROUP BY field"
+)
