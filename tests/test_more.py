@@ -197,3 +197,35 @@ def test_streams(spark, tmp_path):
     assert {(r.event_type, r.window_start.hour, r.window_start.minute, r.n) for r in w.collect()} == {("a", 0, 0, 3), ("a", 23, 30, 3), ("a", 5, 0, 1), ("a", 4, 30, 1), ("b", 0, 0, 1), ("b", 23, 30, 1)}
     shown = live.run(live.sticky(stream(), "user_id", "event_type"), "append").collect()
     assert sorted((r.user_id, r.event_type, r.nth) for r in shown) == [(1, "a", 1), (1, "a", 2), (2, "b", 1)]
+
+
+def test_relating(spark):
+    from lakeweave.operators import relating
+
+    text = "see https://a.b/c?d and src/app/main.py:35 or setup.py, not ab"
+    got = spark.createDataFrame([(text,)], "t string").select(relating.refs(F.col("t"))).first()[0]
+    assert got == ["https://a.b/c?d", "/a.b/c", "src/app/main.py", "main.py", "setup.py"]
+    stream = spark.createDataFrame([("s", "a", 1, "read", "src/app/main.py"), ("s", "b", 2, "edit", "src/app/main.py"), ("s", "c", 3, "edit", "src/app/other.py"), ("s", "d", 4, "read", None), ("t", "e", 1, "read", "main.py")], "session_id string, call_id string, seq int, tool string, path string")
+    texts = spark.createDataFrame([("s", text), ("t", None), (None, text)], "session_id string, text string")
+    assert {tuple(r) for r in relating.named_calls(stream, texts).collect()} == {("s", "src/app/main.py", "b", 2), ("s", "main.py", "b", 2)}
+    assert {(r.call_id, r.writes_same, r.writes_near) for r in relating.later_writes(stream).collect()} == {("a", 1, 2), ("e", 0, 0)}
+    pairs = spark.createDataFrame([("a\nb\nc", "a\nb\nx\ny"), ("a", "a\nb"), ("", "q"), ("p\nq", "p\nq")], "old string, new string")
+    assert [r[0] for r in pairs.select(relating.stable_prefix(pairs, "old", "new")).collect()] == [2, 1, 0, 2]
+    lines = spark.createDataFrame([("",), (None,), ("{",), ("1",), ('{"a":1}',), ('{"type":"t"}',)], "line string")
+    assert {r.reason: r.n for r in relating.line_reasons(lines).collect()} == {"blank": 2, "not_json": 1, "not_object": 1, "no_type": 1, "ok": 1}
+    f = spark.createDataFrame([("Réparé ÉTÉ ﬁn",), (None,)], "t string").select(relating.fold("t")).collect()
+    assert [r[0] for r in f] == ["repare ete fin", None]
+
+
+def test_trims():
+    from lakeweave.operators.relating import trimmed
+
+    prose = "word " * 300
+    assert trimmed(prose, 400, "prose") == prose[:399] and trimmed("word " * 100, 400, "prose") is None
+    assert trimmed(prose + "unless it rains", 400, "prose") is None and trimmed("a " * 180 + "but " + "b " * 400, 365, "prose") is None
+    table = "| a | b |\n|---|---|\n" + "| 1 | 2 |\n" * 200
+    assert trimmed(table, 400, "markdown_table").count("\n| 1") >= 30 and trimmed(table, 400, "markdown_table").startswith("| a | b |\n|---")
+    logs = "".join(f"2025-01-01 INFO line {i}\n" for i in range(200))
+    out = trimmed(logs, 600, "logs")
+    assert out.startswith("2025-01-01 INFO line 0\n") and out.endswith("line 199\n") and len(out) < 700
+    assert trimmed('{"a": [' + "1,\n" * 500 + "1]}", 400, "json") is None
