@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from lakeweave.functions.arrow import map_arrow
 from lakeweave.operators.nested import kind_of
+from lakeweave.sources.tables import materialize
 
 FIELD_SCHEMA = "file_id bigint, field string, parent string, ancestors array<string>, kind string"
 
@@ -111,13 +112,15 @@ def lifespans(catalogue: DataFrame, numbered: DataFrame) -> DataFrame:
 def changes(catalogue: DataFrame, numbered: DataFrame) -> DataFrame:
     """(file_id, field, change, new_field, kinds, old_kinds): every file against the one before it."""
     spans = lifespans(catalogue, numbered)
-    start = spans.filter("first_seq > 1").select("producer", "field", "parent", "ancestors", "kinds", F.col("first_seq").alias("seq"), F.lit(1).alias("side"))
-    end = spans.filter("last_seq < n_files").select("producer", "field", "parent", "ancestors", "kinds", (F.col("last_seq") + 1).alias("seq"), F.lit(0).alias("side"))
+    at = lambda when, seq, side: F.when(when, F.struct(seq.cast("int").alias("seq"), F.lit(side).alias("side")))
+    sides = F.array(at(F.col("first_seq") > 1, F.col("first_seq"), 1), at(F.col("last_seq") < F.col("n_files"), F.col("last_seq") + 1, 0))
+    told = spans.select("producer", "field", "parent", "ancestors", "kinds", F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("e")).select("producer", "field", "parent", "ancestors", "kinds", "e.*")
     # a run that ends where another run of the same field starts has only changed its kinds
     pick = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
-    events = start.unionByName(end).groupBy("producer", "seq", "field", "parent", "ancestors").agg(pick(0, "kinds").alias("old_kinds"), pick(1, "kinds").alias("kinds"))
+    events = told.groupBy("producer", "seq", "field", "parent", "ancestors").agg(pick(0, "kinds").alias("old_kinds"), pick(1, "kinds").alias("kinds"))
     what = F.when(F.col("old_kinds").isNull(), "added").when(F.col("kinds").isNull(), "removed").otherwise("retyped")
-    events = events.withColumn("change", what)
+    # what changed is little; it is written once and read by each of the steps below
+    events = materialize(events.withColumn("change", what), "drift-events")
     # one gone and one come with the same kinds under one parent: renamed
     pairs = (
         events.filter("change <> 'retyped'")
