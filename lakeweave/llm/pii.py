@@ -118,6 +118,8 @@ BITS = 15
 NONE, GIVEN, FAMILY = 0, 1, 2
 #: What a word of which nothing is known is worth as none.
 PRIOR = 2.0
+#: Below these a word is not looked at as part of a name.
+GIVEN_LEAST, FAMILY_LEAST = -3.0, -4.5
 
 
 def grams(word: str) -> list[int]:
@@ -406,16 +408,14 @@ def finds(text: str | None, model: Model) -> list[tuple[str, int, int]]:
     # words that may be part of a name, and what stands beside them
     words = list(WORD.finditer(text))
     looks = [model.word(m.group()) for m in words]
-    maybe = [x[FAMILY] > -4.5 or x[GIVEN] > -3.0 for x in looks]
-    strong = [x[FAMILY] > -4.5 for x in looks]
+    likely = [i for i, x in enumerate(looks) if (x[FAMILY] > FAMILY_LEAST or x[GIVEN] > GIVEN_LEAST) and len(words[i].group()) > 1 and words[i].group().casefold() not in TITLES]
     names: dict[int, int] = {}
-    if any(strong):
-        near = set()
-        for i, s in enumerate(strong):
-            if s:
-                near.update(range(max(0, i - 3), min(len(words), i + 4)))
-        for i in sorted(near):
-            if maybe[i] and len(words[i].group()) > 1 and words[i].group().casefold() not in TITLES:
+    parts = _name_parts(text, words, looks, likely)
+    if parts:
+        # every other place where such a word stands is a node too
+        held = {words[i].group().casefold() for i in parts}
+        for i in likely:
+            if i in parts or words[i].group().casefold() in held:
                 p = np.array(looks[i])
                 w = words[i].group()
                 if w.islower():
@@ -468,6 +468,21 @@ def finds(text: str | None, model: Model) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda x: (x[1], x[2]))
 
 
+def _name_parts(text: str, words: list, looks: list, likely: list[int]) -> set[int]:
+    """Words that stand so that they may make a name: a given and a family name side by side, or a family name after a title."""
+    out: set[int] = set()
+    ready = set(likely)
+    for i in likely:
+        g, f = looks[i][GIVEN] > GIVEN_LEAST, looks[i][FAMILY] > FAMILY_LEAST
+        if i + 1 in ready or i + 1 < len(words) and len(words[i + 1].group()) == 1:
+            j = _next(text, words, i)
+            if j and j[0] in ready and (g and looks[j[0]][FAMILY] > FAMILY_LEAST or f and looks[j[0]][GIVEN] > GIVEN_LEAST):
+                out.update((i, j[0]))
+        if f and _titled(text, words, i):
+            out.add(i)
+    return out
+
+
 def _follows(linked, label, i: int) -> bool:
     j = linked.get(i)
     return bool(j and not j[1] and label.get(j[0]) == FAMILY)
