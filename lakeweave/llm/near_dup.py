@@ -256,20 +256,28 @@ def alike(df: DataFrame, id_col: str = "result_id", text_col: str = "text", like
     return ids, pairs
 
 
-def expand(df: DataFrame, id_col: str = "result_id", text_col: str = "text", likeness: float = 0.7, words: int = 3, min_words: int = 20) -> DataFrame:
+def expand(df: DataFrame, id_col: str = "result_id", text_col: str = "text", likeness: float = 0.7, words: int = 3, min_words: int = 20, copies_in_full: int = 2000) -> DataFrame:
     """(id_a, id_b), id_a < id_b: every pair of records that are alike, copies of one text too.
 
-    Its size is that of the result asked for; :func:`alike_groups` says the same in one row a record.
+    Its size is that of the result asked for; :func:`alike_groups` says the same in one row a
+    record. Only a text with more than ``copies_in_full`` copies is told by its least id: that id
+    has the text's pairs with other texts, and a pair with each copy, in place of all pairs
+    among the copies. No link between different texts is lost.
     """
     ids, pairs = alike(df, id_col, text_col, likeness, words, min_words)
-    a, b = ids.select(F.col("key").alias("key_a"), F.col("id").alias("x")), ids.select(F.col("key").alias("key_b"), F.col("id").alias("y"))
+    size = ids.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1")
+    ids = ids.join(size, "key", "left")
+    small = F.coalesce(F.col("n"), F.lit(1)) <= copies_in_full
+    told = ids.filter(small | (F.col("id") == F.col("first")))
+    a, b = told.select(F.col("key").alias("key_a"), F.col("id").alias("x")), told.select(F.col("key").alias("key_b"), F.col("id").alias("y"))
     between = pairs.join(a, "key_a").join(b, "key_b").select("x", "y")
     long_enough = df.select(F.unhex(F.md5(text_col)).alias("key"), F.col(text_col).alias("text"))
-    twice = ids.groupBy("key").agg(F.min("id").alias("m"), F.max("id").alias("n")).filter("m <> n").select("key")
-    twice = long_enough.join(twice, "key", "left_semi").filter(_words("text") >= min_words).select("key").distinct()
-    mine = ids.join(twice, "key", "left_semi")
-    copies = mine.select("key", F.col("id").alias("x")).join(mine.select("key", F.col("id").alias("y")), "key").filter("x < y").select("x", "y")
-    return between.unionByName(copies).select(F.least("x", "y").alias(f"{id_col}_a"), F.greatest("x", "y").alias(f"{id_col}_b"))
+    twice = long_enough.join(size.select("key"), "key", "left_semi").filter(_words("text") >= min_words).select("key").distinct()
+    mine = ids.filter("n > 1").join(twice, "key", "left_semi")
+    few = mine.filter(small)
+    copies = few.select("key", F.col("id").alias("x")).join(few.select("key", F.col("id").alias("y")), "key").filter("x < y").select("x", "y")
+    many = mine.filter(~small & (F.col("id") != F.col("first"))).select(F.col("first").alias("x"), F.col("id").alias("y"))
+    return between.unionByName(copies).unionByName(many).select(F.least("x", "y").alias(f"{id_col}_a"), F.greatest("x", "y").alias(f"{id_col}_b"))
 
 
 def alike_groups(df: DataFrame, id_col: str = "result_id", text_col: str = "text", likeness: float = 0.7, words: int = 3, min_words: int = 20) -> DataFrame:

@@ -75,6 +75,15 @@ def test_crowded_cells(spark):
     assert rnd
 
 
+def test_very_many_copies_are_told_by_one(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, text) for i in range(30)] + [(100, text + " more"), (101, text + " more")]
+    full = {tuple(r) for r in N.expand(frame(spark, rows)).collect()}
+    assert full == brute(rows)
+    got = {tuple(r) for r in N.expand(frame(spark, rows), copies_in_full=10).collect()}
+    assert got == {(0, i) for i in range(1, 30)} | {(0, 100), (0, 101), (100, 101)}
+
+
 def test_empty_table(spark):
     assert N.expand(frame(spark, [])).count() == 0
     assert N.alike_groups(frame(spark, [])).count() == 0
