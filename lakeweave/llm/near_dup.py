@@ -41,7 +41,7 @@ from lakeweave.sources.tables import discard, materialize, total_bytes
 
 BANDS = 32
 BITS_PER_BAND = 2.5
-SEGMENTS = 32
+SEGMENTS = 64
 CROWD = 32
 BLOCK_CHARS = 4_000_000
 
