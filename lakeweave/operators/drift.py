@@ -15,6 +15,8 @@ of equal time are ordered by id, and a producer's first file has no changes.
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -145,13 +147,77 @@ def changes(catalogue: DataFrame, numbered: DataFrame) -> DataFrame:
     return top.join(numbered, ["producer", "seq"]).select("producer", "file_id", "field", "change", F.coalesce("new_field", F.lit("")).alias("new_field"), "old_kinds", "kinds")
 
 
+def _pieces(path: str) -> list[str]:
+    """A field's path cut before every '.' and '[]'."""
+    ends = [m.start() for m in re.finditer(r"\.|\[\]", path)]
+    return [path[i:j] for i, j in zip([0, *ends], [*ends, len(path)])]
+
+
+def canonical_name(path: str, names: dict[str, str]) -> str:
+    """The path with every renamed field on it, itself or one above it, under its canonical name."""
+    out = ""
+    for piece in _pieces(path):
+        out = names.get(out + piece, out + piece)
+    return out
+
+
+def canonical_names(renames: Iterable[tuple[str, str, int]]) -> dict[str, str]:
+    """name -> canonical from (old, new, how often): names joined by renames, directly or not, are one field.
+
+    Fields above come first, so that a rename told beneath an old name counts beneath the
+    canonical one. Of one field's names the one that more files came to than left wins,
+    of equal ones the greatest.
+    """
+    names: dict[str, str] = {}
+    levels: dict[int, list[tuple[str, str, int]]] = {}
+    for old, new, n in renames:
+        levels.setdefault(len(_pieces(old)), []).append((old, new, n))
+    for level in sorted(levels):
+        above = dict(names)
+        score: dict[str, int] = {}
+        group: dict[str, set[str]] = {}
+        for old, new, n in levels[level]:
+            a, b = canonical_name(old, above), canonical_name(new, above)
+            for name, came in ((a, -n), (b, n)):
+                score[name] = score.get(name, 0) + came
+                group.setdefault(name, {name})
+            if group[a] is not group[b]:
+                less, more = sorted((group[a], group[b]), key=len)
+                more |= less
+                group.update(dict.fromkeys(less, more))
+        best = {id(g): max(g, key=lambda x: (score[x], x)) for g in group.values()}
+        names.update({x: best[id(g)] for x, g in group.items() if x != best[id(g)]})
+    return names
+
+
+def _names(aliases: DataFrame) -> dict[str, str]:
+    """An alias table as a map; it follows the number of renamed fields, not of records."""
+    return canonical_names(sorted((r[0], r[1], 1) for r in aliases.select("field", "canonical").collect()))
+
+
+def _with_canonical(df: DataFrame, field: str, aliases: DataFrame) -> DataFrame:
+    """``df`` with the canonical name of the field's path beside it."""
+    names = _names(aliases)
+    if not names:
+        return df.withColumn("canonical", F.col(field))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        paths = batch.column(field).dictionary_encode()
+        new = pa.array([canonical_name(p, names) for p in paths.dictionary.to_pylist()], pa.string())
+        return pa.RecordBatch.from_arrays([*batch.columns, new.take(paths.indices)], names=[*batch.schema.names, "canonical"])
+
+    return map_arrow(df, run, T.StructType([*df.schema, T.StructField("canonical", T.StringType())]))
+
+
 def alias_table(log: DataFrame) -> DataFrame:
-    """Every renamed field and the name it has in the unified table.
+    """Every renamed field and the name it has in the unified table: one each, whatever lay between.
 
-    The newest name wins: of two names of one field, the one that more files came to.
+    The newest name wins: of the names of one field, the one that more files came to.
     """
-    pairs = log.filter("change = 'renamed'").groupBy(F.least("field", "new_field").alias("a"), F.greatest("field", "new_field").alias("b")).agg(F.count_if(F.col("new_field") == F.greatest("field", "new_field")).alias("to_b"), F.count("*").alias("n"))
-    return pairs.select(F.when(F.col("to_b") * 2 >= F.col("n"), F.col("a")).otherwise(F.col("b")).alias("field"), F.when(F.col("to_b") * 2 >= F.col("n"), F.col("b")).otherwise(F.col("a")).alias("canonical"))
+    told = log.filter("change = 'renamed'").groupBy("field", "new_field").count().collect()
+    names = canonical_names(sorted(tuple(r) for r in told))
+    names |= {x: canonical_name(x, names) for r in told for x in r[:2]}
+    return log.sparkSession.createDataFrame(sorted((a, b) for a, b in names.items() if a != b), "field string, canonical string")
 
 
 def cast_table(catalogue: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -160,7 +226,7 @@ def cast_table(catalogue: DataFrame, aliases: DataFrame) -> DataFrame:
     One kind keeps its type; number and string give string; any mix with an object
     or array is kept as JSON text, so no value is lost.
     """
-    named = catalogue.join(aliases, "field", "left").withColumn("canonical", F.coalesce("canonical", "field"))
+    named = _with_canonical(catalogue, "field", aliases)
     kind = F.explode(F.split("kinds", ","))
     seen = named.select("canonical", "field", "file_id", kind.alias("kind"))
     out = seen.groupBy("canonical").agg(F.array_sort(F.collect_set("field")).alias("names"), F.array_sort(F.collect_set("kind")).alias("kinds"), F.count_distinct("file_id").alias("n_files"))
@@ -177,10 +243,18 @@ def cast_table(catalogue: DataFrame, aliases: DataFrame) -> DataFrame:
 VALUE_SCHEMA = "file_id bigint, record_index int, record_type string, field string, kind string, value string"
 
 
-def record_values(lines: DataFrame) -> DataFrame:
+def mixed_fields(catalogue: DataFrame, aliases: DataFrame) -> frozenset[str]:
+    """Paths, under the names they had, of objects and arrays whose field has other kinds too."""
+    seen = _with_canonical(catalogue, "field", aliases).select("canonical", "field", F.explode(F.split("kinds", ",")).alias("kind"))
+    fields = seen.groupBy("canonical").agg(F.count_distinct("kind").alias("n"), F.collect_set(F.when(F.col("kind").isin("object", "array"), F.col("field"))).alias("fields"))
+    return frozenset(r[0] for r in fields.filter("n > 1").select(F.explode("fields")).collect())
+
+
+def record_values(lines: DataFrame, whole: frozenset[str] = frozenset()) -> DataFrame:
     """Every scalar value of every record: (file_id, record_index, record_type, field, kind, value).
 
-    Array elements keep their positions in the path (``a.list[2].b``).
+    Array elements keep their positions in the path (``a.list[2].b``). Objects and arrays at the
+    paths ``whole`` (``a.list[]``) are values too, as JSON text, beside the values in them.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -194,6 +268,9 @@ def record_values(lines: DataFrame) -> DataFrame:
             while stack:
                 path, node = stack.pop()
                 kind = kind_of(node)
+                if whole and kind in ("object", "array") and node and re.sub(r"\[\d+\]", "[]", path) in whole:
+                    for c, v in zip(cols, (file_id, index, top, path, kind, json.dumps(node))):
+                        c.append(v)
                 if kind == "object" and node:
                     stack += [(f"{path}.{k}", v) for k, v in reversed(node.items())]
                 elif kind == "array" and node:
@@ -208,14 +285,21 @@ def record_values(lines: DataFrame) -> DataFrame:
     return map_arrow(once, run, VALUE_SCHEMA)
 
 
-def unify(values: DataFrame, aliases: DataFrame) -> DataFrame:
-    """The values under one name each: renamed fields take the canonical name, the old one stays beside it."""
-    plain: Column = F.regexp_replace("field", r"\[\d+\]", "[]")
-    rows = values.withColumn("plain", plain).join(aliases.withColumnRenamed("field", "plain"), "plain", "left")
-    return rows.select("file_id", "record_index", "record_type", F.coalesce("canonical", "plain").alias("field"), F.col("field").alias("source_path"), "kind", "value")
-
+def unify(values: DataFrame, aliases: DataFrame, casts: DataFrame | None = None) -> DataFrame:
+    """The values under one name each: renamed fields take the canonical name, the old one stays beside it.
 
-def schema_of(types: dict[str, str]) -> T.StructType:
-    """A reader's schema from (field -> read_as); json stays text."""
-    kinds = {"double": T.DoubleType(), "boolean": T.BooleanType()}
-    return T.StructType([T.StructField(f, kinds.get(t, T.StringType())) for f, t in types.items()])
+    A field beneath a renamed one is named with it. With a cast table each value comes in its
+    field's type: a number in ``as_double``, a boolean in ``as_boolean``, and ``value`` is the
+    text of a string or number as it is, or JSON text where ``read_as`` is json.
+    """
+    plain: Column = F.regexp_replace("field", r"\[\d+\]", "[]")
+    rows = _with_canonical(values.withColumn("plain", plain), "plain", aliases)
+    rows = rows.select("file_id", "record_index", "record_type", F.col("canonical").alias("field"), F.col("field").alias("source_path"), "kind", "value")
+    if casts is None:
+        return rows
+    rows = rows.join(casts.select("field", "read_as"), "field", "left")
+    # a string as JSON text: the only element of a list, without its brackets
+    quoted = F.regexp_replace(F.to_json(F.array("value")), r"(?s)^\[(.*)\]$", "$1")
+    text = F.when((F.col("read_as") == "json") & (F.col("kind") == "string"), quoted).otherwise(F.col("value"))
+    typed = lambda name, kind: F.when(F.col("read_as") == name, F.col("value").try_cast(kind))
+    return rows.select("file_id", "record_index", "record_type", "field", "source_path", "kind", text.alias("value"), "read_as", typed("double", T.DoubleType()).alias("as_double"), typed("boolean", T.BooleanType()).alias("as_boolean"))

@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeweave.operators import drift
-from lakeweave.sources.tables import table
+from lakeweave.sources.tables import materialize, table
 
 
 def _catalogue(spark: SparkSession, folder: str) -> DataFrame:
     return drift.field_catalogue(table(spark, folder, "raw_log"))
 
 
-def _changes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    catalogue = _catalogue(spark, folder)
+def _changes(spark: SparkSession, folder: str, catalogue: DataFrame) -> DataFrame:
     numbered = drift.number_files(table(spark, folder, "session_files"), "agent_id", "written_at")
-    return catalogue, drift.changes(catalogue, numbered)
+    return drift.changes(catalogue, numbered)
+
+
+def _aliases(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    # the catalogue is read by several steps
+    catalogue = materialize(_catalogue(spark, folder), "drift-catalogue")
+    return catalogue, drift.alias_table(_changes(spark, folder, catalogue))
 
 
 def found(spark: SparkSession, folder: str) -> DataFrame:
-    return _changes(spark, folder)[1].select("file_id", "field", "change", "new_field")
+    return _changes(spark, folder, _catalogue(spark, folder)).select("file_id", "field", "change", "new_field")
 
 
 def lifespans(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,14 +33,14 @@ def lifespans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def casts(spark: SparkSession, folder: str) -> DataFrame:
-    catalogue, log = _changes(spark, folder)
-    return drift.cast_table(catalogue, drift.alias_table(log))
+    return drift.cast_table(*_aliases(spark, folder))
 
 
 def unified(spark: SparkSession, folder: str) -> DataFrame:
-    """One consistent table of all records' values, under one name each."""
-    _, log = _changes(spark, folder)
-    return drift.unify(drift.record_values(table(spark, folder, "raw_log")), drift.alias_table(log))
+    """One consistent table of all records' values, under one name and in one type each."""
+    catalogue, aliases = _aliases(spark, folder)
+    values = drift.record_values(table(spark, folder, "raw_log"), drift.mixed_fields(catalogue, aliases))
+    return drift.unify(values, aliases, drift.cast_table(catalogue, aliases))
 
 
 QUERIES = {"p5_found": found, "p5_lifespans": lifespans, "p5_casts": casts, "p5_unified": unified}

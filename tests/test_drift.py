@@ -99,3 +99,36 @@ def test_empty_tables_and_casts(spark):
     assert got["t.a"] == ("number,string", "string") and got["t.bb"] == ("string", "string") and got["t.c"] == ("boolean", "boolean") and got["t.d"] == ("object,string", "json")
     vals = {(r.record_index, r.file_id, r.field, r.source_path, r.value) for r in drift.unify(drift.record_values(l), aliases).collect()}
     assert (0, 1, "t.bb", "t.b", "x") in vals and (0, 1, "t.d.e", "t.d.e", "1") in vals
+
+
+def test_renamed_objects_carry_what_is_beneath_them(spark):
+    files = [(i, "a", T + timedelta(hours=i)) for i in range(1, 5)]
+    lines = [
+        (1, 0, '{"type":"t","p":{"old":{"id":1,"list":[{"n":2}]}},"m":"x"}'),
+        (2, 0, '{"type":"t","p":{"mid":{"id":3,"list":[{"n":4}]}},"m":{"k":true}}'),
+        (3, 0, '{"type":"t","p":{"new":{"id":5,"list":[{"n":6}]}},"m":{"k":false}}'),
+        (4, 0, '{"type":"t","p":{"new":{"key":7,"list":[{"n":8}]}},"m":{"k":false}}'),
+    ]
+    f = spark.createDataFrame(files, "file_id long, agent_id string, written_at timestamp")
+    l = spark.createDataFrame(lines, "file_id long, record_index int, line string")
+    cat = drift.field_catalogue(l)
+    aliases = drift.alias_table(drift.changes(cat, drift.number_files(f, "agent_id", "written_at")))
+    assert {tuple(r) for r in aliases.collect()} == {("t.p.old", "t.p.new"), ("t.p.mid", "t.p.new"), ("t.p.new.id", "t.p.new.key")}
+    casts = drift.cast_table(cat, aliases)
+    by_field = {r.field: (r.names, r.read_as, r.n_files) for r in casts.collect()}
+    assert by_field["t.p.new.key"] == ("t.p.mid.id,t.p.new.id,t.p.new.key,t.p.old.id", "double", 4)
+    assert by_field["t.p.new.list[].n"] == ("t.p.mid.list[].n,t.p.new.list[].n,t.p.old.list[].n", "double", 4)
+    assert not [x for x in by_field if x.startswith(("t.p.old", "t.p.mid"))]
+    rows = drift.unify(drift.record_values(l, drift.mixed_fields(cat, aliases)), aliases, casts).collect()
+    assert sorted((r.as_double, r.source_path) for r in rows if r.field == "t.p.new.key") == [(1.0, "t.p.old.id"), (3.0, "t.p.mid.id"), (5.0, "t.p.new.id"), (7.0, "t.p.new.key")]
+    assert sorted(r.as_double for r in rows if r.field == "t.p.new.list[].n") == [2.0, 4.0, 6.0, 8.0]
+    assert sorted((r.file_id, r.read_as, json.dumps(json.loads(r.value))) for r in rows if r.field == "t.m") == [(1, "json", '"x"'), (2, "json", '{"k": true}'), (3, "json", '{"k": false}'), (4, "json", '{"k": false}')]
+    assert sorted((r.file_id, r.as_boolean) for r in rows if r.field == "t.m.k") == [(2, True), (3, False), (4, False)]
+
+
+def test_canonical_names():
+    assert drift.canonical_names([("t.a", "t.b", 3), ("t.b", "t.a", 1), ("t.b", "t.c", 3)]) == {"t.a": "t.c", "t.b": "t.c"}
+    assert drift.canonical_names([("t.a", "t.b", 1), ("t.b", "t.a", 1)]) == {"t.a": "t.b"}
+    # a field renamed beneath an old name of its parent
+    names = drift.canonical_names([("t.o.x", "t.o.y", 1), ("t.o", "t.n", 1)])
+    assert [drift.canonical_name(p, names) for p in ("t.o.x[].z", "t.n.x", "t.o.y", "t.other.x", "t.o")] == ["t.n.y[].z", "t.n.y", "t.n.y", "t.other.x", "t.n"]
