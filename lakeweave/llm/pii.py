@@ -13,9 +13,10 @@ What a word looks like is learned: words that follow an introduction ("my name i
 "Best regards," ...) or a title, or that sign a line beside a known given name, are taken as
 names, all others as none, and a softmax
 over hashed letter groups of the word is fitted on them. It is fitted on ``sample`` texts
-at most, those with the smallest hash of their id; the weights have a fixed size, whatever
-the corpus. Towns that follow a street and a postal code in the sample are kept as a list
-of ``TOWNS`` entries at most. Everything else covers every text whole.
+of less than 4,000 characters at most, those with the smallest hash of their id; the weights
+have a fixed size, whatever the corpus. Towns that follow a street are counted over all texts
+whole (``town_table``); the model holds them where they are ``TOWNS`` at most, else each text
+is joined with those of its towns that are known. Everything else covers every text whole.
 
 Defined results: null and empty texts have no finds; repeated rows of one id count once;
 finds never overlap (the longer value wins over a name inside it); offsets are code points.
@@ -25,14 +26,18 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Collection
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeweave.functions.arrow import map_arrow
+from lakeweave.sources.tables import materialize
+
 SAMPLE = 20_000
-TOWNS = 5_000
+TOWNS = 200_000
 KINDS = ("email", "phone", "id_number", "address", "person")
 
 # --- fixed values: words that introduce, and words that belong to a kind -------------------
@@ -168,10 +173,13 @@ def _name_after(text: str, at: int, given: frozenset[str]) -> list[tuple[str, in
 
 
 class Model:
-    """Weights of the letter groups, the given names and the towns: of fixed size, sent to every task once."""
+    """Weights of the letter groups, the given names and the towns: of fixed size, sent to every task once.
+
+    Where the towns are too many for that, they are ``town_table`` and the set is empty.
+    """
 
-    def __init__(self, weights: np.ndarray, given: frozenset[str], towns: frozenset[str]):
-        self.weights, self.given, self.towns = weights, given, towns
+    def __init__(self, weights: np.ndarray, given: frozenset[str], towns: frozenset[str], town_table: DataFrame | None = None):
+        self.weights, self.given, self.towns, self.town_table = weights, given, towns, town_table
         self.cache: dict[str, tuple[float, float, float]] = {}
 
     def __getstate__(self):
@@ -216,14 +224,16 @@ def _softmax(types: list[str], label: np.ndarray, weight: np.ndarray, rounds: in
     return weights.astype(np.float32)
 
 
-def fit(texts: list[str], given_names: list[str], rounds: int = 120) -> Model:
-    """The model from texts whose introductions name people; given_names may be incomplete."""
+def fit(texts: list[str], given_names: list[str], rounds: int = 120, towns: frozenset[str] | None = None) -> Model:
+    """The model from texts whose introductions name people; given_names may be incomplete.
+
+    Towns that are not given are those of the texts.
+    """
     given = frozenset(g.casefold() for g in given_names if g)
     named: Counter = Counter()
     lower: Counter = Counter()
     seen: Counter = Counter()
     small: Counter = Counter()
-    towns: Counter = Counter()
     for t in texts:
         for w in WORD.findall(t):
             seen[w.casefold()] += 1
@@ -237,10 +247,6 @@ def fit(texts: list[str], given_names: list[str], rounds: int = 120) -> Model:
             pair = _name_after(t, m.end(), given)
             if any(w.casefold() in given and label == GIVEN for w, label in pair):
                 named.update((w.casefold(), label) for w, label in pair)
-        for start, end in _streets(t):
-            m = AFTER_CODE.match(t, end) or TOWN_ONLY.match(t, end)
-            if m and (m.end() == len(t) or t[m.end()] in ",.\r\n[<" or CODE_LAST.match(t, m.end())):
-                towns[m["town"]] += 1
     # a word in small letters is a name only if it was introduced with a capital too
     sure = {w for (w, _), n in named.items() if n > 0} | given
     for (w, label), n in lower.items():
@@ -266,7 +272,11 @@ def fit(texts: list[str], given_names: list[str], rounds: int = 120) -> Model:
     weight *= [named_here[i] or small[w] > 0 or max(first.word(w)[1:]) < -1.0 for i, w in enumerate(types)]
     weights = _softmax(types, label, weight, rounds)
     learned = frozenset(w for w in index if named[(w, GIVEN)] >= 2 and label[index[w], GIVEN] > 0.8)
-    return Model(weights, given | learned, frozenset(t for t, n in towns.most_common(TOWNS) if n > 1))
+    if towns is None:
+        told = [x for t in dict.fromkeys(texts) for x in _towns_in(t)]
+        often = Counter(t for t, _ in told)
+        towns = frozenset(t for t, sure in told if sure or often[t] > 1)
+    return Model(weights, given | learned, towns)
 
 
 # --- candidates ------------------------------------------------------------------------------
@@ -286,11 +296,43 @@ def _streets(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _whole_address(text: str, end: int, towns: frozenset[str]) -> int:
-    """Where an address ends that goes on after its street: unit, postal code, town."""
+def _after_unit(text: str, end: int) -> int:
     m = UNIT.match(text, end)
-    if m and m.end() > end:
-        end = m.end()
+    return m.end() if m else end
+
+
+def _towns_in(text: str) -> list[tuple[str, bool]]:
+    """(words, sure) that stand like a town after a street, up to a closing mark or a postal code.
+
+    A postal code beside them or a comma before them makes them sure; after a line's end or
+    a blank alone a name or the next sentence may begin.
+    """
+    out = []
+    for _, end in _streets(text):
+        end = _after_unit(text, end)
+        code = AFTER_CODE.match(text, end)
+        m = code or TOWN_ONLY.match(text, end)
+        if m:
+            last = CODE_LAST.match(text, m.end())
+            if last or m.end() == len(text) or text[m.end()] in ",.\r\n[<":
+                out.append((m["town"], bool(code or last) or text[end : m.start("town")] in (",", ", ")))
+    return out
+
+
+def _town_candidates(text: str) -> set[str]:
+    """Every town that an address of the text could end with."""
+    out = set()
+    for _, end in _streets(text):
+        end = _after_unit(text, end)
+        m = AFTER_CODE.match(text, end) or TOWN_ONLY.match(text, end)
+        if m:
+            out.update(m["town"][:e] for e in _town_ends(m["town"]))
+    return out
+
+
+def _whole_address(text: str, end: int, towns: Collection[str]) -> int:
+    """Where an address ends that goes on after its street: unit, postal code, town."""
+    end = _after_unit(text, end)
     m = AFTER_CODE.match(text, end)
     if m:
         return m.start("town") + len(_town(m["town"], towns, True))
@@ -305,9 +347,13 @@ def _whole_address(text: str, end: int, towns: frozenset[str]) -> int:
     return m.end() if m else end
 
 
-def _town(words: str, towns: frozenset[str], sure: bool) -> str:
+def _town_ends(words: str) -> list[int]:
+    return [m.start() for m in re.finditer(r"[ ]", words)] + [len(words)]
+
+
+def _town(words: str, towns: Collection[str], sure: bool) -> str:
     """The longest known town that the words begin with; after a postal code, else their first word."""
-    ends = [m.start() for m in re.finditer(r"[ ]", words)] + [len(words)]
+    ends = _town_ends(words)
     for e in reversed(ends):
         if words[:e] in towns:
             return words[:e]
@@ -317,14 +363,14 @@ def _town(words: str, towns: frozenset[str], sure: bool) -> str:
     return words[: ends[1]] if len(ends) > 1 and re.fullmatch("(?:Neu|Alt|Bad|Port|Saint|San|Santa|Los|Las|El|La|Le|Les|New|Old|North|South|East|West|Great|Little|St\\.?)", first) else first
 
 
-def _values(text: str, model: Model) -> list[tuple[str, int, int, float]]:
+def _values(text: str, towns: Collection[str]) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, potential) of stretches that look like a value."""
     out: list[tuple[str, int, int, float]] = []
     if "@" in text or "&#" in text or "at" in text or "AT" in text or "arr" in text or "aro" in text or "commat" in text:
         out += [("email", m.start(), m.end(), 6.0) for m in EMAIL.finditer(text)]
     if not HINT.search(text):
         return out
-    out += [("address", s, _whole_address(text, e, model.towns), 5.0) for s, e in _streets(text)]
+    out += [("address", s, _whole_address(text, e, towns), 5.0) for s, e in _streets(text)]
     for m in ID_AT.finditer(text):
         v = ID_VALUE.search(text, m.end(), min(len(text), m.end() + 60))
         if v and ID_BEFORE.search(text[m.start() : v.start()]):
@@ -391,11 +437,11 @@ SAME_WORD = np.array([[0.3, -0.5, -0.5], [-0.5, 1.0, -0.5], [-0.5, -0.5, 1.0]])
 SAME_VALUE = np.array([[1.0, -1.0], [-1.0, 1.0]])
 
 
-def finds(text: str | None, model: Model) -> list[tuple[str, int, int]]:
-    """(kind, start, end) in a text, sorted by start."""
+def finds(text: str | None, model: Model, towns: Collection[str] | None = None) -> list[tuple[str, int, int]]:
+    """(kind, start, end) in a text, sorted by start; towns other than the model's may be given."""
     if not text:
         return []
-    values = _values(text, model)
+    values = _values(text, model.towns if towns is None else towns)
     potential = [np.array([0.0, score]) for *_, score in values]
     edges: list[tuple[int, int, np.ndarray]] = []
     last: dict = {}
@@ -537,12 +583,60 @@ def mask(text: str | None, found: list[tuple[str, int, int]]) -> str | None:
 # --- the operator ------------------------------------------------------------------------------
 
 
-def train(df: DataFrame, given_names: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` texts that hold an introduction or a title, those with the least hash of their id."""
+def _map_texts(df: DataFrame, key: str, fn, schema: str) -> DataFrame:
+    """(hash of the text, *row) for every row ``fn`` gives for a text."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [(h, *x) for h, t in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()) for x in fn(t)]
+        types = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+        names, kinds = zip(*(c.split() for c in f"{key} bigint, {schema}".split(", ")))
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[k]) for i, k in enumerate(kinds)], names=list(names))
+
+    texts = df.select(F.xxhash64("text").alias("key"), "text").filter(F.length("text") > 0)
+    return map_arrow(texts, run, f"{key} bigint, {schema}")
+
+
+def town_table(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """(town): words after a street, over all texts whole, that are surely a town or stand there twice; a repeated text counts once."""
+
+    def told(text: str) -> list[tuple[str, int, bool]]:
+        found = _towns_in(text)
+        often, sure = Counter(t for t, _ in found), {t for t, s in found if s}
+        return [(t, n, t in sure) for t, n in often.items()]
+
+    rows = _map_texts(df.select(F.col(text_col).alias("text")), "key", told, "town string, n bigint, sure boolean").distinct()
+    return rows.groupBy("town").agg(F.sum("n").alias("n"), F.max("sure").alias("sure")).filter("sure or n > 1").select("town")
+
+
+def train(df: DataFrame, given_names: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, towns: int = TOWNS) -> Model:
+    """A model from at most ``sample`` texts of less than 4,000 characters that hold an introduction or a title, those with the least hash of their id.
+
+    Its towns are those of all texts: held in the model up to ``towns`` of them, else as a table.
+    """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(rf"(?i)(?<!\w)(?:{INTRODUCTIONS})\s") | F.col("text").rlike(TITLE.pattern)).filter(F.length("text") < 4000)
     rows = rows.orderBy(F.xxhash64("id"), "text").limit(sample).select("text")
     names = [r[0] for r in given_names.select("given_name").limit(100_000).collect()]
-    return fit([r[0] for r in rows.collect()], names)
+    table = materialize(town_table(df, text_col), "pii-towns")
+    few = table.count() <= towns
+    model = fit([r[0] for r in rows.collect()], names, towns=frozenset(r[0] for r in table.collect()) if few else frozenset())
+    model.town_table = None if few else table
+    return model
+
+
+def _with_towns(rows: DataFrame, model: Model) -> DataFrame:
+    """Beside each text the known towns its addresses may end with, where the model does not hold all."""
+    if model.town_table is None:
+        return rows
+    may = _map_texts(rows, "key", lambda t: [(x,) for x in _town_candidates(t)], "town string").distinct()
+    known = may.join(model.town_table, "town").groupBy("key").agg(F.collect_list("town").alias("towns"))
+    out = rows.withColumn("key", F.xxhash64("text")).join(known, "key", "left")
+    return out.select(*rows.columns, F.coalesce("towns", F.array().cast("array<string>")).alias("towns"))
+
+
+def _batch_finds(batch: pa.RecordBatch, model: Model) -> list[list[tuple[str, int, int]]]:
+    texts = batch.column("text").to_pylist()
+    towns = batch.column("towns").to_pylist() if "towns" in batch.schema.names else [None] * len(texts)
+    return [finds(t, model, w) for t, w in zip(texts, towns)]
 
 
 def find(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -555,8 +649,8 @@ def find(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "t
         m = shared.value
         for batch in batches:
             at, kinds, starts, ends = [], [], [], []
-            for i, t in enumerate(batch.column("text").to_pylist()):
-                for k, s, e in finds(t, m):
+            for i, f in enumerate(_batch_finds(batch, m)):
+                for k, s, e in f:
                     at.append(i)
                     kinds.append(k)
                     starts.append(s)
@@ -564,7 +658,7 @@ def find(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "t
             ids = batch.column("id").take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["id", "kind", "span_start", "span_end"])
 
-    return rows.mapInArrow(run, f"id {id_type}, kind string, span_start int, span_end int").distinct().withColumnRenamed("id", id_col)
+    return _with_towns(rows, model).mapInArrow(run, f"id {id_type}, kind string, span_start int, span_end int").distinct().withColumnRenamed("id", id_col)
 
 
 def masked(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -577,11 +671,10 @@ def masked(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         m = shared.value
         for batch in batches:
             texts, n = [], []
-            for t in batch.column("text").to_pylist():
-                f = finds(t, m)
+            for t, f in zip(batch.column("text").to_pylist(), _batch_finds(batch, m)):
                 texts.append(mask(t, f))
                 n.append(len(f))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string()), pa.array(n, pa.int32())], names=["id", "text", "n_finds"])
 
-    out = rows.mapInArrow(run, f"id {id_type}, text string, n_finds int")
+    out = _with_towns(rows, model).mapInArrow(run, f"id {id_type}, text string, n_finds int")
     return out.dropDuplicates(["id"]).withColumnsRenamed({"id": id_col, "text": text_col})

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lakeweave.llm import pii
 
@@ -83,3 +84,17 @@ def test_operator(spark, model):
     assert kinds("Thanks to Clara Harbeck for it", fitted) == [("person", "Clara Harbeck")]
     nothing = pii.train(df.limit(0), names.limit(0))
     assert pii.find(df.limit(0), nothing).count() == 0 and kinds("x@y.test", nothing) == [("email", "x@y.test")]
+
+
+def test_towns_are_counted_over_all_texts(spark):
+    """A town is known from one text without an introduction, however long, and from what stands after a unit."""
+    texts = ["hello " * 1000 + "Paseo del Olmo 133, Puebla del Sauce, pasad", "at 4 Copper Beck Drive, Flat 2b, Nether Ashby.", "at 7 Old Mill Street\nAda Verloren\n", "from 9 Mill Road, Puebla del Sauce The end", "from 9 Mill Road, Nether Ashby The end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    names = spark.createDataFrame([("Clara", "en")], "given_name string, lang string")
+    want = [{"Paseo del Olmo 133, Puebla del Sauce"}, {"4 Copper Beck Drive, Flat 2b, Nether Ashby"}, {"7 Old Mill Street"}, {"9 Mill Road, Puebla del Sauce"}, {"9 Mill Road, Nether Ashby"}]
+    held, joined = pii.train(df, names), pii.train(df, names, towns=1)
+    assert held.towns == {"Puebla del Sauce", "Nether Ashby"} and not joined.towns and joined.town_table.count() == 2
+    for model in (held, joined):
+        got = [{texts[r.doc_id][r.span_start : r.span_end] for r in pii.find(df, model).filter(F.col("doc_id") == i).collect() if r.kind == "address"} for i in range(5)]
+        assert got == want
+    assert {(r.doc_id, r.text) for r in pii.masked(df, joined).collect()} == {(r.doc_id, r.text) for r in pii.masked(df, held).collect()}
