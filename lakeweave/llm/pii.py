@@ -515,7 +515,7 @@ def finds(text: str | None, model: Model, towns: Collection[str] | None = None)
 
 
 def _name_parts(text: str, words: list, looks: list, likely: list[int]) -> set[int]:
-    """Words that stand so that they may make a name: a given and a family name side by side, or a family name after a title."""
+    """Words that stand so that they may make a name: a given and a family name side by side, given names before them, or a family name after a title."""
     out: set[int] = set()
     ready = set(likely)
     for i in likely:
@@ -526,6 +526,12 @@ def _name_parts(text: str, words: list, looks: list, likely: list[int]) -> set[i
                 out.update((i, j[0]))
         if f and _titled(text, words, i):
             out.add(i)
+    # a further given name directly before a given name taken, from the last on
+    for i in reversed(likely):
+        if i not in out and looks[i][GIVEN] > GIVEN_LEAST:
+            j = _next(text, words, i)
+            if j and not j[1] and j[0] in out and looks[j[0]][GIVEN] > GIVEN_LEAST:
+                out.add(i)
     return out
 
 

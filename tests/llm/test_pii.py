@@ -98,3 +98,16 @@ def test_towns_are_counted_over_all_texts(spark):
         got = [{texts[r.doc_id][r.span_start : r.span_end] for r in pii.find(df, model).filter(F.col("doc_id") == i).collect() if r.kind == "address"} for i in range(5)]
         assert got == want
     assert {(r.doc_id, r.text) for r in pii.masked(df, joined).collect()} == {(r.doc_id, r.text) for r in pii.masked(df, held).collect()}
+
+
+def test_a_given_name_before_a_given_name_is_a_node():
+    """The first of two given names belongs to the name although it is no likely family name."""
+
+    class Fixed(pii.Model):
+        def word(self, word):
+            return {"Anna": (-4.0, 0.0, -8.0), "Maria": (-4.0, 0.0, -8.0), "Schmidt": (-4.0, -8.0, 0.0)}.get(word, (0.0, -8.0, -8.0))
+
+    m = Fixed(np.zeros((1, 3)), frozenset(), frozenset())
+    for name in ("Anna Maria Schmidt", "Maria Schmidt"):
+        assert kinds(f"so {name} wrote it", m) == [("person", name)]
+    assert kinds("so Anna Maria wrote it", m) == []
