@@ -32,7 +32,7 @@ FIELD_SCHEMA = "file_id bigint, field string, parent string, ancestors array<str
 
 
 def load_object(line: str | None) -> dict | None:
-    """The JSON object of a log line, or None."""
+    """The JSON object of a log line, or None, as for lines deeper than ``json.loads`` reads (about 10,000 levels)."""
     if not line:
         return None
     try:

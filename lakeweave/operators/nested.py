@@ -89,7 +89,10 @@ def kind_of(value: object) -> str:
 
 
 def parse_object(text: str | None) -> dict | None:
-    """The JSON object in ``text``, decoded twice where it was encoded twice; else None."""
+    """The JSON object in ``text``, decoded twice where it was encoded twice; else None.
+
+    Text nested deeper than ``json.loads`` reads (about 10,000 levels) gives None too.
+    """
     if not text:
         return None
     try:
@@ -102,7 +105,7 @@ def parse_object(text: str | None) -> dict | None:
 
 
 def walk(value: object, path: str = "$") -> Iterator[tuple[str, str | None, object]]:
-    """(path, member name, value) of every node under ``value``, with a stack, so depth is no limit."""
+    """(path, member name, value) of every node under ``value``, with a stack, so a parsed value's depth is no limit."""
     stack = [(path, None, value)]
     while stack:
         at, name, node = stack.pop()
