@@ -256,18 +256,18 @@ def alike(df: DataFrame, id_col: str = "result_id", text_col: str = "text", like
     return ids, pairs
 
 
-def expand(df: DataFrame, id_col: str = "result_id", text_col: str = "text", likeness: float = 0.7, words: int = 3, min_words: int = 20, copies_in_full: int = 2000) -> DataFrame:
+def expand(df: DataFrame, id_col: str = "result_id", text_col: str = "text", likeness: float = 0.7, words: int = 3, min_words: int = 20, copies_in_full: int | None = None) -> DataFrame:
     """(id_a, id_b), id_a < id_b: every pair of records that are alike, copies of one text too.
 
     Its size is that of the result asked for; :func:`alike_groups` says the same in one row a
-    record. Only a text with more than ``copies_in_full`` copies is told by its least id: that id
+    record. Only where ``copies_in_full`` is given, a text with more copies is told by its least id: that id
     has the text's pairs with other texts, and a pair with each copy, in place of all pairs
     among the copies. No link between different texts is lost.
     """
     ids, pairs = alike(df, id_col, text_col, likeness, words, min_words)
     size = ids.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1")
     ids = ids.join(size, "key", "left")
-    small = F.coalesce(F.col("n"), F.lit(1)) <= copies_in_full
+    small = F.lit(True) if copies_in_full is None else F.coalesce(F.col("n"), F.lit(1)) <= copies_in_full
     told = ids.filter(small | (F.col("id") == F.col("first")))
     a, b = told.select(F.col("key").alias("key_a"), F.col("id").alias("x")), told.select(F.col("key").alias("key_b"), F.col("id").alias("y"))
     between = pairs.join(a, "key_a").join(b, "key_b").select("x", "y")

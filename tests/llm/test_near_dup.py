@@ -105,3 +105,9 @@ def test_shingles_are_those_of_the_words():
     by = [set(h[doc == i].tolist()) for i in range(len(texts))]
     assert by[0] == by[2] and len(by[0]) == 2 and by[0] < by[3] and not by[1] and not by[4]
     assert not len(N.shingles(["a b c"], 3, 20)[0]) and not len(N.shingles([], 3, 20)[0])
+
+
+def test_copies_are_told_alike_at_every_number(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    got = N.expand(frame(spark, [(i, text) for i in range(2001)]))
+    assert got.count() == 2001 * 2000 // 2
