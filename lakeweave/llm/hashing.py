@@ -8,7 +8,9 @@ Offsets are code points everywhere.
 ``common_hashes`` answers, for hashes listed by many blocks, which stand in two
 blocks or more. A block lists a hash once or twice however often it holds it, so a
 hash that a third of all rows hold costs two entries a block, in one task as well as
-on the wire.
+on the wire. A block sends one row for each of 1,024 ranges of hashes at most, so rows
+follow the data; where more tasks than ranges are needed, the pieces of a range are
+gathered into larger blocks first and these are compared by the ranges within it.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lakeweave.functions.arrow import pack, unpack
+from lakeweave.sources.tables import materialize
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -109,121 +113,200 @@ def block_number(table: pa.Table) -> int:
 
 # --- the exchange -----------------------------------------------------------------
 
-REQUEST_SCHEMA = "dest int, block long, own boolean, payload binary"
+#: A level of the exchange tells hashes apart by so many of their top bits.
+FAN_BITS = 10
+FAN = 1 << FAN_BITS
+#: Bytes of text whose hashes one task compares.
+TASK_BYTES = 32 << 20
+REQUEST_SCHEMA = "dest long, block long, own boolean, payload binary"
+ANSWER_SCHEMA = "block long, own boolean, payload binary"
+
+
+def _gaps(sorted_places: np.ndarray) -> np.ndarray:
+    """Sorted numbers as 16-bit gaps: 65535 goes on to the next, anything else ends a gap."""
+    gaps = np.diff(sorted_places.astype(np.int64), prepend=0)
+    whole = gaps // 65535
+    out = np.full(int(whole.sum()) + len(gaps), 65535, np.uint16)
+    out[np.cumsum(whole + 1) - 1] = gaps % 65535
+    return out
 
 
-def _bytes(gaps: np.ndarray) -> np.ndarray:
-    """Gaps as bytes: 255 goes on to the next byte, anything else ends the gap."""
-    whole = gaps // 255
-    out = np.full(int(whole.sum()) + len(gaps), 255, np.uint8)
-    out[np.cumsum(whole + 1) - 1] = gaps % 255
-    return out
+def _ungaps(gaps: np.ndarray) -> np.ndarray:
+    return np.cumsum(gaps, dtype=np.int64)[gaps < 65535]
 
 
-def requests(block: int, own: bytes, hashes: np.ndarray, extra: np.ndarray | None, n_dest: int) -> pa.RecordBatch:
-    """Rows that carry a block's listed hashes to the tasks that compare them.
+def distinct(hashes: np.ndarray, holder: np.ndarray, extra: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a block lists of its entries: (unlisted, known, code), as sorted entry numbers.
 
-    A listed hash is named by its place in the block's list. The top bits choose the
-    destination; 32 further bits go with an ``extra`` (of 32 bits), 64 without one. The
-    row marked ``own`` is what the block needs to read the answers, and goes along.
+    Entries whose hash has several holders in the block are known to be common, with code 2
+    where extras differ; of these one is listed, or two where extras differ. All others are listed.
     """
-    dest = ((hashes >> np.uint64(40)) % np.uint64(n_dest)).astype(np.int32)
+    n = len(hashes)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    order = np.argsort(hashes, kind="stable") if extra is None else np.lexsort((extra, hashes))
+    group, first = groups(hashes[order])
+    d = holder[order]
+    several = (np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first))[group]
+    differ = np.zeros(n, bool)
+    if extra is not None:
+        x = extra[order]
+        differ = (np.minimum.reduceat(x, first) != np.maximum.reduceat(x, first))[group]
+    listed = ~several
+    listed[first] = True
+    last = np.concatenate([first[1:], [n]]) - 1
+    listed[last] |= differ[last]
+    known = order[several]
+    by = np.argsort(known)
+    return np.sort(order[~listed]), known[by], np.where(differ[several], 2, 1).astype(np.uint8)[by]
+
+
+def listed_entries(n: int, unlisted: np.ndarray) -> np.ndarray:
+    keep = np.ones(n, bool)
+    keep[unlisted] = False
+    return np.nonzero(keep)[0]
+
+
+def requests(block: int, own: bytes, hashes: np.ndarray, extra: np.ndarray | None, level: int = 1) -> pa.RecordBatch:
+    """Rows that carry a block's listed hashes, whole, to the tasks that compare them.
+
+    A listed hash is named by its place in the block's list; ``extra`` has 32 bits. The row
+    marked ``own`` is what the block needs to read the answers, and goes along.
+    """
+    shift = np.uint64(64 - FAN_BITS * level)
+    dest = (hashes >> shift).astype(np.int64)
     o = np.argsort(dest, kind="stable")
-    cut = np.searchsorted(dest[o], np.arange(n_dest + 1))
-    dests, blobs = [int(n_dest + (block % 1_000_003) % n_dest)], [own]
-    for d in range(n_dest):
-        at = o[cut[d] : cut[d + 1]]
-        if not len(at):
-            continue
-        gap = _bytes(np.diff(at, prepend=0))
-        h = hashes[at]
-        dests.append(d)
-        blobs.append(pack(gap, h, np.zeros(0, np.uint32)) if extra is None else pack(gap, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), extra[at]))
+    _, first = groups(dest[o])
+    ends = [*first[1:], len(o)]
+    dests, blobs = [int(mix(np.array([block], np.uint64))[0] >> shift)], [own]
+    for a, e in zip(first, ends):
+        at = o[a:e]
+        low = np.ascontiguousarray(hashes[at]).view(np.uint8).reshape(-1, 8)[:, :7]  # the top byte is the destination's
+        dests.append(int(dest[at[0]]))
+        blobs.append(pack(_gaps(at), low.ravel(), np.zeros(0, np.uint32) if extra is None else extra[at].astype(np.uint32)))
     n = len(dests)
     return pa.RecordBatch.from_arrays(
-        [pa.array(dests, pa.int32()), pa.array([block] * n, pa.int64()), pa.array([i == 0 for i in range(n)]), pa.array(blobs, pa.binary())],
+        [pa.array(dests, pa.int64()), pa.array([block] * n, pa.int64()), pa.array([i == 0 for i in range(n)]), pa.array(blobs, pa.binary())],
         names=["dest", "block", "own", "payload"],
     )
 
 
-def common_hashes(listed: DataFrame) -> DataFrame:
-    """(block, own, payload): per block its own row, and answers ``pack(place, code)``.
-
-    Only hashes that stand in two blocks or more are answered. With an extra, code is 2
-    where the extras differ and 1 where all are alike; without, it is always 1. Where the
-    extras are counts (``count_extras``), see :func:`common_counts`.
-    """
-    return _answered(listed, counts=False)
-
-
-def common_counts(listed: DataFrame) -> DataFrame:
-    """As :func:`common_hashes`; the extra is a count, and code is the sum over all blocks.
-
-    Hashes whose sum is 1 are not answered.
-    """
-    return _answered(listed, counts=True)
-
-
-def _answered(listed: DataFrame, counts: bool) -> DataFrame:
-    schema = "block long, own boolean, payload binary"
-
-    def run(tables: pa.Table) -> pa.Table:
-        own = tables.column("own").to_pylist()
-        dest = np.uint64(tables.column("dest")[0].as_py())
-        block = tables.column("block").to_pylist()
-        blobs = tables.column("payload").to_pylist()
-        out = [(b, True, p) for b, o, p in zip(block, own, blobs) if o]
-        place, key, extra, src, names = [], [], [], [], []
-        for b, o, p in zip(block, own, blobs):
-            if o:
+def _read_requests(batches: Iterator[pa.RecordBatch], level: int):
+    """(own rows, block numbers, source of each entry, place, hash, extra) of a task's requests."""
+    own, names, src, place, key, extra = [], [], [], [], [], []
+    at: dict[int, int] = {}
+    top = np.uint64(64 - FAN_BITS * level)
+    for batch in batches:
+        for dest, block, is_own, blob in zip(*(batch.column(c).to_pylist() for c in ("dest", "block", "own", "payload"))):
+            if is_own:
+                own.append((block, blob))
                 continue
-            gap, h, x = unpack(p)
-            place.append(np.cumsum(gap, dtype=np.int64)[gap < 255])
-            key.append(h.astype(np.uint64))
+            gap, low, x = unpack(blob)
+            p = _ungaps(gap)
+            h = np.zeros((len(p), 8), np.uint8)
+            h[:, :7] = low.reshape(-1, 7)
+            place.append(p.astype(np.uint32))
+            key.append(h.view(np.uint64).ravel() | (np.uint64(dest >> (FAN_BITS * level - 8)) << np.uint64(56)))
             extra.append(x)
-            src.append(np.full(len(h), len(names), np.int32))
-            names.append(b)
-        if names:
-            place, key, src = np.concatenate(place), np.concatenate(key), np.concatenate(src)
-            extra = np.concatenate(extra)
-            o = np.argsort(key, kind="stable")  # within a key the blocks stay in order
-            group, first = groups(key[o])
-            s = src[o]
-            if counts:
-                code = np.add.reduceat(extra[o].astype(np.int64), first)[group]
-                hit = code > 1
-            else:
-                hit = (np.minimum.reduceat(s, first) != np.maximum.reduceat(s, first))[group]
-                code = np.ones(len(s), np.int64)
-                if len(extra):
-                    e = extra[o]
-                    code += (np.minimum.reduceat(e, first) != np.maximum.reduceat(e, first))[group]
-            hits, code = o[hit], code[hit]
-            by = np.argsort(src[hits], kind="stable")
-            hits, code = hits[by], code[by].astype(np.uint32)
-            cut = np.searchsorted(src[hits], np.arange(len(names) + 1))
-            name = (key[hits] & np.uint64(0xFFFFFFFF)) | (dest << np.uint64(32))
-            for i, b in enumerate(names):
-                at = slice(cut[i], cut[i + 1])
-                if cut[i] < cut[i + 1]:
-                    out.append((b, False, pack(place[hits[at]], code[at], name[at]) if counts else pack(place[hits[at]], code[at])))
-        return pa.table([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.bool_()), pa.array([r[2] for r in out], pa.binary())], names=["block", "own", "payload"])
-
-    return listed.groupBy("dest").applyInArrow(run, schema)
+            if block not in at:
+                at[block] = len(names)
+                names.append(block)
+            src.append(np.full(len(p), at[block], np.int32))
+    cat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    return own, names, cat(src, np.int32), cat(place, np.uint32), cat(key, np.uint64), cat(extra, np.uint32)
+
+
+def _answer_batch(rows: list[tuple[int, bool, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())], names=["block", "own", "payload"])
+
+
+def _answers(names: list[int], src: np.ndarray, place: np.ndarray, code: np.ndarray, key: np.ndarray, with_hash: bool) -> list[tuple[int, bool, bytes]]:
+    o = np.argsort(src, kind="stable")
+    src, place, code, key = src[o], place[o], code[o], key[o]
+    cut = np.searchsorted(src, np.arange(len(names) + 1))
+    none = np.zeros(0, np.uint64)
+    return [(names[i], False, pack(place[a:e], code[a:e].astype(np.uint8), key[a:e] if with_hash else none)) for i, (a, e) in enumerate(zip(cut[:-1], cut[1:])) if a < e]
+
+
+def _compare(level: int, with_hash: bool):
+    def run(batches):
+        own, names, src, place, key, extra = _read_requests(batches, level)
+        rows = [(b, True, p) for b, p in own]
+        if len(key):
+            _, known, code = distinct(key, src, extra if len(extra) else None)
+            rows += _answers(names, src[known], place[known], code, key[known], with_hash)
+        if rows:
+            yield _answer_batch(rows)
+
+    return run
+
+
+def _gather(level: int):
+    """A task's requests as one block of their own, whose entries are those of the blocks in it."""
+
+    def run(batches):
+        own, names, src, place, key, extra = _read_requests(batches, level)
+        if own:
+            n = len(own)
+            yield pa.RecordBatch.from_arrays([pa.array([-1] * n, pa.int64()), pa.array([b for b, _ in own], pa.int64()), pa.array([True] * n), pa.array([p for _, p in own], pa.binary())], names=["dest", "block", "own", "payload"])
+        if len(key):
+            x = extra if len(extra) else None
+            unlisted, known, code = distinct(key, src, x)
+            listed = listed_entries(len(key), unlisted)
+            number = int(mix(np.array([np.bitwise_xor.reduce(mix(key ^ place))], np.uint64))[0] >> np.uint64(1))
+            mine = pack(np.array(names, np.int64), src, place, unlisted.astype(np.uint32), known.astype(np.uint32), code, key)
+            yield requests(number, mine, key[listed], None if x is None else x[listed], level + 1)
+
+    return run
+
+
+def _split(with_hash: bool):
+    """Answers of a gathered block as answers of the blocks in it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        (names, src, place, unlisted, known, known_code, key), told, told_code, _ = read_answers(table)
+        code = np.zeros(len(src), np.uint8)
+        code[known] = known_code
+        listed = listed_entries(len(src), unlisted)[told]
+        np.maximum.at(code, listed, told_code.astype(np.uint8))
+        # every entry of a hash takes the greatest code of it
+        o = np.argsort(key, kind="stable")
+        group, first = groups(key[o])
+        code[o] = np.maximum.reduceat(code[o], first)[group]
+        hit = code > 0
+        return pa.Table.from_batches([_answer_batch(_answers(names.tolist(), src[hit], place[hit], code[hit], key[hit], with_hash))])
+
+    return run
+
+
+def common_hashes(listed: DataFrame, n_tasks: int, with_hash: bool = False) -> DataFrame:
+    """(block, own, payload): per block its own row, and answers for hashes that stand in two blocks or more.
+
+    An answer's code is 2 where the extras of its hash differ, else 1. ``n_tasks`` compare; beyond
+    ``FAN`` of them the pieces of each range are gathered first. Neither changes an answer.
+    """
+    if n_tasks <= FAN:
+        return listed.repartition(max(1, n_tasks), "dest").mapInArrow(_compare(1, with_hash), ANSWER_SCHEMA)
+    parts = -(-n_tasks // FAN)
+    gathered = listed.repartition(FAN * parts, "dest", F.pmod("block", F.lit(parts))).mapInArrow(_gather(1), REQUEST_SCHEMA)
+    gathered = materialize(gathered, "exchange")
+    mine = gathered.filter("dest = -1").select("block", "own", "payload")
+    second = gathered.filter("dest >= 0").repartition(n_tasks, "dest").mapInArrow(_compare(2, with_hash), ANSWER_SCHEMA)
+    return mine.unionByName(second.groupBy("block").applyInArrow(_split(with_hash), ANSWER_SCHEMA))
 
 
 def read_answers(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Of one block's rows: its own arrays, and the answered (place, code, name), sorted by place."""
-    own, told = [], [(np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint64))]
+    """Of one block's rows: its own arrays, and the answered (place, code, hash), sorted by place."""
+    own, told = [], [(np.zeros(0, np.uint32), np.zeros(0, np.uint8), np.zeros(0, np.uint64))]
     for is_own, p in zip(table.column("own").to_pylist(), table.column("payload").to_pylist()):
         arrays = unpack(p)
         if is_own:
             own = arrays
         else:
-            told.append((*arrays, np.zeros(0, np.uint64))[:3])
-    place, code, name = (np.concatenate(x) for x in zip(*told))
+            told.append(tuple(arrays))
+    place, code, key = (np.concatenate(x) for x in zip(*told))
     o = np.argsort(place, kind="stable")
-    return own, place[o], code[o], name[o] if len(name) else name
+    return own, place[o].astype(np.int64), code[o], key[o] if len(key) else key
 
 
 def in_blocks(batches: Iterator[pa.RecordBatch], text: str, chars: int) -> Iterator[pa.Table]:
@@ -249,6 +332,6 @@ def in_blocks(batches: Iterator[pa.RecordBatch], text: str, chars: int) -> Itera
         yield pa.Table.from_batches(held)
 
 
-def fan_out(df_bytes: int, per_task: int = 8 << 20) -> int:
-    """How many comparing tasks for so many bytes of text: they follow the data."""
-    return max(16, -(-df_bytes // per_task))
+def task_count(text_bytes: int) -> int:
+    """How many tasks compare the hashes of so many bytes of text: they follow the data."""
+    return max(16, -(-text_bytes // TASK_BYTES))

@@ -1,23 +1,29 @@
-"""Near-duplicate records by segment popcounts and a grid join, verified exactly.
+"""Near-duplicate records by segment popcounts and a grid range join, verified exactly.
 
 A record's fingerprint is the bit set of its distinct word shingles, hashed to 64 bits.
-The bits are cut into segments; a record is embedded as its count of set bits in each
-segment. The Manhattan distance of two such vectors never exceeds the number of bits in
-which the records differ, and likeness of at least t allows records of a and b bits to
-differ in (1 - t) / (1 + t) * (a + b) bits at most: the distance is a lower bound, and
-pairs beyond it are dropped without a look at their texts.
-
-Candidates come from a grid over this embedding. The segments are grouped into bands of
-a few set bits each (as many bands as the records' size asks for, so sizes within a
-factor t meet on the same grid); the popcount vector of a band is a grid cell. A pair
-within the bound differs in so few bits that many bands are left at distance 0, and
-meets in their cells. The bands are narrow in bits and their segments fine, so unlike
-records rarely meet. Cells that one record alone has are dropped by an exchange of
-their hashes before anything else is shuffled.
-
-A cell of more than ``crowd`` records (boilerplate) makes no pairs itself: its members
-meet in the cells of two such bands together. What still crowds there is compared
-within the bound in one pass over the group.
+
+1. *Own bits.* Which bits other records hold too is asked of an exchange of their hashes. A
+   bit that one record alone holds is a certain difference to any other record: a record with
+   more than ``1 - t`` of them is alike to none, and two records may together have no more than
+   ``k * (a + b)``, for records of a and b bits and ``k = (1 - t) / (1 + t)``. So records that share
+   a banner but are their own otherwise leave here, whatever the number of them.
+2. *Embedding.* The other bits are cut into bands of ``SEGMENTS`` segments, and a record becomes
+   its count of set bits in each segment. The Manhattan distance of two such vectors never
+   exceeds the number of bits in which the records differ, at most ``k * (a + b)``.
+3. *Grid range join.* A band is a grid with a cell for each vector of counts. Of ``m`` bands all
+   but ``SPARE`` would have to differ by two or more to lose a pair, and ``2 * (m - SPARE + 1)`` exceeds the
+   distance allowed: so a pair comes within distance 1 in SPARE bands at least. Each record
+   stands in the cell of its vector and reaches into those of its vectors with one count
+   less; that joins all vectors within distance 1. The number of bands follows the record's
+   size, on a grid of its own size and the next smaller one, so any two sizes within t meet.
+4. *Verification.* Pairs within the Manhattan bound are compared bit by bit, all bits.
+
+Empty vectors are no cell. A pair is lost only if one of its records is empty in every band
+in which they come within distance 1; where bands are few, two independent cuts into
+bands are used, and the chance stays below one in ten million for pairs at the threshold.
+
+A cell of more than ``HOT`` members is split: its members get a salt, each pair of salts is a
+group of its own, and pairs are compared within the bound before they leave it. No pair is left out.
 
 Records with one text are one record here; :func:`alike_pairs` gives pairs of texts,
 :func:`expand` gives every pair of ids, :func:`alike_groups` a class for every record.
@@ -39,10 +45,13 @@ from lakeweave.functions.arrow import pack
 from lakeweave.llm import hashing as H
 from lakeweave.sources.tables import discard, materialize, total_bytes
 
-BANDS = 32
-BITS_PER_BAND = 2.5
-SEGMENTS = 64
-CROWD = 32
+SEGMENTS = 1 << 16
+SPARE = 3
+#: Fewer bands than this are cut twice.
+FEW_BANDS = 16
+#: Segments of the whole vector that pairs are held against before they are verified.
+COARSE = 64
+HOT = 1024
 BLOCK_CHARS = 4_000_000
 
 
@@ -77,207 +86,332 @@ def _grid(n: np.ndarray, likeness: float) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / math.log(1 / likeness) + 1e-9).astype(np.int64)
 
 
-def cells(doc: np.ndarray, h: np.ndarray, n_docs: int, likeness: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, grid, cell) of every band that holds a bit, on the record's grid and the one below."""
-    n = np.bincount(doc, minlength=n_docs)
-    own = _grid(n, likeness)
+def share_of_difference(likeness: float) -> float:
+    """k: alike records of a and b bits differ in at most k * (a + b) of them."""
+    return (1 - likeness) / (1 + likeness)
+
+
+def n_bands(grid: np.ndarray, likeness: float) -> np.ndarray:
+    """Bands of a grid, for the greatest distance two records that meet on it may have."""
+    smallest = (1 / likeness) ** grid
+    farthest = share_of_difference(likeness) * smallest * (1 / likeness + 1 / likeness**2)
+    return np.floor(farthest / 2).astype(np.int64) + SPARE
+
+
+BELOW, LESS, HIGH = 1, 2, 4
+
+
+def cells(doc: np.ndarray, h: np.ndarray, n: np.ndarray, likeness: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, cell, flags) of each band's vector and of its vectors with one count less, on the record's grid and the one below.
+
+    doc, h: the bits that others hold too; n: all bits of each record. A cell's name is
+    linear in the counts, so a count less is a subtraction.
+    """
     out = []
-    for below in (0, 1):
+    own = _grid(n, likeness)
+    for below in (0, BELOW):
         grid = own - below
-        bands = np.maximum(2, np.rint((1 / likeness) ** grid / BITS_PER_BAND)).astype(np.int64)
-        turns = np.where(bands >= BANDS, 1, -(-BANDS // bands))
-        for turn in range(int(turns[n > 0].max()) if (n > 0).any() else 0):
-            mine = (turns[doc] > turn) & (grid[doc] >= 0)
-            d, x = doc[mine], h[mine]
-            x = H.mix(x + np.uint64(turn * 0x9E37 + 1))
-            # the band is the leading part of the bit's place, the segment the part after it
-            place = (x >> np.uint64(32)) * bands[d].astype(np.uint64)
-            band = (place >> np.uint64(32)).astype(np.int64)
-            used = band < BANDS
-            d, x, band = d[used], x[used], band[used]
-            segment = ((place[used] & np.uint64(0xFFFFFFFF)) >> np.uint64(8)).astype(np.uint64)
-            label = (d * (2 * BANDS) + band).astype(np.int64)
-            o = np.argsort(label, kind="stable")
-            group, first = H.groups(label[o])
-            if not len(first):
+        bands = n_bands(np.maximum(grid, 0), likeness)
+        for turn in (0, 1):
+            mine = ((grid >= 0) & ((turn == 0) | (bands < FEW_BANDS)))[doc]
+            d, x = doc[mine], H.mix(h[mine] + np.uint64(turn * 0x9E37 + 1))
+            band = ((x >> np.uint64(32)) * bands[d].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+            part = H.mix((x & np.uint64(SEGMENTS - 1)) + np.uint64(1))
+            o = np.lexsort((part, band, d))
+            d, band, part = d[o], band[o], part[o]
+            if not len(d):
                 continue
-            vector = np.add.reduceat(H.mix(segment[o]), first)  # a hash of the band's popcounts: sum over set segments
-            cd, cb = d[o][first], band[o][first]
-            out.append((cd, grid[cd], H.mix(vector + H.mix(((grid[cd] * 64 + turn) * BANDS + cb).astype(np.uint64)))))
+            label = d * (int(bands.max()) + 1) + band
+            group, first = H.groups(label)
+            name = np.add.reduceat(part, first)
+            tag = H.mix(((grid[d[first]] * 2 + turn) << 32).astype(np.uint64) + band[first].astype(np.uint64))
+            out.append((d[first], H.mix(name + tag), np.full(len(first), below)))
+            # one count less: once for each set segment, if something is left
+            size = np.diff(np.concatenate([first, [len(d)]]))
+            new = np.concatenate([[True], (part[1:] != part[:-1]) | (group[1:] != group[:-1])]) & (size[group] > 1)
+            out.append((d[new], H.mix((name[group] - part + tag[group])[new]), np.full(int(new.sum()), below | LESS)))
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def popcounts(doc: np.ndarray, h: np.ndarray, n_docs: int) -> np.ndarray:
-    """The coarse embedding: set bits in each of SEGMENTS segments."""
-    at = doc * SEGMENTS + (h >> np.uint64(64 - SEGMENTS.bit_length() + 1)).astype(np.int64)
-    return np.bincount(at, minlength=n_docs * SEGMENTS).reshape(n_docs, SEGMENTS).astype(np.uint16)
-
-
-def _list_cells(table: pa.Table, words: int, min_words: int, likeness: float, n_dest: int) -> pa.RecordBatch:
-    texts = table.column("text").to_pylist()
-    doc, h = shingles(texts, words, min_words)
-    cd, grid, cell = cells(doc, h, len(texts), likeness)
-    o = np.argsort(cell, kind="stable")
-    group, first = H.groups(cell[o])
-    size = np.diff(np.concatenate([first, [len(o)]]))
-    own = pack(H.key_words(table), popcounts(doc, h, len(texts)).ravel(), cd[o].astype(np.uint32), grid[o].astype(np.uint8), size.astype(np.uint32))
-    return H.requests(H.block_number(table), own, cell[o][first], size.astype(np.uint32), n_dest)
-
-
-MEMBER_SCHEMA = "cell long, key binary, counts binary"
-
-
-def _members(table: pa.Table) -> pa.Table:
-    """(cell, key, popcounts) of every record in a cell that others share."""
-    (keys, counts, docs, grids, size), place, total, name = H.read_answers(table)
-    counts = counts.reshape(-1, SEGMENTS)
-    begin = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    n = size[place].astype(np.int64)
-    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[place], n)
-    doc, grid = docs[at].astype(np.int64), grids[at].astype(np.int64)
-    total, name = np.repeat(total, n), np.repeat(name, n)
-    small = total <= CROWD
-    d1, c1 = doc[small], name[small]
-    # two crowded bands of one grid together are one cell
-    d2, g2, c2 = doc[~small], grid[~small], name[~small]
-    o = np.lexsort((c2, g2, d2))
-    d2, g2, c2 = d2[o], g2[o], c2[o]
-    pairs = [(d1, c1)]
-    for step in range(1, BANDS * 2):
-        if step >= len(d2):
-            break
-        same = (d2[step:] == d2[:-step]) & (g2[step:] == g2[:-step])
-        if same.any():
-            pairs.append((d2[step:][same], H.mix(H.mix(c2[:-step][same]) + c2[step:][same])))
-    d, c = (np.concatenate(x) for x in zip(*pairs))
-    words = keys.reshape(-1, 2)
-    return pa.table([pa.array(c.view(np.int64)), pa.array([words[i].tobytes() for i in d], pa.binary()), pa.array([counts[i].tobytes() for i in d], pa.binary())], names=["cell", "key", "counts"])
-
-
-def within_bound(a: np.ndarray, b: np.ndarray, likeness: float) -> np.ndarray:
-    """Whether the Manhattan distance of popcount vectors leaves the pair a chance."""
-    a, b = a.astype(np.int32), b.astype(np.int32)
-    return np.abs(a - b).sum(1) <= (1 - likeness) / (1 + likeness) * (a.sum(1) + b.sum(1)) + 1e-6
-
-
-def _pairs_in_cells(likeness: float):
-    """Pairs within the bound of rows sorted by cell; a group may run over many batches."""
-
-    def compare(key: np.ndarray, counts: np.ndarray, cell: np.ndarray):
-        group, first = H.groups(cell)
-        longest = int(np.diff(np.concatenate([first, [len(cell)]])).max()) if len(cell) else 0
-        for step in range(1, longest):
-            i = np.nonzero(cell[step:] == cell[:-step])[0]
-            i = i[within_bound(counts[i], counts[i + step], likeness)]
-            if len(i):
-                a, b = key[i], key[i + step]
-                swap = a > b
-                a, b = np.where(swap, b, a), np.where(swap, a, b)
-                ok = a != b
-                yield pa.RecordBatch.from_arrays([pa.array(a[ok].tolist(), pa.binary()), pa.array(b[ok].tolist(), pa.binary())], names=["key_a", "key_b"])
+    """The coarse vector: set bits in each of COARSE segments, up to 255."""
+    at = doc * COARSE + (h >> np.uint64(64 - COARSE.bit_length() + 1)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=n_docs * COARSE), 255).reshape(n_docs, COARSE).astype(np.uint8)
+
+
+def within_bound(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether the Manhattan distance of popcount vectors is at most ``most``."""
+    return np.abs(a.astype(np.int16) - b.astype(np.int16)).sum(1) <= most + 1e-6
+
+
+def _list_bits(table: pa.Table, words: int, min_words: int) -> pa.RecordBatch:
+    doc, h = shingles(table.column("text").to_pylist(), words, min_words)
+    n = np.bincount(doc, minlength=table.num_rows)
+    unlisted, known, _ = H.distinct(h, doc, None)
+    own = pack(H.key_words(table), n.astype(np.uint32), unlisted.astype(np.uint32), known.astype(np.uint32), h[known])
+    return H.requests(H.block_number(table), own, h[H.listed_entries(len(h), unlisted)], None)
+
+
+BITS_SCHEMA = "key binary, rid long, n int, u int, counts binary, bits binary"
+
+
+def _shared_bits(likeness: float):
+    """(key, rid, n, u, counts, bits) of records that may be alike to another: all their bits but the u that are theirs alone."""
+
+    def run(table: pa.Table) -> pa.Table:
+        (keys, n, unlisted, known, known_h), place, _, told = H.read_answers(table)
+        n = n.astype(np.int64)
+        entry = np.concatenate([known.astype(np.int64), H.listed_entries(int(n.sum()), unlisted)[place]])
+        h = np.concatenate([known_h, told])
+        entry, at = np.unique(entry, return_index=True)
+        h = h[at]
+        doc = np.searchsorted(np.cumsum(n), entry, "right")
+        shared = np.bincount(doc, minlength=len(n))
+        may = (n > 0) & (shared >= likeness * n - 1e-9)
+        doc, h = doc[may[doc]], h[may[doc]]
+        counts = popcounts(doc, h, len(n))
+        cut = np.searchsorted(doc, np.arange(len(n) + 1))
+        rows = np.nonzero(may)[0]
+        names = keys.reshape(-1, 2)
+        return pa.table(
+            [
+                pa.array([names[i].tobytes() for i in rows], pa.binary()), pa.array(names[rows, 0].view(np.int64)), pa.array(n[rows].astype(np.int32)), pa.array((n - shared)[rows].astype(np.int32)),
+                pa.array([counts[i].tobytes() for i in rows], pa.binary()), pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in rows], pa.binary()),
+            ],
+            names=["key", "rid", "n", "u", "counts", "bits"],
+        )
 
+    return run
+
+
+MEMBER_SCHEMA = "cell long, rid long, n int, u int, flags int"
+
+
+def _members(likeness: float):
     def run(batches):
-        held: list[tuple] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cell = np.asarray(batch.column("cell"))
-            key = np.array(batch.column("key").to_pylist(), dtype=object)
-            counts = np.frombuffer(b"".join(batch.column("counts").to_pylist()), np.uint16).reshape(-1, SEGMENTS)
-            held.append((key, counts, cell))
-            if cell[-1] == held[0][2][0]:
+            bits = [np.frombuffer(x, np.uint64) for x in batch.column("bits").to_pylist()]
+            doc = np.repeat(np.arange(len(bits)), [len(x) for x in bits])
+            n, u = (np.asarray(batch.column(c)).astype(np.int64) for c in ("n", "u"))
+            d, cell, flags = cells(doc, np.concatenate(bits), n, likeness)
+            at = pa.array(d)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), batch.column("rid").take(at), batch.column("n").take(at), batch.column("u").take(at), pa.array(flags.astype(np.int32))], names=["cell", "rid", "n", "u", "flags"])
+
+    return run
+
+
+def _may_pair(cols: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, likeness: float) -> np.ndarray:
+    """Whether two members of a cell are within distance 1 there, of the grid's sizes, and leave each other a chance."""
+    n, u, f = cols["n"], cols["u"], cols["flags"]
+    ok = ((f[i] & f[j] & (BELOW | LESS)) == 0) & (cols["rid"][i] != cols["rid"][j])
+    ok &= np.minimum(n[i], n[j]) >= likeness * np.maximum(n[i], n[j]) - 1e-9
+    most = share_of_difference(likeness) * (n[i] + n[j]) - u[i] - u[j]
+    ok &= most >= -1e-6
+    if "side" in cols:
+        ok &= (cols["lo"][i] == cols["hi"][i]) | (cols["side"][i] != cols["side"][j])
+        i, j, at = i[ok], j[ok], np.nonzero(ok)[0]
+        ok[at] = within_bound(cols["counts"][i], cols["counts"][j], most[at])
+    return ok
+
+
+def _pairs_of(cols: dict[str, np.ndarray], group: np.ndarray, likeness: float):
+    """Batches of pairs of the rows of each group; group numbers are sorted."""
+    alive, step = np.arange(len(group)), 0
+    while len(alive):
+        step += 1
+        alive = alive[alive + step < len(group)]
+        alive = alive[group[alive] == group[alive + step]]
+        i = alive[_may_pair(cols, alive, alive + step, likeness)]
+        if len(i):
+            a, b = cols["rid"][i], cols["rid"][i + step]
+            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            yield pair[:, 0], pair[:, 1]
+
+
+def _whole_groups(batches, names: list[str], same: tuple[str, ...]):
+    """The rows of sorted batches as columns, group by group: no group is cut between two yields."""
+    held: list[dict[str, np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = {}
+        for c in names:
+            col = batch.column(c)
+            cols[c] = np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, COARSE) if c == "counts" else np.asarray(col).astype(np.int64)
+        held.append(cols)
+        if all(cols[c][-1] == held[0][c][0] for c in same):
+            continue
+        cols = {c: np.concatenate([x[c] for x in held]) for c in names}
+        last = np.logical_and.reduce([cols[c] == cols[c][-1] for c in same])
+        cut = int(last.argmax())
+        yield {c: v[:cut] for c, v in cols.items()}
+        held = [{c: v[cut:] for c, v in cols.items()}]
+    if held:
+        yield {c: np.concatenate([x[c] for x in held]) for c in names}
+
+
+def _group_numbers(cols: dict[str, np.ndarray], same: tuple[str, ...]) -> np.ndarray:
+    new = np.logical_or.reduce([np.concatenate([[True], cols[c][1:] != cols[c][:-1]]) for c in same])
+    return np.cumsum(new) - 1
+
+
+PAIR_SCHEMA = "rid_a long, rid_b long, " + MEMBER_SCHEMA
+
+
+def _pairs_or_members(likeness: float):
+    """Rows sorted by cell: pairs of the cells of ``HOT`` members at most, the members of all others."""
+
+    def run(batches):
+        names = ["cell", "rid", "n", "u", "flags"]
+        kinds = {"cell": pa.int64(), "rid": pa.int64(), "n": pa.int32(), "u": pa.int32(), "flags": pa.int32()}
+        hot = None  # a cell known to be crowded, of which more may come
+        held: dict[str, np.ndarray] | None = None
+
+        def through(cols):
+            k = len(cols["cell"])
+            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), *(pa.array(cols[c], kinds[c]) for c in names)], names=["rid_a", "rid_b", *names])
+
+        def pairs(cols):
+            group = _group_numbers(cols, ("cell",))
+            size = np.bincount(group)
+            crowded = size[group] > HOT
+            if crowded.any():
+                yield through({c: v[crowded] for c, v in cols.items()})
+                cols, group = {c: v[~crowded] for c, v in cols.items()}, group[~crowded]
+            for a, b in _pairs_of(cols, group, likeness):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(len(a), kinds[c]) for c in names)], names=["rid_a", "rid_b", *names])
+
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            key, counts, cell = (np.concatenate(x) for x in zip(*held))
-            cut = int(np.searchsorted(cell, cell[-1]))
-            yield from compare(key[:cut], counts[:cut], cell[:cut])
-            held = [(key[cut:], counts[cut:], cell[cut:])]
-        if held:
-            yield from compare(*(np.concatenate(x) for x in zip(*held)))
+            cols = {c: np.asarray(batch.column(c)).astype(np.int64) for c in names}
+            if hot is not None:
+                more = cols["cell"] == hot
+                if more.any():
+                    yield through({c: v[more] for c, v in cols.items()})
+                    cols = {c: v[~more] for c, v in cols.items()}
+                if not len(cols["cell"]):
+                    continue
+                hot = None
+            if held is not None:
+                cols = {c: np.concatenate([held[c], cols[c]]) for c in names}
+            cut = int(np.searchsorted(cols["cell"], cols["cell"][-1]))
+            yield from pairs({c: v[:cut] for c, v in cols.items()})
+            held = {c: v[cut:] for c, v in cols.items()}
+            if len(held["cell"]) > HOT:
+                hot = int(held["cell"][0])
+                yield through(held)
+                held = None
+        if held is not None:
+            yield from pairs(held)
 
     return run
 
 
-def _texts(df: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, DataFrame]:
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & (F.length("text") >= 2 * min_words - 1))
-    # the filter on the key stands in both uses of the texts, so that one exchange serves both
-    rows = rows.withColumn("key", F.unhex(F.md5("text"))).filter(F.col("key").isNotNull())
-    ids = rows.groupBy("id").agg(F.max("key").alias("key"))
-    return ids, rows.groupBy("key").agg(F.first("text").alias("text"))
+def _hot_pairs(likeness: float):
+    """Pairs within the bound of rows sorted by (cell, lo, hi)."""
+    same = ("cell", "lo", "hi")
+
+    def run(batches):
+        for cols in _whole_groups(batches, ["cell", "lo", "hi", "side", "rid", "n", "u", "flags", "counts"], same):
+            for a, b in _pairs_of(cols, _group_numbers(cols, same), likeness):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["rid_a", "rid_b"])
 
+    return run
 
-def alike_pairs(texts: DataFrame, likeness: float = 0.7, words: int = 3, min_words: int = 20, n_dest: int = 16) -> DataFrame:
-    """(key_a, key_b, likeness) of different texts (key, text) that are alike, key_a < key_b."""
 
-    def list_cells(batches):
-        for block in H.in_blocks(batches, "text", BLOCK_CHARS):
-            yield _list_cells(block, words, min_words, likeness, n_dest)
+def candidates(bits: DataFrame, likeness: float) -> tuple[DataFrame, DataFrame]:
+    """(rid_a, rid_b), rid_a < rid_b, of all records that share a cell and may be alike; and the written rows it reads."""
+    members = bits.select("bits", "rid", "n", "u").mapInArrow(_members(likeness), MEMBER_SCHEMA)
+    met = materialize(members.repartition("cell").sortWithinPartitions("cell").mapInArrow(_pairs_or_members(likeness), PAIR_SCHEMA), "alike-met")
+    pairs = met.filter("cell is null").select("rid_a", "rid_b")
+    hot = met.filter("cell is not null").drop("rid_a", "rid_b")
+    # a member meets every salt of its cell, in the group named by both salts; counts are summed before they move
+    size = hot.groupBy("cell").agg(F.ceil(F.count("*") / HOT).cast("int").alias("salts"))
+    hot = hot.join(size, "cell").join(bits.select("rid", "counts"), "rid")
+    mine = F.pmod(F.xxhash64("rid", "cell"), F.col("salts")).cast("int")
+    hot = hot.withColumn("side", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    hot = hot.select("cell", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "rid", "n", "u", "flags", "counts")
+    more = hot.repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi").mapInArrow(_hot_pairs(likeness), "rid_a long, rid_b long")
+    return pairs.unionByName(more).distinct(), met
 
-    def fingerprints(batches):
-        for batch in batches:
-            if batch.num_rows:
-                doc, h = shingles(batch.column("text").to_pylist(), words, min_words)
-                cut = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in range(batch.num_rows)], pa.binary())], names=["key", "bits"])
 
-    def verify(batches):
+def _verify(likeness: float):
+    def run(batches):
         for batch in batches:
-            a, b = batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist()
-            score = np.zeros(len(a))
-            for i, (x, y) in enumerate(zip(a, b)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            if not batch.num_rows:
+                continue
+            n, u = (np.asarray(batch.column(f"{c}_a")).astype(np.int64) + np.asarray(batch.column(f"{c}_b")) for c in ("n", "u"))
+            a, b = (np.frombuffer(b"".join(batch.column(f"counts_{x}").to_pylist()), np.uint8).reshape(-1, COARSE) for x in "ab")
+            score = np.zeros(batch.num_rows)
+            left, right = batch.column("bits_a"), batch.column("bits_b")
+            for i in np.nonzero(within_bound(a, b, share_of_difference(likeness) * n - u))[0]:
+                x, y = np.frombuffer(left[int(i)].as_py(), np.uint64), np.frombuffer(right[int(i)].as_py(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                score[i] = both / max(1, len(x) + len(y) - both)
-            ok = pa.array(score >= likeness)
+                score[i] = both / max(1, int(n[i]) - both)
             out = pa.RecordBatch.from_arrays([batch.column("key_a"), batch.column("key_b"), pa.array(score)], names=["key_a", "key_b", "likeness"])
-            yield out.filter(ok)
+            yield out.filter(pa.array(score >= likeness))
 
-    listed = texts.sortWithinPartitions("key").mapInArrow(list_cells, H.REQUEST_SCHEMA)
-    members = H.common_counts(listed).groupBy("block").applyInArrow(_members, MEMBER_SCHEMA)
-    pairs = members.repartition("cell").sortWithinPartitions("cell").mapInArrow(_pairs_in_cells(likeness), "key_a binary, key_b binary").distinct()
-    pairs = materialize(pairs, "alike-candidates")
-    held = pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
-    bits = texts.join(held, "key", "left_semi").mapInArrow(fingerprints, "key binary, bits binary")
-    bits = materialize(bits, "alike-fingerprints")
-    both = pairs.join(bits.select(F.col("key").alias("key_a"), F.col("bits").alias("bits_a")), "key_a").join(bits.select(F.col("key").alias("key_b"), F.col("bits").alias("bits_b")), "key_b")
-    return both.select("key_a", "key_b", "bits_a", "bits_b").mapInArrow(verify, "key_a binary, key_b binary, likeness double")
+    return run
 
 
-def _words(text: str) -> F.Column:
-    pieces = F.split(F.regexp_replace(text, "﻿", ""), "[ \t\r\n]+")
-    return F.size(F.filter(pieces, lambda x: x != ""))
+def _texts(df: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """(id, key, long_enough), key naming the text, and the distinct texts (key, text)."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & (F.length("text") >= 2 * min_words - 1))
+    rows = rows.withColumn("key", F.unhex(F.md5("text")))
+    # so many words: U+FEFF begins none, and ends none
+    enough = F.col("text").rlike(r"\A(?:[ \t\r\n\x{FEFF}]*+[^ \t\r\n\x{FEFF}][^ \t\r\n]*+){%d}" % min_words)
+    ids = rows.groupBy("id").agg(F.max(F.struct("key", enough.alias("long_enough"))).alias("t")).select("id", "t.*")
+    return ids, rows.groupBy("key").agg(F.first("text").alias("text"))
+
+
+def alike_pairs(texts: DataFrame, likeness: float = 0.7, words: int = 3, min_words: int = 20, n_tasks: int = 16) -> DataFrame:
+    """(key_a, key_b, likeness) of different texts (key, text) that are alike, key_a < key_b."""
+
+    def list_bits(batches):
+        for block in H.in_blocks(batches, "text", BLOCK_CHARS):
+            yield _list_bits(block, words, min_words)
+
+    listed = texts.sortWithinPartitions("key").mapInArrow(list_bits, H.REQUEST_SCHEMA)
+    bits = H.common_hashes(listed, n_tasks, with_hash=True).groupBy("block").applyInArrow(_shared_bits(likeness), BITS_SCHEMA)
+    bits = materialize(bits, "alike-bits")
+    of = lambda side: bits.select(*[F.col(c).alias(f"{c}_{side}") for c in bits.columns])
+    pairs, met = candidates(bits, likeness)
+    both = pairs.join(of("a"), "rid_a").join(of("b"), "rid_b")
+    found = both.drop("rid_a", "rid_b").mapInArrow(_verify(likeness), "key_a binary, key_b binary, likeness double")
+    # a record is told by the first half of its key up to here; which of two keys is the less is settled now
+    found = found.filter("key_a <> key_b").select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"), "likeness")
+    found = materialize(found.distinct(), "alike-pairs")
+    discard(met)
+    discard(bits)
+    return found
 
 
 def alike(df: DataFrame, id_col: str = "result_id", text_col: str = "text", likeness: float = 0.7, words: int = 3, min_words: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(id, key) of every record long enough, key naming its text, and the alike pairs of keys."""
+    """(id, key, long_enough) of every record, key naming its text, and the alike pairs of keys."""
     ids, texts = _texts(df, id_col, text_col, min_words)
-    pairs = alike_pairs(texts, likeness, words, min_words, H.fan_out(total_bytes(df, text_col)))
-    return ids, pairs
+    return ids, alike_pairs(texts, likeness, words, min_words, H.task_count(total_bytes(df, text_col)))
 
 
-def expand(df: DataFrame, id_col: str = "result_id", text_col: str = "text", likeness: float = 0.7, words: int = 3, min_words: int = 20, copies_in_full: int | None = None) -> DataFrame:
+def expand(df: DataFrame, id_col: str = "result_id", text_col: str = "text", likeness: float = 0.7, words: int = 3, min_words: int = 20) -> DataFrame:
     """(id_a, id_b), id_a < id_b: every pair of records that are alike, copies of one text too.
 
-    Its size is that of the result asked for; :func:`alike_groups` says the same in one row a
-    record. Only where ``copies_in_full`` is given, a text with more copies is told by its least id: that id
-    has the text's pairs with other texts, and a pair with each copy, in place of all pairs
-    among the copies. No link between different texts is lost.
+    Its size is that of the result asked for, at any number of copies; :func:`alike_groups`
+    says the same in one row a record. The copies of a text are joined by salts.
     """
     ids, pairs = alike(df, id_col, text_col, likeness, words, min_words)
-    size = ids.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1")
-    ids = ids.join(size, "key", "left")
-    small = F.lit(True) if copies_in_full is None else F.coalesce(F.col("n"), F.lit(1)) <= copies_in_full
-    told = ids.filter(small | (F.col("id") == F.col("first")))
-    a, b = told.select(F.col("key").alias("key_a"), F.col("id").alias("x")), told.select(F.col("key").alias("key_b"), F.col("id").alias("y"))
-    between = pairs.join(a, "key_a").join(b, "key_b").select("x", "y")
-    long_enough = df.select(F.unhex(F.md5(text_col)).alias("key"), F.col(text_col).alias("text"))
-    twice = long_enough.join(size.select("key"), "key", "left_semi").filter(_words("text") >= min_words).select("key").distinct()
-    mine = ids.filter("n > 1").join(twice, "key", "left_semi")
-    few = mine.filter(small)
-    copies = few.select("key", F.col("id").alias("x")).join(few.select("key", F.col("id").alias("y")), "key").filter("x < y").select("x", "y")
-    many = mine.filter(~small & (F.col("id") != F.col("first"))).select(F.col("first").alias("x"), F.col("id").alias("y"))
-    return between.unionByName(copies).unionByName(many).select(F.least("x", "y").alias(f"{id_col}_a"), F.greatest("x", "y").alias(f"{id_col}_b"))
+    told = ids.select("id", "key")
+    between = pairs.join(told.select(F.col("key").alias("key_a"), F.col("id").alias("x")), "key_a").join(told.select(F.col("key").alias("key_b"), F.col("id").alias("y")), "key_b").select("x", "y")
+    size = ids.filter("long_enough").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    mine = told.join(size.select("key", F.ceil(F.col("n") / HOT).cast("int").alias("salts")), "key")
+    left = mine.select("key", F.col("id").alias("x"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    right = mine.select("key", F.col("id").alias("y"), F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
+    copies = left.join(right, ["key", "salt"]).filter("x < y").select("x", "y")
+    return between.unionByName(copies).select(F.least("x", "y").alias(f"{id_col}_a"), F.greatest("x", "y").alias(f"{id_col}_b"))
 
 
 def alike_groups(df: DataFrame, id_col: str = "result_id", text_col: str = "text", likeness: float = 0.7, words: int = 3, min_words: int = 20) -> DataFrame:
@@ -289,7 +423,8 @@ def alike_groups(df: DataFrame, id_col: str = "result_id", text_col: str = "text
     ids, pairs = alike(df, id_col, text_col, likeness, words, min_words)
     links = pairs.select(F.col("key_a").alias("key"), F.col("key_b").alias("other"))
     links = materialize(links.unionByName(links.select(F.col("other").alias("key"), F.col("key").alias("other"))), "alike-links")
-    per_key = ids.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("n_copies"))
+    discard(pairs)
+    per_key = ids.filter("long_enough").groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("n_copies"))
     label = materialize(per_key.join(links.groupBy("key").agg(F.count("*").alias("n_links")), "key", "left").select("key", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("first_id").alias("class_id")).filter("n_links > 0 or n_copies > 1"), "alike-label")
     moved = True
     while moved:
@@ -303,6 +438,5 @@ def alike_groups(df: DataFrame, id_col: str = "result_id", text_col: str = "text
         discard(label)
         discard(new)
         label = after
-    grown = ids.join(label, "key")
-    few = df.select(F.unhex(F.md5(text_col)).alias("key"), F.col(text_col).alias("text")).join(label.filter("n_links = 0").select("key"), "key", "left_semi").filter(_words("text") < min_words).select("key").distinct()
-    return grown.join(few, "key", "left_anti").select(F.col("id").alias(id_col), "class_id", "n_copies", "n_links")
+    discard(links)
+    return ids.select("id", "key").join(label, "key").select(F.col("id").alias(id_col), "class_id", "n_copies", "n_links")

@@ -21,7 +21,9 @@ text of ``span`` or more characters share all of it.
 
 Defined results: null, empty and short texts have no spans; repeated rows of one id count
 once (the greatest text if they should differ); columns beside id and text are ignored.
-Hashes have 64 bits; md5 names a text.
+Anchors and windows are compared by hashes of 64 bits, the surroundings of an anchor by 32
+more: two of these that differ are taken for equal once in four thousand million shared
+anchors, and then only the bounds of a stretch that is shared are off. md5 names a text.
 """
 
 from __future__ import annotations
@@ -53,7 +55,7 @@ def _cover_positions(length: np.ndarray, window: int) -> tuple[np.ndarray, np.nd
     return doc[ok], pos[ok]
 
 
-def _anchors(table: pa.Table, span: int, n_dest: int) -> pa.RecordBatch:
+def _anchors(table: pa.Table, span: int) -> pa.RecordBatch:
     window = span - PERIOD + 1
     b = H.Block(table.column("text").to_pylist())
     doc, pos = _cover_positions(b.len, window)
@@ -62,32 +64,21 @@ def _anchors(table: pa.Table, span: int, n_dest: int) -> pa.RecordBatch:
     left = np.minimum(pos, PERIOD - 1)
     right = np.minimum(b.len[doc] - pos, span)
     around = b.windows(at - left, at + right) ^ H.mix((left * (span + 1) + right).astype(np.uint64))
-    order = np.lexsort((doc, around, h))
-    group, first = H.groups(h[order])
-    d, a = doc[order], around[order]
-    docs_differ = (np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)) if len(d) else np.zeros(0, bool)
-    around_differ = (np.minimum.reduceat(a, first) != np.maximum.reduceat(a, first)) if len(d) else np.zeros(0, bool)
-    several = docs_differ[group]
-    # anchors that two texts of this block hold are shared already; the block lists two of them
-    # for the other blocks, with different surroundings if there are such
-    known = order[several]
-    known_code = np.where(around_differ[group][several], 2, 1).astype(np.uint8)
-    is_first = np.zeros(len(order), bool)
-    is_first[first] = True
-    last = np.concatenate([first[1:], [len(order)]]) - 1 if len(first) else first
-    is_last = np.zeros(len(order), bool)
-    is_last[last] = True
-    listed = np.sort(order[~several | is_first | (is_last & around_differ[group])])
-    own = pack(H.key_words(table), b.len, listed.astype(np.uint32), known.astype(np.uint32), known_code)
-    return H.requests(H.block_number(table), own, h[listed], (around[listed] >> np.uint64(32)).astype(np.uint32), n_dest)
+    # anchors that two texts of this block hold are shared already; for the other blocks
+    # one of them is listed, or two where their surroundings differ
+    unlisted, known, known_code = H.distinct(h, doc, around)
+    listed = H.listed_entries(len(h), unlisted)
+    own = pack(H.key_words(table), b.len, unlisted.astype(np.uint32), known.astype(np.uint32), known_code)
+    return H.requests(H.block_number(table), own, h[listed], (around[listed] >> np.uint64(32)).astype(np.uint32))
 
 
 def _anchor_answers(span: int):
     window = span - PERIOD + 1
 
     def run(table: pa.Table) -> pa.Table:
-        (keys, length, listed, known, known_code), place, code, _ = H.read_answers(table)
+        (keys, length, unlisted, known, known_code), place, code, _ = H.read_answers(table)
         doc, pos = _cover_positions(length, window)
+        listed = H.listed_entries(len(doc), unlisted)
         index = np.concatenate([known.astype(np.int64), listed[place].astype(np.int64)])
         code = np.concatenate([known_code.astype(np.int64), code.astype(np.int64)])
         # an anchor with two answers takes both: its texts in this block may agree while others differ
@@ -103,7 +94,7 @@ def _anchor_answers(span: int):
     return run
 
 
-def _extend(table: pa.Table, span: int, n_dest: int) -> pa.RecordBatch:
+def _extend(table: pa.Table, span: int) -> pa.RecordBatch:
     """Spans that are certain, and the windows to look for elsewhere."""
     b = H.Block(table.column("text").to_pylist())
     anchors = table.column("anchors").combine_chunks()
@@ -123,25 +114,19 @@ def _extend(table: pa.Table, span: int, n_dest: int) -> pa.RecordBatch:
     wp = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(rs, n)
     at = b.off[wd] + wp
     h = b.windows(at, at + span)
-    order = np.lexsort((wd, h))
-    group, first = H.groups(h[order])
-    d = wd[order]
-    several = ((np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)) if len(d) else np.zeros(0, bool))[group]
-    known = order[several]
-    is_first = np.zeros(len(order), bool)
-    is_first[first] = True
-    listed = np.sort(order[~several | is_first])
+    unlisted, known, _ = H.distinct(h, wd, None)
+    listed = H.listed_entries(len(h), unlisted)
     # a text that repeats a window lists it several times in one block; that is no other text
     sd, ss, se = H.union_spans(np.concatenate([sure[0][keep], wd[known]]), np.concatenate([sure[1][keep], wp[known]]), np.concatenate([sure[2][keep], wp[known] + span]))
     run = np.cumsum(np.concatenate([[0], n]))
-    own = pack(H.key_words(table), sd, ss, se, rd, rs, run, listed.astype(np.uint32))
-    return H.requests(H.block_number(table), own, h[listed], None, n_dest)
+    own = pack(H.key_words(table), sd, ss, se, rd, rs, run, unlisted.astype(np.uint32))
+    return H.requests(H.block_number(table), own, h[listed], None)
 
 
 def _extend_answers(span: int):
     def run(table: pa.Table) -> pa.Table:
-        (keys, sd, ss, se, rd, rs, run_at, listed), place, _, _ = H.read_answers(table)
-        w = listed[place].astype(np.int64)
+        (keys, sd, ss, se, rd, rs, run_at, unlisted), place, _, _ = H.read_answers(table)
+        w = H.listed_entries(int(run_at[-1]), unlisted)[place]
         r = np.searchsorted(run_at, w, "right") - 1
         doc, start = rd[r], rs[r] + (w - run_at[r])
         d, s, e = H.union_spans(np.concatenate([sd, doc]), np.concatenate([ss, start]), np.concatenate([se, start + span]))
@@ -159,22 +144,22 @@ def shared_spans(df: DataFrame, id_col: str = "result_id", text_col: str = "text
     # the filter on the key stands in both uses of the texts, so that one exchange serves both
     rows = rows.withColumn("key", F.unhex(F.md5("text"))).filter(F.col("key").isNotNull())
     ids = rows.groupBy("id").agg(F.max(F.struct("key", F.length("text").alias("n_chars"))).alias("t")).select("id", "t.*")
-    n_dest = H.fan_out(total_bytes(df, text_col))
+    n_tasks = H.task_count(total_bytes(df, text_col))
     texts = rows.groupBy("key").agg(F.first("text").alias("text"))
 
     def list_anchors(batches):
         for block in H.in_blocks(batches, "text", BLOCK_CHARS):
-            yield _anchors(block, span, n_dest)
+            yield _anchors(block, span)
 
     def list_windows(batches):
         for block in H.in_blocks(batches, "text", BLOCK_CHARS):
-            yield _extend(block, span, n_dest)
+            yield _extend(block, span)
 
     listed = texts.sortWithinPartitions("key").mapInArrow(list_anchors, H.REQUEST_SCHEMA)
-    anchors = H.common_hashes(listed).groupBy("block").applyInArrow(_anchor_answers(span), "key binary, anchors array<int>")
+    anchors = H.common_hashes(listed, n_tasks).groupBy("block").applyInArrow(_anchor_answers(span), "key binary, anchors array<int>")
     held = texts.join(anchors, "key").sortWithinPartitions("key").select("key", "text", "anchors")
     windows = held.mapInArrow(list_windows, H.REQUEST_SCHEMA)
-    spans = H.common_hashes(windows).groupBy("block").applyInArrow(_extend_answers(span), "key binary, span_start int, span_end int")
+    spans = H.common_hashes(windows, n_tasks).groupBy("block").applyInArrow(_extend_answers(span), "key binary, span_start int, span_end int")
     # two ids with one text share all of it, and every id has its text's spans
     copies = ids.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("key", F.lit(True).alias("whole"))
     per_id = ids.join(copies, "key", "left")

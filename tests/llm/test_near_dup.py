@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -75,13 +76,63 @@ def test_crowded_cells(spark):
     assert rnd
 
 
-def test_very_many_copies_are_told_by_one(spark):
+def test_cells_are_split_alike(spark, monkeypatch):
+    """Cells of more than a few members are salted: the same pairs come out."""
+    monkeypatch.setattr(N, "HOT", 3)
+    rnd = random.Random(11)
+    base = [f"b{i}" for i in range(90)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for k in range(rnd.randrange(0, 9)):
+            w[rnd.randrange(90)] = f"o{rnd.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    want = brute(rows)
+    assert len(want) > 300
+    assert {tuple(r) for r in N.expand(frame(spark, rows)).collect()} == want
+
+
+def test_banner_of_three_thousand_records(spark):
+    """A banner of three quarters of each record's words, and of one of nine tenths."""
+    rnd = random.Random(6)
+    banner = [f"b{i}" for i in range(75)]
+    rows = [(i, " ".join(banner + [f"o{i}_{k}" for k in range(25)])) for i in range(3000)]
+    close = [(5000 + i, " ".join(["c"] + [f"c{k}" for k in range(90)] + [f"p{i}_{k}" for k in range(7)])) for i in range(40)]
+    got = {tuple(r) for r in N.expand(frame(spark, rows + close)).collect()}
+    assert got == brute(close) and len(got) == 40 * 39 // 2
+    assert rnd
+
+
+def test_five_thousand_copies(spark):
     text = " ".join(f"w{i}" for i in range(40))
-    rows = [(i, text) for i in range(30)] + [(100, text + " more"), (101, text + " more")]
-    full = {tuple(r) for r in N.expand(frame(spark, rows)).collect()}
-    assert full == brute(rows)
-    got = {tuple(r) for r in N.expand(frame(spark, rows), copies_in_full=10).collect()}
-    assert got == {(0, i) for i in range(1, 30)} | {(0, 100), (0, 101), (100, 101)}
+    rows = [(i, text) for i in range(5000)] + [(9000, text + " more"), (9001, text + " more")]
+    df = frame(spark, rows)
+    assert N.expand(df).count() == 5002 * 5001 // 2
+    assert {(r.class_id, r.n_copies, r.n_links) for r in N.alike_groups(df).collect()} == {(0, 5000, 1), (0, 2, 1)}
+
+
+@pytest.mark.parametrize("size", [18, 19, 25, 31, 40, 60, 90, 200, 420])
+def test_pairs_at_the_threshold_share_a_cell(size):
+    """Recall of the grid alone, of pairs as unlike as the threshold allows, equal in size and one within the other."""
+    rnd = np.random.default_rng(size)
+    n_pairs, lost = 400, 0
+    for inner in (False, True):
+        both = -(-7 * 2 * size // 17) if not inner else size
+        a_own = size - both
+        b_own = int(both / 0.7 + 1e-9) - both - a_own
+        doc, h, n = [], [], []
+        for p in range(n_pairs):
+            common, x, y = (rnd.integers(0, 2**64, k, np.uint64) for k in (both, a_own, b_own))
+            for part in (x, y):
+                h += [common, part]
+                doc += [np.full(both, len(n)), np.full(len(part), len(n))]
+                n.append(both + len(part))
+        d, cell, flags = N.cells(np.concatenate(doc), np.concatenate(h), np.array(n), 0.7)
+        for p in range(n_pairs):
+            rows = [(d == 2 * p + k) for k in (0, 1)]
+            x, y = ({(c, f) for c, f in zip(cell[r].tolist(), flags[r].tolist())} for r in rows)
+            lost += not any(c == e and not f & g & (N.BELOW | N.LESS) for c, f in x for e, g in y)
+    assert lost == 0
 
 
 def test_empty_table(spark):
@@ -105,9 +156,3 @@ def test_shingles_are_those_of_the_words():
     by = [set(h[doc == i].tolist()) for i in range(len(texts))]
     assert by[0] == by[2] and len(by[0]) == 2 and by[0] < by[3] and not by[1] and not by[4]
     assert not len(N.shingles(["a b c"], 3, 20)[0]) and not len(N.shingles([], 3, 20)[0])
-
-
-def test_copies_are_told_alike_at_every_number(spark):
-    text = " ".join(f"w{i}" for i in range(30))
-    got = N.expand(frame(spark, [(i, text) for i in range(2001)]))
-    assert got.count() == 2001 * 2000 // 2

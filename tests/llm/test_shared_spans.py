@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
+from lakeweave.llm import hashing as H
 from lakeweave.llm import shared_spans as S
 
 
@@ -58,7 +60,13 @@ def test_random_edits_against_brute_force(spark, seed, monkeypatch):
             parts.append(word(rnd, rnd.randrange(0, 120)))
         rows.append((i, "".join(parts)))
     rows += [rows[3], rows[4], (100, rows[5][1]), (101, None), (102, ""), (103, "x" * 199), (None, rows[0][1]), (104, "z" * 900), (105, "z" * 205)]
-    assert run(spark, rows) == brute(rows, 200)
+    want = brute(rows, 200)
+    assert run(spark, rows) == want
+    # small blocks, and ranges gathered before they are compared
+    monkeypatch.setattr(S, "BLOCK_CHARS", 4000)
+    assert run(spark, rows) == want
+    monkeypatch.setattr(S.H, "FAN", 4)
+    assert run(spark, rows) == want
 
 
 def test_exact_length_and_self_repeats(spark):
@@ -95,3 +103,8 @@ def test_share(spark):
 
 def test_cover_has_every_difference():
     assert {(a - b) % S.PERIOD for a in S.COVER for b in S.COVER} == set(range(S.PERIOD))
+
+
+def test_gaps_round_trip():
+    for places in ([], [0], [65534, 65535, 131070, 131071, 400000], list(range(5))):
+        assert H._ungaps(H._gaps(np.array(places, np.int64))).tolist() == places
