@@ -52,6 +52,7 @@ FEW_BANDS = 16
 #: Segments of the whole vector that pairs are held against before they are verified.
 COARSE = 64
 HOT = 1024
+BITS_AT_ONCE = 200_000
 BLOCK_CHARS = 4_000_000
 
 
@@ -191,15 +192,19 @@ MEMBER_SCHEMA = "cell long, rid long, n int, u int, flags int"
 
 def _members(likeness: float):
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bits = [np.frombuffer(x, np.uint64) for x in batch.column("bits").to_pylist()]
-            doc = np.repeat(np.arange(len(bits)), [len(x) for x in bits])
-            n, u = (np.asarray(batch.column(c)).astype(np.int64) for c in ("n", "u"))
-            d, cell, flags = cells(doc, np.concatenate(bits), n, likeness)
-            at = pa.array(d)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), batch.column("rid").take(at), batch.column("n").take(at), batch.column("u").take(at), pa.array(flags.astype(np.int32))], names=["cell", "rid", "n", "u", "flags"])
+        for whole in batches:
+            at = 0
+            while at < whole.num_rows:
+                # so many records at a time as have a bounded number of bits
+                ends = np.cumsum([len(x) // 8 for x in whole.column("bits")[at : at + 4096].to_pylist()])
+                batch = whole.slice(at, max(1, int(np.searchsorted(ends, BITS_AT_ONCE, "right"))))
+                at += batch.num_rows
+                bits = [np.frombuffer(x, np.uint64) for x in batch.column("bits").to_pylist()]
+                doc = np.repeat(np.arange(len(bits)), [len(x) for x in bits])
+                n = np.asarray(batch.column("n")).astype(np.int64)
+                d, cell, flags = cells(doc, np.concatenate(bits), n, likeness)
+                row = pa.array(d)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), *(batch.column(c).take(row) for c in ("rid", "n", "u")), pa.array(flags.astype(np.int32))], names=["cell", "rid", "n", "u", "flags"])
 
     return run
 
