@@ -14,9 +14,8 @@ of equal time are ordered by id, and a producer's first file has no changes.
 
 from __future__ import annotations
 
-import json
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,20 +23,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakeweave.functions import jsontext
 from lakeweave.functions.arrow import map_arrow
 from lakeweave.operators.nested import kind_of
 from lakeweave.sources.tables import materialize
 
-FIELD_SCHEMA = "file_id bigint, field string, parent string, ancestors array<string>, kind string"
+FIELD_SCHEMA = "file_id bigint, field string, parent string, kind string"
+#: Characters of paths that one batch holds at most, but for one line's.
+BATCH_CHARS = 32_000_000
 
 
 def load_object(line: str | None) -> dict | None:
-    """The JSON object of a log line, or None, as for lines deeper than ``json.loads`` reads (about 10,000 levels)."""
+    """The JSON object of a log line, of any depth, or None."""
     if not line:
         return None
     try:
-        value = json.loads(line)
-    except (ValueError, RecursionError):
+        value = jsontext.loads(line)
+    except ValueError:
         return None
     return value if isinstance(value, dict) else None
 
@@ -45,53 +47,62 @@ def load_object(line: str | None) -> dict | None:
 def record_type(record: dict) -> str:
     """The type value a record's paths begin with; without a type it is ''."""
     value = record.get("type")
-    return value if isinstance(value, str) else "" if value is None else json.dumps(value)
+    return value if isinstance(value, str) else "" if value is None else jsontext.dumps(value)
 
 
-def fields_of(record: dict) -> set[tuple[str, tuple[str, ...], str]]:
-    """(path, ancestors, kind) of every value in the record that is not null."""
-    out, stack = set(), [(record_type(record), (), record)]
+def fields_of(record: dict) -> Iterator[tuple[str, str, str]]:
+    """(path, parent's path, kind) of every value in the record that is not null; paths may come again."""
+    stack = [(record_type(record), "", record)]
     while stack:
-        path, above, node = stack.pop()
+        path, parent, node = stack.pop()
         kind = kind_of(node)
         if not kind:
             continue
-        out.add((path, above, kind))
+        yield path, parent, kind
         if kind == "object":
-            stack += [(f"{path}.{k}", (*above, path), v) for k, v in node.items()]
+            stack += [(f"{path}.{k}", path, v) for k, v in node.items()]
         elif kind == "array":
-            stack += [(f"{path}[]", (*above, path), v) for v in node]
-    return out
+            stack += [(f"{path}[]", path, v) for v in node]
 
 
 def field_catalogue(lines: DataFrame) -> DataFrame:
-    """(file_id, field, parent, ancestors, kinds) from (file_id, line).
+    """(file_id, field, parent, kinds) from (file_id, line).
 
     Kinds are gathered per batch before the shuffle, so what is shuffled follows
-    the number of fields, not of lines.
+    the number of fields, not of lines. A field is told by its whole path, so a line
+    costs the square of its depth, in batches of bounded size.
     """
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen = set()
+    def told(seen: set) -> pa.RecordBatch:
+        rows = sorted(seen)
+        arrays = [pa.array([r[i] for r in rows], pa.string() if i else pa.int64()) for i in range(4)]
+        return pa.RecordBatch.from_arrays(arrays, names=["file_id", "field", "parent", "kind"])
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        size = 0
         for file_id, line in zip(batch.column("file_id").to_pylist(), batch.column("line").to_pylist()):
             record = load_object(line)
-            if record is not None and file_id is not None:
-                seen.update((file_id, *f) for f in fields_of(record))
-        rows = sorted(seen)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([r[0] for r in rows], pa.int64()),
-                pa.array([r[1] for r in rows], pa.string()),
-                pa.array([r[2][-1] if r[2] else "" for r in rows], pa.string()),
-                pa.array([list(r[2]) for r in rows], pa.list_(pa.string())),
-                pa.array([r[3] for r in rows], pa.string()),
-            ],
-            names=["file_id", "field", "parent", "ancestors", "kind"],
-        )
+            if record is None or file_id is None:
+                continue
+            for f in fields_of(record):
+                if (file_id, *f) not in seen:
+                    seen.add((file_id, *f))
+                    size += len(f[0]) + len(f[1])
+                if size > BATCH_CHARS:
+                    yield told(seen)
+                    seen, size = set(), 0
+        yield told(seen)
 
     found = map_arrow(lines.select("file_id", "line"), run, FIELD_SCHEMA)
     kinds = F.array_join(F.array_sort(F.collect_set("kind")), ",")
-    return found.groupBy("file_id", "field", "parent", "ancestors").agg(kinds.alias("kinds"))
+    return found.groupBy("file_id", "field", "parent").agg(kinds.alias("kinds"))
+
+
+def paths_above(field: Column) -> Column:
+    """The hashes of all paths a field lies beneath: its own, cut before every '.' and '[]'."""
+    cuts = F.filter(F.sequence(F.lit(2), F.length(field)), lambda i: (F.substring(field, i, 1) == ".") | (F.substring(field, i, 2) == "[]"))
+    return F.when(F.length(field) > 1, F.transform(cuts, lambda i: F.xxhash64(F.substring(field, F.lit(1), i - 1))))
 
 
 def number_files(files: DataFrame, producer: str, time: str) -> DataFrame:
@@ -108,7 +119,7 @@ def lifespans(catalogue: DataFrame, numbered: DataFrame) -> DataFrame:
     rows = rows.withColumn("starts", (F.col("seq") - F.lag("seq").over(w) != 1) | F.lag("seq").over(w).isNull())
     rows = rows.withColumn("island", F.sum(F.col("starts").cast("int")).over(w))
     first, last = F.min_by("file_id", "seq"), F.max_by("file_id", "seq")
-    return rows.groupBy("producer", "field", "parent", "ancestors", "kinds", "island").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), first.alias("first_file_id"), last.alias("last_file_id"), F.max("last_seq").alias("n_files"))
+    return rows.groupBy("producer", "field", "parent", "kinds", "island").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), first.alias("first_file_id"), last.alias("last_file_id"), F.max("last_seq").alias("n_files"))
 
 
 def changes(catalogue: DataFrame, numbered: DataFrame) -> DataFrame:
@@ -116,10 +127,10 @@ def changes(catalogue: DataFrame, numbered: DataFrame) -> DataFrame:
     spans = lifespans(catalogue, numbered)
     at = lambda when, seq, side: F.when(when, F.struct(seq.cast("int").alias("seq"), F.lit(side).alias("side")))
     sides = F.array(at(F.col("first_seq") > 1, F.col("first_seq"), 1), at(F.col("last_seq") < F.col("n_files"), F.col("last_seq") + 1, 0))
-    told = spans.select("producer", "field", "parent", "ancestors", "kinds", F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("e")).select("producer", "field", "parent", "ancestors", "kinds", "e.*")
+    told = spans.select("producer", "field", "parent", "kinds", F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("e")).select("producer", "field", "parent", "kinds", "e.*")
     # a run that ends where another run of the same field starts has only changed its kinds
     pick = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
-    events = told.groupBy("producer", "seq", "field", "parent", "ancestors").agg(pick(0, "kinds").alias("old_kinds"), pick(1, "kinds").alias("kinds"))
+    events = told.groupBy("producer", "seq", "field", "parent").agg(pick(0, "kinds").alias("old_kinds"), pick(1, "kinds").alias("kinds"))
     what = F.when(F.col("old_kinds").isNull(), "added").when(F.col("kinds").isNull(), "removed").otherwise("retyped")
     # what changed is little; it is written once and read by each of the steps below
     events = materialize(events.withColumn("change", what), "drift-events")
@@ -140,8 +151,8 @@ def changes(catalogue: DataFrame, numbered: DataFrame) -> DataFrame:
     listed = events.join(renamed, ["producer", "seq", "field"], "left").join(come, ["producer", "seq", "field"], "left")
     listed = listed.filter("is_new_name is null").withColumn("change", F.when(F.col("new_field").isNotNull(), "renamed").otherwise(F.col("change")))
     # nothing beneath a changed field is told again
-    beneath = listed.select("producer", "seq", "field", F.explode("ancestors").alias("above"))
-    changed = events.select("producer", "seq", F.col("field").alias("above"))
+    beneath = listed.select("producer", "seq", "field", F.explode(paths_above(F.col("field"))).alias("above"))
+    changed = events.select("producer", "seq", F.xxhash64("field").alias("above"))
     hidden = beneath.join(changed, ["producer", "seq", "above"], "left_semi").select("producer", "seq", "field").distinct()
     top = listed.join(hidden, ["producer", "seq", "field"], "left_anti")
     return top.join(numbered, ["producer", "seq"]).select("producer", "file_id", "field", "change", F.coalesce("new_field", F.lit("")).alias("new_field"), "old_kinds", "kinds")
@@ -269,14 +280,14 @@ def record_values(lines: DataFrame, whole: frozenset[str] = frozenset()) -> Data
                 path, node = stack.pop()
                 kind = kind_of(node)
                 if whole and kind in ("object", "array") and node and re.sub(r"\[\d+\]", "[]", path) in whole:
-                    for c, v in zip(cols, (file_id, index, top, path, kind, json.dumps(node))):
+                    for c, v in zip(cols, (file_id, index, top, path, kind, jsontext.dumps(node))):
                         c.append(v)
                 if kind == "object" and node:
                     stack += [(f"{path}.{k}", v) for k, v in reversed(node.items())]
                 elif kind == "array" and node:
                     stack += [(f"{path}[{i}]", v) for i, v in reversed(list(enumerate(node)))]
                 elif kind:
-                    for c, v in zip(cols, (file_id, index, top, path, kind, node if kind == "string" else json.dumps(node))):
+                    for c, v in zip(cols, (file_id, index, top, path, kind, node if kind == "string" else jsontext.dumps(node))):
                         c.append(v)
         types = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["file_id", "record_index", "record_type", "field", "kind", "value"])

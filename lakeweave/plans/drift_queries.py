@@ -29,7 +29,7 @@ def found(spark: SparkSession, folder: str) -> DataFrame:
 
 def lifespans(spark: SparkSession, folder: str) -> DataFrame:
     numbered = drift.number_files(table(spark, folder, "session_files"), "agent_id", "written_at")
-    return drift.lifespans(_catalogue(spark, folder), numbered).drop("ancestors", "island")
+    return drift.lifespans(_catalogue(spark, folder), numbered).drop("island")
 
 
 def casts(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,8 +14,15 @@ def brute(files, lines):
         except ValueError:
             continue
         if isinstance(rec, dict):
-            for path, above, kind in drift.fields_of(rec):
+            stack = [(rec.get("type", ""), [], rec)]
+            while stack:
+                path, above, v = stack.pop()
+                if v is None:
+                    continue
+                kind = {str: "string", bool: "boolean", dict: "object", list: "array"}.get(type(v), "number")
                 fields.setdefault(file_id, {}).setdefault(path, [above, set()])[1].add(kind)
+                inner = [(f"{path}.{k}", w) for k, w in v.items()] if kind == "object" else [(f"{path}[]", w) for w in v] if kind == "array" else []
+                stack += [(p, [*above, path], w) for p, w in inner]
     out = set()
     agents = {}
     for f in files:
@@ -132,3 +139,13 @@ def test_canonical_names():
     # a field renamed beneath an old name of its parent
     names = drift.canonical_names([("t.o.x", "t.o.y", 1), ("t.o", "t.n", 1)])
     assert [drift.canonical_name(p, names) for p in ("t.o.x[].z", "t.n.x", "t.o.y", "t.other.x", "t.o")] == ["t.n.y[].z", "t.n.y", "t.n.y", "t.other.x", "t.n"]
+
+
+def test_depth_is_no_limit(spark):
+    deep = lambda n, leaf: '{"type":"t","p":' + '{"a":' * n + leaf + "}" * n + "}"
+    assert drift.load_object(deep(100_000, "1"))["type"] == "t"
+    lines = [(1, deep(1500, "1")), (2, deep(1500, '"x"')), (3, deep(1500, '"x"')[:-1])]
+    df = spark.createDataFrame(lines, "file_id long, line string")
+    files = spark.createDataFrame([(1, "g", 1), (2, "g", 2), (3, "g", 3)], "file_id long, agent string, at long")
+    got = drift.changes(drift.field_catalogue(df), drift.number_files(files, "agent", "at")).collect()
+    assert {(r.file_id, r.field.count(".a"), r.change) for r in got} == {(2, 1500, "retyped"), (3, 0, "removed")}

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ CASES = [
 def test_json_nodes(spark):
     df = spark.createDataFrame([(i, t, "k") for i, t, _ in CASES], "id long, input string, kind string")
     got = nested.json_nodes(df, "input", ("command", "file_path", "pattern"))
-    assert got.columns == ["id", "kind_", "json_path", "member", "kind", "value"]
+    assert got.columns == ["id", "kind_", "json_path", "member", "kind", "value", "row_path", "parent_path", "ordinal"]
     found = {}
     for r in got.collect():
         found.setdefault(r.id, set()).add(r.json_path)
@@ -62,8 +63,48 @@ def test_walk_reaches_every_value(value):
     assert len(list(nested.walk(value))) == count(value)
 
 
-def test_walk_has_no_depth_limit():
-    deep = {"command": 1}
-    for _ in range(5000):
-        deep = {"a": deep}
-    assert sum(1 for _ in nested.walk(deep)) == 5002
+def test_depth_is_no_limit(spark):
+    n = 100_000
+    deep = '{"a":[' * (n // 2) + '{"command": "ls", "pattern": [1, {"x": null}]}' + "]}" * (n // 2)
+    for text in (deep, json.dumps(deep)):
+        root = nested.parse_object(text)
+        assert sum(1 for _ in nested.walk(root)) == n + 6
+    df = spark.createDataFrame([(1, deep), (2, deep[:-1]), (3, deep + "]")], "id long, input string")
+    got = nested.json_nodes(df, "input", ("command", "pattern")).collect()
+    assert {(r.id, r.member, r.value) for r in got} == {(1, "command", "ls"), (1, "pattern", '[1,{"x":null}]')}
+    assert all(r.json_path.count("[0]") == n // 2 for r in got)
+
+
+def test_deep_parser_and_writer_equal_the_library():
+    from lakeweave.functions import jsontext
+
+    for text in ('{"a": [1, -2.5e3, "x\\u00e9", null, true, {}], "b": {"c": []}}', " [ ] ", '"x"', "3", '{"a":1,"a":2}', "[1,[2,[3]]]"):
+        assert jsontext._loads_deep(text) == json.loads(text)
+        assert "".join(jsontext._pieces(json.loads(text))) == jsontext.dumps(json.loads(text))
+    for text in ("", "[", "[1,]", '{"a"}', '{"a":}', "[1]]", "nul", '{"a":1,}', "{1:2}", '["x]', "[1 2]"):
+        with pytest.raises(ValueError):
+            jsontext._loads_deep(text)
+    deep: list = []
+    for _ in range(50_000):
+        deep = [deep]
+    assert jsontext.dumps(deep) == "[" * 50_001 + "]" * 50_001
+
+
+def test_json_rows_and_tables(spark):
+    texts = ['{"command": "ls", "edits": [{"old": "a", "new": {"t": 1}, "tags": ["x", null]}, "plain", null], "a.b": 1, "a": {"b": 2}}', '{"edits": []}', "cut{"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, input string")
+    nodes = nested.json_nodes(df, "input")
+    rows = nested.json_rows(nodes, ["id"])
+    got = {(r.id, r.level, r.row_key, r.parent_key, r.ordinal): r.fields for r in rows.collect()}
+    assert got == {
+        (0, "$", "$", None, None): {"command": "ls", "a.b": "1"},
+        (0, "$.edits[]", "$.edits[0]", "$", 0): {"old": "a", "new.t": "1"},
+        (0, "$.edits[]", "$.edits[1]", "$", 1): {"": "plain"},
+        (0, "$.edits[]", "$.edits[2]", "$", 2): {"": "null"},
+        (0, "$.edits[].tags[]", "$.edits[0].tags[0]", "$.edits[0]", 0): {"": "x"},
+        (0, "$.edits[].tags[]", "$.edits[0].tags[1]", "$.edits[0]", 1): {"": "null"},
+        (1, "$", "$", None, None): {},
+    }
+    tables = nested.json_tables(rows, ["id"], nested.merged_schema(nodes))
+    assert set(tables) == {"$", "$.edits[]", "$.edits[].tags[]"}
+    assert [tuple(r) for r in tables["$.edits[]"].orderBy("ordinal").collect()] == [(0, "$.edits[0]", "$", 0, None, "1", "a"), (0, "$.edits[1]", "$", 1, "plain", None, None), (0, "$.edits[2]", "$", 2, "null", None, None)]
