@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,17 +24,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is absent (tests, one machine) a folder is made and set.
+    Only on one machine (master ``local``) a folder is made where that setting is absent; a
+    cluster without it is an error, for no machine's own folder is seen by all executors.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _MADE.get("folder")
     if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lakeweave-", dir=os.environ.get("TMPDIR"))
-        spark.sparkContext.setCheckpointDir(folder)
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^,\]]*)?\])?", spark.conf.get("spark.master", "")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = _MADE["folder"] = "file://" + tempfile.mkdtemp(prefix="lakeweave-", dir=os.environ.get("TMPDIR"))
+        atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
     return folder
 
 
+_MADE: dict[str, str] = {}
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: lineage ends there.
 
@@ -43,13 +53,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def remove(path: str) -> None:
+    """Delete a folder. Where the file system is none that pyarrow knows, it stays until the shared folder is emptied."""
+    with contextlib.suppress(ValueError, OSError, pa.ArrowException):
+        system, place = FileSystem.from_uri(path)
+        system.delete_dir(place)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what :func:`materialize` wrote for ``df``, once nothing reads it any more."""
     path = getattr(df, "_written_at", None)
     if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        remove(path)
 
 
 def total_bytes(df: DataFrame, text_col: str) -> int:
@@ -57,6 +72,8 @@ def total_bytes(df: DataFrame, text_col: str) -> int:
 
     Only how many tasks share the work depends on it, never what they find.
     """
+    if not hasattr(df, "_jdf"):  # a remote session shows no statistics
+        return df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if estimate < 1 << 60:
         return 4 * estimate

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lakeweave.sources.tables import shared_dir
+from lakeweave.sources.tables import remove, shared_dir
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -78,4 +78,5 @@ def run(stream: DataFrame, mode: str) -> DataFrame:
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(write).trigger(availableNow=True).start()
     q.awaitTermination()
+    remove(f"{base}/state")  # the stream is at its end
     return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{base}/out")
