@@ -2,24 +2,29 @@
 
 Rows arrive late, twice and interleaved, and the senders' clocks differ. The steps:
 
-1. Rows that differ in nothing but their arrival count once; roles lose outer blanks and case.
-2. *Clock offsets.* A reply cannot be sent before what it answers. For each session the
-   gaps between consecutive messages of different senders are summed up by (sender, next
-   sender) and the senders' offsets against the assistant's clock, with one mean delay, are
-   their least-squares solution. Only these sums (a dozen at most per session) are gathered.
-3. Times are corrected by their sender's offset; turns are merge-sorted by message_index,
-   then corrected time. A call and the result with its id stand together at the call's turn.
-4. *Constraints.* A session is infeasible where no order of its rows satisfies them: an
-   index missing or held twice with different contents, a call without result, a result
-   without or before its call, a last user message without reply. :func:`reasons` lists
-   these; :func:`conversations` leaves such sessions out.
-
-Nothing gathers a session into one task: a turn is a row.
+1. *Events.* Rows that differ in nothing but their arrival count once; roles lose outer
+   blanks and case. A message, a call and a result is an event of its sender.
+2. *Clock offsets.* A reply cannot be sent before what it answers: of two messages in a row
+   of different senders the later one's time, less its sender's offset, is no less than the
+   earlier one's, and so for a call and its result. The senders' offsets against the
+   assistant's clock and one mean delay are the least-squares solution of the gaps, under
+   these inequalities. A session whose inequalities no offsets satisfy (the senders' shortest
+   gaps there and back sum up to less than nothing) has ``feasible`` false. Only counts, sums
+   and minima by pair of senders (two dozen at most per session) are gathered.
+3. *Merge.* Times are corrected. Events with an index stand at it; messages without one are
+   merged in by corrected time, behind the last index whose messages are not later.
+4. *Constraints.* A session is infeasible where its merged order breaks them: an index missing
+   or held twice with different contents, a call without result, a result without or before
+   its call, a last user message without reply. :func:`reasons` lists these;
+   :func:`conversations` leaves such sessions out, and where asked those with infeasible clocks too.
+
+Nothing gathers a session's texts into one task: a turn is a row.
 
 Defined results: null session ids are ignored; a null role or text compares as ''; a text
 is blank if null or of spaces, tabs and line breaks only; a session without any rows is
-empty; calls with a null id are unanswered, results with a null id orphans; with one sender
-or without two gaps the offsets are 0.
+empty; calls with a null id are unanswered, results with a null id orphans; a message
+without index makes no gap and no conflict; one without index and time comes last; with one
+sender or without two gaps the offsets are 0.
 """
 
 from __future__ import annotations
@@ -33,6 +38,7 @@ from pyspark.sql import functions as F
 #: Seconds by which a corrected reply may still precede what it answers.
 TOLERANCE = 1.0
 SENDERS = ("assistant", "user", "tool", "system")
+MESSAGE, CALL, RESULT = 0, 1, 2
 
 
 def clean_role(role: Column) -> Column:
@@ -43,47 +49,143 @@ def is_blank(text: Column) -> Column:
     return text.isNull() | text.rlike(r"\A[ \t\r\n]*\z")
 
 
-def clean_messages(messages: DataFrame) -> DataFrame:
-    """(session_id, message_index, role, text, sent_at, blank): repeated rows once."""
-    rows = messages.filter(F.col("session_id").isNotNull() & F.col("message_index").isNotNull())
-    rows = rows.select("session_id", "message_index", clean_role(F.col("role")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "sent_at")
-    rows = rows.groupBy("session_id", "message_index", "role", "text").agg(F.min("sent_at").alias("sent_at"))
-    return rows.withColumn("blank", is_blank(F.col("text")))
+def _time(df: DataFrame, name: str) -> Column:
+    return F.col(name).cast("double") if name in df.columns else F.lit(None).cast("double")
 
 
-def _turn_facts(clean: DataFrame, calls: DataFrame) -> DataFrame:
-    """One row per (session, message_index): what its rows say."""
-    has = lambda role: F.col("role") == role
-    at = calls.filter(F.col("session_id").isNotNull()).select("session_id", "message_index").distinct().withColumn("called", F.lit(True))
-    facts = clean.groupBy("session_id", "message_index").agg(
-        ((F.min("role") != F.max("role")) | (F.min("text") != F.max("text"))).alias("conflict"),
-        F.bool_or(has("")).alias("no_role"),
-        F.bool_or(~F.col("blank")).alias("filled"),
-        F.bool_or(has("user") & ~F.col("blank")).alias("asks"),
-        F.bool_or(has("assistant")).alias("assistant"),
-        F.bool_or(has("assistant") & ~F.col("blank")).alias("answers"),
-    )
-    return facts.join(at, ["session_id", "message_index"], "left")
+def events(messages: DataFrame, calls: DataFrame, results: DataFrame, keep_text: bool = False) -> DataFrame:
+    """(session_id, message_index, what, role, digest, blank, call_id, at[, text]): repeated rows once, at in seconds."""
+    known = F.col("session_id").isNotNull()
+    text = F.coalesce("text", F.lit(""))
+    m = messages.filter(known).select("session_id", "message_index", clean_role(F.col("role")).alias("role"), F.md5(text).alias("digest"), is_blank(F.col("text")).alias("blank"), _time(messages, "sent_at").alias("at"), *([text.alias("text")] if keep_text else []))
+    kept = [F.first("text").alias("text")] if keep_text else []
+    m = m.groupBy("session_id", "message_index", "role", "digest").agg(F.first("blank").alias("blank"), F.min("at").alias("at"), *kept).withColumns({"what": F.lit(MESSAGE), "call_id": F.lit(None).cast("string")})
+    out = m
+    for df, what, sender, time in ((calls, CALL, "assistant", "called_at"), (results, RESULT, "tool", "returned_at")):
+        e = df.filter(known).groupBy("session_id", "message_index", "call_id").agg(F.min(_time(df, time)).alias("at"))
+        out = out.unionByName(e.withColumns({"what": F.lit(what), "role": F.lit(sender)}), allowMissingColumns=True)
+    return out
+
+
+def _constraints(ev: DataFrame) -> DataFrame:
+    """(session_id, before, sender, gap): an event of ``sender`` comes ``gap`` seconds after the one of ``before`` that it must follow."""
+    w = W.partitionBy("session_id").orderBy("message_index", "at", "role", "digest")
+    told = ev.filter((F.col("what") == MESSAGE) & F.col("role").isin(*SENDERS) & F.col("at").isNotNull() & F.col("message_index").isNotNull())
+    told = told.select("session_id", F.lag("role").over(w).alias("before"), F.col("role").alias("sender"), (F.col("at") - F.lag("at").over(w)).alias("gap")).filter("before <> sender")
+    acts = ev.filter((F.col("what") != MESSAGE) & F.col("call_id").isNotNull() & F.col("at").isNotNull()).groupBy("session_id", "call_id").agg(F.min(F.when(F.col("what") == CALL, F.col("at"))).alias("c"), F.min(F.when(F.col("what") == RESULT, F.col("at"))).alias("r"))
+    acts = acts.filter("c is not null and r is not null").select("session_id", F.lit("assistant").alias("before"), F.lit("tool").alias("sender"), (F.col("r") - F.col("c")).alias("gap"))
+    return told.unionByName(acts)
+
+
+def solve(gaps: list[tuple[str, str, int, float, float]]) -> tuple[dict[str, float], float, bool]:
+    """(offset of each sender, delay, feasible) from (before, sender, number, mean and shortest gap).
+
+    Least squares of gap = offset(sender) - offset(before) + delay, under offset(sender) -
+    offset(before) <= shortest gap where that can be; else without.
+    """
+    present = sorted({g[0] for g in gaps} | {g[1] for g in gaps}, key=SENDERS.index)
+    n = len(present)
+    at = {who: i for i, who in enumerate(present)}
+    a, b, bound, most = np.zeros((len(gaps), n)), np.zeros(len(gaps)), np.zeros((len(gaps), n)), np.zeros(len(gaps))
+    path = np.full((n, n), np.inf)
+    for i, (before, sender, count, mean, shortest) in enumerate(sorted(gaps)):
+        k = np.sqrt(count)
+        for row, scale in ((a[i], k), (bound[i], 1.0)):
+            row[at[sender]] += scale
+            row[at[before]] -= scale
+        a[i, 0] = k  # column 0 is the delay: the first sender's clock is the one measured against
+        bound[i, 0] = 0.0
+        b[i], most[i] = mean * k, shortest
+        path[at[before], at[sender]] = shortest
+    for k in range(n):  # shortest ways between senders: a way back to itself below 0 is a contradiction
+        path = np.minimum(path, path[:, k : k + 1] + path[k : k + 1, :])
+    feasible = bool((np.diag(path) >= -TOLERANCE).all())
+    if len(gaps) < 2:
+        return dict.fromkeys(present, 0.0), 0.0, feasible
+    x = np.linalg.lstsq(a, b, rcond=None)[0]
+    if feasible and (bound @ x > most + 1e-9).any():
+        # Hildreth's method: raise the price of each broken inequality in turn until none is
+        q = np.linalg.pinv(a.T @ a + 1e-9 * np.eye(n))
+        price = np.zeros(len(gaps))
+        slope = np.einsum("ij,jk,ik->i", bound, q, bound)
+        for _ in range(500):
+            worst = 0.0
+            for i in range(len(gaps)):
+                if slope[i] <= 1e-12:
+                    continue
+                step = max(-price[i], (bound[i] @ x - most[i]) / slope[i])
+                price[i] += step
+                x = x - q @ bound[i] * step
+                worst = max(worst, abs(step) * slope[i])
+            if worst < 1e-6:
+                break
+    return {who: float(x[i]) if i else 0.0 for who, i in at.items()}, float(x[0]), feasible
+
+
+def clock_offsets(ev: DataFrame) -> DataFrame:
+    """(session_id, sender, offset_s, delay_s, n_gaps, feasible): seconds a sender's clock is ahead of the assistant's."""
+    sums = _constraints(ev).groupBy("session_id", "before", "sender").agg(F.count("*").alias("n"), F.avg("gap").alias("mean"), F.min("gap").alias("shortest"))
+    lists = sums.groupBy("session_id").agg(F.collect_list(F.struct("before", "sender", "n", "mean", "shortest")).alias("gaps"))
+    schema = {"session_id": pa.string(), "sender": pa.string(), "offset_s": pa.float64(), "delay_s": pa.float64(), "n_gaps": pa.int64(), "feasible": pa.bool_()}
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for session, gaps in zip(batch.column("session_id").to_pylist(), batch.column("gaps").to_pylist()):
+                offsets, delay, feasible = solve([tuple(g.values()) for g in gaps])
+                rows += [(session, who, v, delay, sum(g["n"] for g in gaps), feasible) for who, v in offsets.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(schema.values())], names=list(schema))
+
+    return lists.mapInArrow(run, "session_id string, sender string, offset_s double, delay_s double, n_gaps long, feasible boolean")
+
+
+def timeline(ev: DataFrame) -> DataFrame:
+    """The messages and calls with corrected times and their places: ``slot`` and, for messages without index, ``late``.
+
+    slot is the index or, without one, that of the last indexed event whose corrected time is not later.
+    """
+    offsets = clock_offsets(ev).select("session_id", F.col("sender").alias("role"), "offset_s", "feasible")
+    rows = ev.filter(F.col("what") != RESULT).join(offsets, ["session_id", "role"], "left")
+    rows = rows.withColumn("corrected", F.col("at") - F.coalesce("offset_s", F.lit(0.0)))
+    # the events before in time, and of those of one time the ones with an index
+    before = W.partitionBy("session_id").orderBy(F.asc_nulls_last("corrected"), F.asc_nulls_last("message_index")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    slot = F.coalesce("message_index", F.max("message_index").over(before), F.lit(-1))
+    late = F.when(F.col("message_index").isNotNull(), F.lit(-1)).otherwise(F.coalesce((F.col("corrected") * 1e6).cast("long"), F.lit((1 << 62))))
+    return rows.withColumn("slot", slot).withColumn("late", late)
 
 
 def reasons(sessions: DataFrame, messages: DataFrame, calls: DataFrame, results: DataFrame) -> DataFrame:
-    """(session_id, reason): one row per session and reason why it is left out."""
-    facts = _turn_facts(clean_messages(messages), calls)
+    """(session_id, reason): one row per session and reason why it is left out, from the merged order."""
+    ev = events(messages, calls, results)
+    line = timeline(ev)
+    said, indexed = F.col("what") == MESSAGE, F.col("message_index").isNotNull()
+    has = lambda role: said & (F.col("role") == role)
+    place = F.struct("slot", "late")
+    answers = has("assistant") & ~F.col("blank")
+    facts = line.groupBy("session_id", "slot").agg(
+        F.count_if(said & indexed).alias("n"),
+        F.bool_or(has("")).alias("no_role"),
+        F.bool_or(said & ~F.col("blank")).alias("filled"),
+        F.max(F.when(has("user") & ~F.col("blank"), place)).alias("asked"),
+        F.max(F.when(answers, place)).alias("answered"),
+        F.max(F.when(has("assistant") & indexed, place)).alias("assistant"),
+        F.bool_or(F.col("what") == CALL).alias("called"),
+    )
+    here = F.when(F.col("n") > 0, F.col("slot"))
     per = facts.groupBy("session_id").agg(
         F.bool_or("filled").alias("filled"),
-        ((F.count("*") != F.max("message_index") + 1) | (F.min("message_index") != 0)).alias("gap"),
+        ((F.count(here) != F.max(here) + 1) | (F.min(here) != 0)).alias("gap"),
         F.bool_or("no_role").alias("no_role"),
-        F.bool_or("conflict").alias("conflict"),
-        F.max(F.when(F.col("asks"), F.col("message_index"))).alias("last_asked"),
-        F.max(F.when(F.col("answers") | (F.col("assistant") & F.col("called")), F.col("message_index"))).alias("last_answer"),
+        F.bool_or(F.col("n") > 1).alias("conflict"),
+        F.max("asked").alias("last_asked"),
+        F.max(F.greatest("answered", F.when(F.col("called"), F.col("assistant")))).alias("last_answer"),
     )
-    c = calls.filter(F.col("session_id").isNotNull()).groupBy("session_id", "call_id").agg(F.min("message_index").alias("call_at"))
-    r = results.filter(F.col("session_id").isNotNull()).groupBy("session_id", "call_id").agg(F.min("message_index").alias("result_at"))
-    pairs = c.withColumn("is_call", F.lit(True)).join(r.withColumn("is_result", F.lit(True)), ["session_id", "call_id"], "full_outer")
-    pairs = pairs.groupBy("session_id").agg(
-        F.bool_or(F.col("is_call").isNotNull() & F.col("is_result").isNull()).alias("unanswered_call"),
-        F.bool_or(F.col("is_result").isNotNull() & F.col("is_call").isNull()).alias("orphan_result"),
-        F.bool_or(F.col("result_at") <= F.col("call_at")).alias("result_before_call"),
+    acts = ev.filter(F.col("what") != MESSAGE).groupBy("session_id", "call_id").agg(*[F.min(F.when(F.col("what") == k, F.struct("message_index"))).alias(v) for k, v in ((CALL, "call"), (RESULT, "result"))])
+    lone = lambda x, y: F.col(x).isNotNull() & (F.col(y).isNull() | F.col("call_id").isNull())
+    pairs = acts.groupBy("session_id").agg(
+        F.bool_or(lone("call", "result")).alias("unanswered_call"),
+        F.bool_or(lone("result", "call")).alias("orphan_result"),
+        F.bool_or(F.col("call_id").isNotNull() & (F.col("result.message_index") <= F.col("call.message_index"))).alias("result_before_call"),
         F.lit(True).alias("acts"),
     )
     known = sessions.filter(F.col("session_id").isNotNull()).select("session_id").distinct()
@@ -96,60 +198,35 @@ def reasons(sessions: DataFrame, messages: DataFrame, calls: DataFrame, results:
     return rows.select("session_id", F.explode(F.when(empty, F.array(F.lit("empty"))).otherwise(found)).alias("reason"))
 
 
-def clock_offsets(clean: DataFrame) -> DataFrame:
-    """(session_id, sender, offset_s, delay_s, n_gaps): seconds a sender's clock is ahead of the assistant's."""
-    w = W.partitionBy("session_id").orderBy("message_index", "sent_at", "role", "text")
-    rows = clean.filter(F.col("role").isin(*SENDERS) & F.col("sent_at").isNotNull())
-    # offsets are of many minutes, gaps between days say nothing about clocks
-    at = F.col("sent_at").cast("double")
-    rows = rows.select("session_id", F.lag("role").over(w).alias("before"), F.col("role").alias("sender"), (at - F.lag(at).over(w)).alias("gap"))
-    sums = rows.filter(F.col("before") != F.col("sender")).groupBy("session_id", "before", "sender").agg(F.count("*").alias("n"), F.sum("gap").alias("gap"))
-    lists = sums.groupBy("session_id").agg(F.collect_list(F.struct("before", "sender", "n", "gap")).alias("gaps"))
+def _kept(sessions: DataFrame, messages: DataFrame, calls: DataFrame, results: DataFrame) -> DataFrame:
+    left_out = reasons(sessions, messages, calls, results).select("session_id").distinct()
+    return sessions.filter(F.col("session_id").isNotNull()).select("session_id").distinct().join(left_out, "session_id", "left_anti")
 
-    def solve(batches):
-        for batch in batches:
-            out = ([], [], [], [], [])
-            for session, gaps in zip(batch.column("session_id").to_pylist(), batch.column("gaps").to_pylist()):
-                present = sorted({g["before"] for g in gaps} | {g["sender"] for g in gaps}, key=SENDERS.index)
-                a, b = np.zeros((len(gaps), len(present))), np.zeros(len(gaps))
-                for i, g in enumerate(sorted(gaps, key=lambda g: (g["before"], g["sender"]))):
-                    # gap = offset(sender) - offset(before) + delay, weighted by the number of gaps
-                    k = np.sqrt(g["n"])
-                    a[i, 0] = k
-                    for who, sign in ((g["sender"], k), (g["before"], -k)):
-                        if present.index(who):
-                            a[i, present.index(who)] += sign
-                    b[i] = g["gap"] / g["n"] * k
-                solution = np.linalg.lstsq(a, b, rcond=None)[0] if len(gaps) >= 2 else np.zeros(len(present))
-                for who in present:
-                    i = present.index(who)
-                    for col, v in zip(out, (session, who, float(solution[i]) if i else 0.0, float(solution[0]), sum(g["n"] for g in gaps))):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()))], names=["session_id", "sender", "offset_s", "delay_s", "n_gaps"])
-
-    return lists.mapInArrow(solve, "session_id string, sender string, offset_s double, delay_s double, n_gaps long")
-
-
-def conversations(sessions: DataFrame, messages: DataFrame, calls: DataFrame, results: DataFrame) -> DataFrame:
+
+def conversations(sessions: DataFrame, messages: DataFrame, calls: DataFrame, results: DataFrame, clocks_must_agree: bool = False) -> DataFrame:
     """Turns of all sessions without a reason to leave them out, in order.
 
-    (session_id, turn, message_index, role, text, sent_at, corrected_at, early, calls): early
-    marks a reply that even the corrected clocks put before what it answers; calls are those
-    of the turn by position, each with its result.
+    (session_id, turn, message_index, role, text, sent_at, corrected_at, early): early marks a
+    reply that even the corrected clocks put before what it answers. With ``clocks_must_agree``
+    sessions whose reply-before constraints no clock offsets satisfy are left out too.
     """
-    clean = clean_messages(messages)
-    left_out = reasons(sessions, messages, calls, results).select("session_id").distinct()
-    kept = sessions.filter(F.col("session_id").isNotNull()).select("session_id").distinct().join(left_out, "session_id", "left_anti")
-    turns = clean.join(kept, "session_id", "left_semi")
-    offsets = clock_offsets(turns).select("session_id", F.col("sender").alias("role"), "offset_s")
-    seconds = F.col("sent_at").cast("double") - F.coalesce("offset_s", F.lit(0.0))
-    turns = turns.join(offsets, ["session_id", "role"], "left").withColumn("corrected_at", F.timestamp_micros((seconds * 1e6).cast("long")))
+    kept = _kept(sessions, messages, calls, results)
+    ev = events(messages, calls, results, keep_text=True).join(kept, "session_id", "left_semi")
+    line = timeline(ev).filter(F.col("what") == MESSAGE)
+    if clocks_must_agree:
+        line = line.withColumn("agrees", F.coalesce(F.bool_and("feasible").over(W.partitionBy("session_id")), F.lit(True))).filter("agrees")
+    w = W.partitionBy("session_id").orderBy("slot", "late", "corrected", "role", "digest")
+    early = (F.lag("role").over(w) != F.col("role")) & (F.col("corrected") < F.lag("corrected").over(w) - TOLERANCE)
+    stamp = lambda c: F.timestamp_micros(F.round(F.col(c) * 1e6).cast("long"))
+    return line.select("session_id", F.row_number().over(w).alias("turn"), "message_index", "role", "text", stamp("at").alias("sent_at"), stamp("corrected").alias("corrected_at"), F.coalesce(early, F.lit(False)).alias("early"))
+
+
+def acts(sessions: DataFrame, messages: DataFrame, calls: DataFrame, results: DataFrame) -> DataFrame:
+    """(session_id, message_index, pos, call_id, tool, input_json, result_text, is_error): each call of a kept session with its result.
+
+    Of several results of an id the first by index, place and id counts.
+    """
+    kept = _kept(sessions, messages, calls, results)
     once = results.filter(F.col("session_id").isNotNull() & F.col("call_id").isNotNull()).groupBy("session_id", "call_id").agg(F.min_by(F.struct(F.col("text").alias("result_text"), "is_error"), F.struct("message_index", "pos", "result_id")).alias("r"))
     call = calls.filter(F.col("session_id").isNotNull()).groupBy("session_id", "message_index", "pos", "call_id").agg(F.min(F.struct("tool", "input_json")).alias("c"))
-    call = call.join(once, ["session_id", "call_id"], "left")
-    call = call.groupBy("session_id", "message_index").agg(F.array_sort(F.collect_list(F.struct("pos", "call_id", "c.tool", "c.input_json", "r.result_text", "r.is_error"))).alias("calls"))
-    w = W.partitionBy("session_id").orderBy("message_index", "corrected_at", "role", "text")
-    before = F.lag("corrected_at").over(w).cast("double")
-    early = (F.lag("role").over(w) != F.col("role")) & (F.col("corrected_at").cast("double") < before - TOLERANCE)
-    turns = turns.join(call, ["session_id", "message_index"], "left")
-    return turns.select("session_id", F.row_number().over(w).alias("turn"), "message_index", "role", "text", "sent_at", "corrected_at", F.coalesce(early, F.lit(False)).alias("early"), "calls")
+    return call.join(kept, "session_id", "left_semi").join(once, ["session_id", "call_id"], "left").select("session_id", "message_index", "pos", "call_id", "c.tool", "c.input_json", "r.result_text", "r.is_error")
