@@ -3,20 +3,26 @@
 Nodes of the field are, for each text, the words that may belong to a person's name
 (labels: none, given, family) and the stretches that look like an e-mail address, a phone
 number, an identity number or a street address (labels: none, that kind). Each node has a
-potential from its own looks and the words around it; neighbours in a name are joined by
-chain edges; and words or numbers that stand again elsewhere in the text, near or far, are
-joined by *skip edges* that favour one label for all of them. Loopy message passing gives
-each node's belief, so a number that is named as a phone once is one in the signature
-too. Repeats are joined one to the next, so the edges follow the text's length.
+potential: the weights of its features, its looks and the words around it. Neighbours in a
+name are joined by chain edges; stretches that overlap compete by edges on which both cannot
+hold; and words or values that stand again elsewhere in the text, near or far, are joined by
+*skip edges* that favour one label for all of them: equal words, equal values, numbers whose
+last seven digits agree. Loopy message passing gives each node's belief, so a number that is
+named as a phone once is one in the signature too, and an identity number is found where it
+is copied without its label. Repeats are joined one to the next, so the edges follow the
+text's length. Messages pass until they stand still, ``ROUNDS`` times at most.
 
 What a word looks like is learned: words that follow an introduction ("my name is",
 "Best regards," ...) or a title, or that sign a line beside a known given name, are taken as
-names, all others as none, and a softmax
-over hashed letter groups of the word is fitted on them. It is fitted on ``sample`` texts
-of less than 4,000 characters at most, those with the smallest hash of their id; the weights
-have a fixed size, whatever the corpus. Towns that follow a street are counted over all texts
-whole (``town_table``); the model holds them where they are ``TOWNS`` at most, else each text
-is joined with those of its towns that are known. Everything else covers every text whole.
+names, all others as none, and a softmax over hashed letter groups of the word is fitted on
+them. Then the weights of the features and the tables of the edges are fitted: on ``LEARN`` of
+the texts that have edges, the expectations with the introduced words held at their labels, and
+the values whose own features are sure held at theirs, are raised against the free ones,
+around priors set by hand. All of this sees ``sample`` texts of less than ``LONGEST`` characters at
+most, those with the smallest hash of their id; the weights have a fixed size, whatever the
+corpus. Towns that follow a street are counted over all texts whole (``town_table``); the model
+holds them where they are ``TOWNS`` at most, else each text is joined with those of its towns
+that are known. Everything else covers every text whole.
 
 Defined results: null and empty texts have no finds; repeated rows of one id count once;
 finds never overlap (the longer value wins over a name inside it); offsets are code points.
@@ -24,6 +30,7 @@ finds never overlap (the longer value wins over a name inside it); offsets are c
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Collection
@@ -37,7 +44,10 @@ from lakeweave.functions.arrow import map_arrow
 from lakeweave.sources.tables import materialize
 
 SAMPLE = 20_000
+LONGEST = 4_000
+LEARN = 400
 TOWNS = 200_000
+ROUNDS = 30
 KINDS = ("email", "phone", "id_number", "address", "person")
 
 # --- fixed values: words that introduce, and words that belong to a kind -------------------
@@ -66,7 +76,7 @@ _S = r"[ .\-/  ]"
 PHONE = re.compile(
     rf"(?<![\w+#.,/-])(?:"
     rf"\(?\+\d{{1,3}}\)?(?:{_S}?\(\d{{1,4}}\))?(?:{_S}{{0,1}}\d{{1,8}}){{1,6}}|"
-    rf"\(\d{{2,5}}\){_S}?\d{{2,8}}(?:{_S}\d{{2,6}}){{0,4}}|"
+    rf"\(\d{{2,5}}\){_S}?\d{{2,8}}(?:{_S}\d{{2,6}}){{0,4}}(?:-\d)?|"
     rf"00\d{{2}}{_S}\d{{1,4}}(?:{_S}\d{{2,8}}){{1,4}}|"
     rf"0\d(?:{_S}\d\d){{4}}|0\d{{9,10}}|0\d{{1,4}}{_S}\d{{3,8}}(?:{_S}\d{{2,6}}){{0,2}}|"
     rf"(?:1{_S})?\d{{3}}{_S}\d{{3}}{_S}\d{{4}}|1?\d{{10}}|"
@@ -75,10 +85,10 @@ PHONE = re.compile(
 )
 ID_VALUE = re.compile(r"(?<![\w+#])(?:[A-Za-z]{2} ?\d\d ?\d\d ?\d\d ?[A-Da-d](?!\w)|(?=[^\n]*\d)(?:(?!(?:ID|NR|NO|Nr|No)\b)[A-Z]{1,3}[ -]?|[a-z]{1,3}(?=[\d-]))?\d[\dA-Za-z]*(?:[ ./-]{1,1}(?=[\dA-Za-z]*\d|[A-Za-z](?![\w]))[\dA-Za-z]+)*(?!\w))")
 ID_BEFORE = re.compile(rf"(?i)\b(?:{ID_WORDS})\b(?P<gap>[^\n\d.;!?]{{0,28}}(?:n[°ºo]\.? ?|nr\.? ?|no\.? ?|num\.? ?)?[^\n\d;!?]{{0,6}})$")
-ID_AT = re.compile(rf"(?i)(?<!\w)(?:{ID_WORDS})(?!\w)")
+ID_AT = re.compile(rf"(?:{ID_WORDS})(?!\w)")
 ID_SHAPES = re.compile(
     r"^(?:[A-Za-z]{2} ?\d\d ?\d\d ?\d\d ?[A-Da-d]|\d{3}[- ]?\d\d[- ]?\d{4}|[XYZxyz][- ]?\d{7}[- ]?[A-Za-z]|\d{8}[- ]?[A-Za-z]|[A-Za-z]{1,3}\d[\dA-Za-z ]{5,12}|\d{2}[A-Za-z]{2}\d{5}|"
-    r"[12]( ?\d){14}|\d\d[./]\d{3}[./]\d{3}[./]\d{3}|\d\d\.\d{3}\.\d{3}[- ]?[A-Za-z]|\d\d ?\d{3} ?\d{3} ?\d{3}|\d{10,13}|\d\d[ /]?\d{10}(?:[ /]?\d\d)?|\d\d ?\d{6} ?[A-Za-z] ?\d{3})$"
+    r"[12]( ?\d){14}|\d\d[./]\d{3}[./]\d{3}[./]\d{3}|\d\d\.\d{3}\.\d{3}[- ]?[A-Za-z]|\d\d ?\d{3} ?\d{3} ?\d{3}|\d{10,13}|\d\d[ /]?\d{10}(?:[ /]?\d\d)?|\d\d ?\d{6} ?[A-Za-z] ?\d{3}|[A-Z\d]{9})$"
 )
 WORD_BEFORE = re.compile(r"([^\W\d_][\w'’]*(?: [^\W\d_][\w'’]*)?)[^\w+(]{0,4}$")
 PHONE_NEAR = re.compile(rf"(?i)\b(?:{PHONE_WORDS})\b[^\n\d]{{0,12}}$")
@@ -108,6 +118,17 @@ TOWN_ONLY = re.compile(rf"{_BREAK}(?P<town>{TOWN_WORDS})")
 CODE_LAST = re.compile(rf"(?:,? [A-Z]{{2}})? {POSTAL}(?!\w)")
 CODE_ONLY = re.compile(rf"{_BREAK}(?:[A-Z]{{2}} )?{POSTAL}(?!\w)")
 HINT = re.compile(r"\d")
+# what every value of a kind holds: texts without it are not looked through with the dearer patterns
+EMAIL_HINT = re.compile(r"@|&#(?:64|x40);|&commat;|[\[({<]\s?(?:at|arroba|arobase|ät)\s?[\])}>]| (?:at|AT) [A-Za-z0-9-]+ (?:dot|DOT) ")
+STREET_HINTS = (
+    re.compile(r"Street|Road|Avenue|Lane|Drive|Close|Court|Way|Terrace|Row|Mews|Square|Crescent|Place|Hill|Gardens|Boulevard|Blvd|St|Rd|Ave|Ln|Dr|Ct|Sq|Ter|Pl|Cl"),
+    re.compile(r"rue|avenue|av\b|bd\b|boulevard|chemin|impasse|place|pl\b|allée|quai|route|cours|square|passage|sentier"),
+    re.compile(r"(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|ring|damm|steig|pfad) \d"),
+    re.compile(r"Am |An d|Im |In der |Auf de|Zum |Zur |Beim |Unter den |Hinter der "),
+    re.compile(r"Calle|C/|C\.|Av|Plaza|Pza|Pl\.|Paseo|P\.º|Camino|Ronda|Travesía|Carretera|Glorieta|Rúa"),
+)
+ID_HINT = re.compile(r"\d(?:[^\n\d]{0,4}\d){4}")
+PHONE_HINT = re.compile(r"\d(?:\W{0,3}\d){8}")
 
 # --- words -----------------------------------------------------------------------------------
 
@@ -180,13 +201,17 @@ class Model:
 
     def __init__(self, weights: np.ndarray, given: frozenset[str], towns: frozenset[str], town_table: DataFrame | None = None):
         self.weights, self.given, self.towns, self.town_table = weights, given, towns, town_table
+        self.features = np.array(list(FEATURES.values()))
+        self.tables = {k: v.copy() for k, v in TABLES.items()}
         self.cache: dict[str, tuple[float, float, float]] = {}
+        self.codes = _Codes(self)
 
     def __getstate__(self):
-        return (self.weights, self.given, self.towns)
+        return (self.weights, self.given, self.towns, self.features, self.tables)
 
     def __setstate__(self, state):
-        self.__init__(*state)
+        self.__init__(*state[:3])
+        self.features, self.tables = state[3:]
 
     def word(self, word: str) -> tuple[float, float, float]:
         """Potentials (none, given, family) of a word, from its letters."""
@@ -206,6 +231,30 @@ class Model:
         return got
 
 
+MAY_GIVEN, MAY_FAMILY, LETTER, IS_TITLE = 1, 2, 4, 8
+LIKELY = MAY_GIVEN | MAY_FAMILY
+#: Codes of words in a row that may make a name.
+NAME_CODES = re.compile(rb"[\x01-\x03][\x04\x0c]{0,3}[\x01-\x03]|[\x08\x0c][\x04\x0c]?[\x02\x03]")
+
+
+class _Codes(dict):
+    """A word's code: what part of a name it may be; kept for the next text."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        code = LETTER * (len(word) == 1) | IS_TITLE * (word.casefold() in TITLES)
+        if not code:
+            looks = self.model.word(word)
+            code = MAY_GIVEN * (looks[GIVEN] > GIVEN_LEAST) | MAY_FAMILY * (looks[FAMILY] > FAMILY_LEAST)
+        self[word] = int(code)
+        return int(code)
+
+
 def _softmax(types: list[str], label: np.ndarray, weight: np.ndarray, rounds: int) -> np.ndarray:
     """Weights of the letter groups that give the words their labels."""
     rows = [grams(re.split("[-'’]", w)[0] or w) for w in types]
@@ -276,7 +325,9 @@ def fit(texts: list[str], given_names: list[str], rounds: int = 120, towns: froz
         told = [x for t in dict.fromkeys(texts) for x in _towns_in(t)]
         often = Counter(t for t, _ in told)
         towns = frozenset(t for t, sure in told if sure or often[t] > 1)
-    return Model(weights, given | learned, towns)
+    model = Model(weights, given | learned, towns)
+    learn(model, texts[:LEARN])
+    return model
 
 
 # --- candidates ------------------------------------------------------------------------------
@@ -286,7 +337,9 @@ def _streets(text: str) -> list[tuple[int, int]]:
     if not HINT.search(text):
         return []
     out = []
-    for rx in STREETS:
+    for hint, rx in zip(STREET_HINTS, STREETS):
+        if not hint.search(text):
+            continue
         for m in rx.finditer(text):
             end = m.end()
             # the point of an abbreviation belongs to it, the end of the sentence does not
@@ -363,125 +416,248 @@ def _town(words: str, towns: Collection[str], sure: bool) -> str:
     return words[: ends[1]] if len(ends) > 1 and re.fullmatch("(?:Neu|Alt|Bad|Port|Saint|San|Santa|Los|Las|El|La|Le|Les|New|Old|North|South|East|West|Great|Little|St\\.?)", first) else first
 
 
-def _values(text: str, towns: Collection[str]) -> list[tuple[str, int, int, float]]:
-    """(kind, start, end, potential) of stretches that look like a value."""
-    out: list[tuple[str, int, int, float]] = []
-    if "@" in text or "&#" in text or "at" in text or "AT" in text or "arr" in text or "aro" in text or "commat" in text:
-        out += [("email", m.start(), m.end(), 6.0) for m in EMAIL.finditer(text)]
-    if not HINT.search(text):
-        return out
-    out += [("address", s, _whole_address(text, e, towns), 5.0) for s, e in _streets(text)]
-    for m in ID_AT.finditer(text):
+#: Features of values and their prior weights.
+FEATURES = {
+    "email:plain": 6.0, "email:escaped": 6.0, "address:street": 5.0, "address:goes_on": 0.0, "id:labelled": 8.0, "id:short": 3.0, "id:copy": -1.5,
+    "phone:plain": 0.0, "phone:prefix": 3.0, "phone:word": 4.0, "phone:other": -6.0, "phone:alone": 3.0, "phone:nothing": -1.0, "phone:run": -1.0,
+}
+_F = {name: i for i, name in enumerate(FEATURES)}
+
+
+def _labelled_ids(text: str) -> list[tuple[int, int, str]]:
+    out = []
+    low = text.lower()
+    if len(low) != len(text):  # a letter that small writing makes two of
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    for m in ID_AT.finditer(low):
+        if m.start() and (low[m.start() - 1].isalnum() or low[m.start() - 1] == "_"):
+            continue
         v = ID_VALUE.search(text, m.end(), min(len(text), m.end() + 60))
         if v and ID_BEFORE.search(text[m.start() : v.start()]):
             value = v.group()
             lead = len(value) - len(value.lstrip(" -"))
             if sum(c.isdigit() for c in value) >= 5 and ID_SHAPES.match(value.strip(" -")):
-                out.append(("id_number", v.start() + lead, v.end(), 6.0))
+                out.append((v.start() + lead, v.end(), "id:labelled"))
             else:
                 short = re.match(r"\S+", value.strip(" -"))
                 if short and sum(c.isdigit() for c in short.group()) >= 6:
-                    out.append(("id_number", v.start() + lead, v.start() + lead + short.end(), 3.0))
-    for m in PHONE.finditer(text):
+                    out.append((v.start() + lead, v.start() + lead + short.end(), "id:short"))
+    return out
+
+
+def _plain(value: str) -> str:
+    return re.sub(r"[\W_]", "", value).casefold()
+
+
+def candidates(text: str, towns: Collection[str]) -> list[tuple[str, int, int, tuple[str, ...]]]:
+    """(kind, start, end, features) of stretches that look like a value."""
+    out: list[tuple[str, int, int, tuple[str, ...]]] = []
+    if EMAIL_HINT.search(text):
+        out += [("email", m.start(), m.end(), ("email:plain" if "@" in m.group() else "email:escaped",)) for m in EMAIL.finditer(text)]
+    if not HINT.search(text):
+        return out
+    for s, e in _streets(text):
+        end = _whole_address(text, e, towns)
+        out.append(("address", s, end, ("address:street", "address:goes_on") if end > e else ("address:street",)))
+    if ID_HINT.search(text):
+        ids = _labelled_ids(text)
+        out += [("id_number", s, e, (f,)) for s, e, f in ids]
+        # the same characters again, without a label
+        for value in {text[s:e] for s, e, _ in ids}:
+            for m in re.finditer(rf"(?<![\w+#]){re.escape(value)}(?!\w)", text):
+                if not any(m.start() < e and s < m.end() for s, e, _ in ids):
+                    out.append(("id_number", m.start(), m.end(), ("id:copy",)))
+    for m in PHONE.finditer(text) if PHONE_HINT.search(text) else ():
         digits = sum(c.isdigit() for c in m.group())
         if not 9 <= digits <= 15:
             continue
         before = text[max(0, m.start() - 40) : m.start()]
-        score = 0.0
-        if m.group()[0] in "+(" :
-            score += 3.0
+        f = ["phone:plain"]
+        if m.group()[0] in "+(":
+            f.append("phone:prefix")
         if PHONE_NEAR.search(before):
-            score += 4.0
+            f.append("phone:word")
         if OTHER_NEAR.search(before):
-            score -= 6.0
+            f.append("phone:other")
         line = text.rfind("\n", 0, m.start()) + 1
         if not re.sub(r"<[^>]*>|\[[^\]]*\]|[> \r]", "", text[line : m.start()]) and re.match(r"[ \r]*(?:\[|<|\n|$)", text[m.end() :]):
-            score += 3.0  # alone on its line
-        elif not PHONE_NEAR.search(before) and score <= 0:
-            score -= 1.0
+            f.append("phone:alone")
+        elif "phone:word" not in f and ("phone:prefix" not in f or "phone:other" in f):
+            f.append("phone:nothing")
         if re.fullmatch(r"\d{9,13}", m.group()):
-            score -= 1.0
-        out.append(("phone", m.start(), m.end(), score))
+            f.append("phone:run")
+        out.append(("phone", m.start(), m.end(), tuple(f)))
     return out
 
 
 # --- the field ---------------------------------------------------------------------------------
 
 
-def propagate(potential: list[np.ndarray], edges: list[tuple[int, int, np.ndarray]], rounds: int = 6) -> list[np.ndarray]:
-    """Beliefs of all nodes by loopy message passing; potentials and edges are logarithms."""
-    inbox: list[dict[int, np.ndarray]] = [{} for _ in potential]
-    for k, (i, j, _) in enumerate(edges):
-        inbox[j][2 * k] = np.zeros(len(potential[j]))
-        inbox[i][2 * k + 1] = np.zeros(len(potential[i]))
-    for _ in range(rounds):
-        belief = [p + sum(inbox[i].values()) if inbox[i] else p for i, p in enumerate(potential)]
+def propagate(potential: list[np.ndarray], edges: list[tuple[int, int, np.ndarray]], rounds: int = ROUNDS) -> list[np.ndarray]:
+    """Beliefs of all nodes by loopy message passing; potentials and edges are logarithms.
+
+    Messages go forth over the edges in their order and back in turn, each from the newest
+    beliefs; from the tenth round on they are damped, for loops that do not stand still.
+    """
+    belief = [[float(x) for x in p] for p in potential]
+    turned = [((i, j, [[math.exp(x) for x in row] for row in t.tolist()]), (j, i, [[math.exp(x) for x in row] for row in t.T.tolist()])) for i, j, t in edges]
+    sent = [[[0.0] * len(belief[j]), [0.0] * len(belief[i])] for i, j, _ in edges]
+    for turn in range(rounds):
         change = 0.0
-        for k, (i, j, table) in enumerate(edges):
-            for a, b, t, out, back in ((i, j, table, 2 * k, 2 * k + 1), (j, i, table.T, 2 * k + 1, 2 * k)):
-                x = (belief[a] - inbox[a][back])[:, None] + t
-                top = x.max(0)
-                m = top + np.log(np.exp(x - top).sum(0))
-                m -= m.max()
-                change = max(change, float(np.abs(m - inbox[b][out]).max()))
-                inbox[b][out] = 0.5 * (m + inbox[b][out])
+        for k in range(len(edges)) if turn % 2 == 0 else range(len(edges) - 1, -1, -1):
+            for way in (0, 1):
+                a, b, table = turned[k][way]
+                x = [p - q for p, q in zip(belief[a], sent[k][1 - way])]
+                top = max(x)
+                x = [math.exp(v - top) for v in x]
+                m = [math.log(max(1e-300, sum(v * row[c] for v, row in zip(x, table)))) for c in range(len(belief[b]))]
+                top = max(m)
+                old, new = sent[k][way], [v - top for v in m]
+                if turn >= 10:
+                    new = [0.5 * (p + q) for p, q in zip(new, old)]
+                change = max(change, max(abs(p - q) for p, q in zip(new, old)))
+                belief[b] = [v + p - q for v, p, q in zip(belief[b], new, old)]
+                sent[k][way] = new
         if change < 1e-3:
             break
-    return [p + sum(inbox[i].values()) if inbox[i] else p for i, p in enumerate(potential)]
-
-
-#: Chain edges (left label, right label): none, given, family.
-CHAIN = np.array([[0.5, -0.5, -0.5], [-1.5, 0.5, 3.0], [-0.5, -1.0, 0.5]])
-COMMA = np.array([[0.5, 0.0, 0.0], [0.0, -1.0, -1.0], [-0.5, 3.0, -0.5]])
-SAME_WORD = np.array([[0.3, -0.5, -0.5], [-0.5, 1.0, -0.5], [-0.5, -0.5, 1.0]])
-SAME_VALUE = np.array([[1.0, -1.0], [-1.0, 1.0]])
-
-
-def finds(text: str | None, model: Model, towns: Collection[str] | None = None) -> list[tuple[str, int, int]]:
-    """(kind, start, end) in a text, sorted by start; towns other than the model's may be given."""
-    if not text:
-        return []
-    values = _values(text, model.towns if towns is None else towns)
-    potential = [np.array([0.0, score]) for *_, score in values]
-    edges: list[tuple[int, int, np.ndarray]] = []
-    last: dict = {}
-    for i, (kind, s, e, _) in enumerate(values):
-        if kind in ("phone", "id_number"):
-            digits = (kind, re.sub(r"\W", "", text[s:e]).casefold())
-            if digits in last:
-                edges.append((last[digits], i, SAME_VALUE))
-            last[digits] = i
-    # words that may be part of a name, and what stands beside them
-    words = list(WORD.finditer(text))
-    looks = [model.word(m.group()) for m in words]
-    likely = [i for i, x in enumerate(looks) if (x[FAMILY] > FAMILY_LEAST or x[GIVEN] > GIVEN_LEAST) and len(words[i].group()) > 1 and words[i].group().casefold() not in TITLES]
-    names: dict[int, int] = {}
-    parts = _name_parts(text, words, looks, likely)
-    if parts:
+    return [np.array(v) for v in belief]
+
+
+#: Prior tables of the edges. Chain edges are of (left label, right label): none, given, family.
+TABLES = {
+    "chain": np.array([[0.5, -0.5, -0.5], [-1.5, 0.5, 3.0], [-0.5, -1.0, 0.5]]),
+    "comma": np.array([[0.5, 0.0, 0.0], [0.0, -1.0, -1.0], [-0.5, 3.0, -0.5]]),
+    "same_word": np.array([[0.3, -0.5, -0.5], [-0.5, 1.0, -0.5], [-0.5, -0.5, 1.0]]),
+    "same_value": np.array([[1.0, -1.0], [-1.0, 1.0]]),
+    "overlap": np.array([[0.0, 0.0], [0.0, -12.0]]),
+}
+#: Of labelled copies of an identity number: stronger, for the label is sure.
+COPY = 2.0
+
+
+class Field:
+    """The nodes and edges of a text: values first, then words by their numbers."""
+
+    def __init__(self, text: str, model: Model, towns: Collection[str] | None = None):
+        self.text = text
+        self.values = candidates(text, model.towns if towns is None else towns)
+        self.potential = [np.array([0.0, sum(model.features[_F[f]] for f in fs)]) for *_, fs in self.values]
+        self.edges: list[tuple[int, int, str]] = []
+        last: dict = {}
+        order = sorted(range(len(self.values)), key=lambda i: self.values[i][1:3])
+        for n, i in enumerate(order):
+            kind, s, e, _ = self.values[i]
+            plain = _plain(text[s:e])
+            keys = ((kind, plain), (kind, plain[-7:])) if kind == "phone" else ((kind, plain),)
+            self.edges += [(j, i, "same_value") for j in sorted({last[k] for k in keys if k in last})]
+            last.update(dict.fromkeys(keys, i))
+            for j in order[n + 1 :]:
+                if self.values[j][1] >= e:
+                    break
+                self.edges.append((i, j, "overlap"))
+        self.words: list = []
+        self.names: dict[int, int] = {}
+        self.linked: dict[int, tuple[int, bool]] = {}
+        if NAME_CODES.search(bytes(map(model.codes.__getitem__, WORD.findall(text)))):
+            self._name_nodes(model, last)
+
+    def _name_nodes(self, model: Model, last: dict) -> None:
+        text = self.text
+        words = self.words = list(WORD.finditer(text))
+        likely = [i for i, m in enumerate(words) if model.codes[m.group()] & LIKELY]
+        looks = {i: model.word(words[i].group()) for i in likely}
+        parts = _name_parts(text, words, looks, likely)
+        if not parts:
+            return
         # every other place where such a word stands is a node too
         held = {words[i].group().casefold() for i in parts}
         for i in likely:
-            if i in parts or words[i].group().casefold() in held:
+            w = words[i].group()
+            if i in parts or w.casefold() in held:
                 p = np.array(looks[i])
-                w = words[i].group()
-                if w.islower():
-                    p = p - np.array([0.0, 0.3, 0.3])
-                names[i] = len(potential)
-                potential.append(p)
-        linked: dict[int, tuple[int, np.ndarray]] = {}
-        for i in names:
+                self.names[i] = len(self.potential)
+                self.potential.append(p - np.array([0.0, 0.3, 0.3]) if w.islower() else p)
+        for i, node in self.names.items():
             j = _next(text, words, i)
-            if j and j[0] in names:
-                edges.append((names[i], names[j[0]], COMMA if j[1] else CHAIN))
-                linked[i] = j
-        for i, node in names.items():
+            if j and j[0] in self.names:
+                self.edges.append((node, self.names[j[0]], "comma" if j[1] else "chain"))
+                self.linked[i] = j
+        for i, node in self.names.items():
             w = words[i].group().casefold()
             if w in last:
-                edges.append((last[w], node, SAME_WORD))
+                self.edges.append((last[w], node, "same_word"))
             last[w] = node
-    belief = propagate(potential, edges) if edges else potential
-    out = [(k, s, e) for i, (k, s, e, _) in enumerate(values) if belief[i][1] > belief[i][0]]
-    out = _apart(out)
+
+    def tables(self, model: Model) -> list[tuple[int, int, np.ndarray]]:
+        is_id = lambda i: i < len(self.values) and self.values[i][0] == "id_number"
+        return [(i, j, model.tables[t] * COPY if t == "same_value" and is_id(i) else model.tables[t]) for i, j, t in self.edges]
+
+    def beliefs(self, model: Model, potential: list[np.ndarray] | None = None) -> list[np.ndarray]:
+        potential = self.potential if potential is None else potential
+        return propagate(potential, self.tables(model)) if self.edges else potential
+
+
+def learn(model: Model, texts: list[str], rounds: int = 3, rate: float = 0.5, spread: float = 20.0) -> None:
+    """Fit the weights of features and the tables of edges on texts, around their priors.
+
+    The gradient of the partly labelled field: expectations with the sure nodes held at their
+    labels, less the free ones. ``spread`` is how many nodes weigh as much as a prior.
+    """
+    sure_at = 4.0
+    fields = []
+    for t in texts:
+        f = Field(t, model)
+        if not f.edges:
+            continue
+        held = list(f.potential)
+        for i, (*_, fs) in enumerate(f.values):
+            own = f.potential[i][1]
+            if abs(own) >= sure_at:
+                held[i] = np.array([0.0, 30.0 if own > 0 else -30.0])
+        starts = {m.start(): i for i, m in enumerate(f.words)}
+        for m in INTRO.finditer(t):
+            at = m.end()
+            for w, label in _name_after(t, m.end(), model.given):
+                at = t.find(w, at)
+                node = f.names.get(starts.get(at, -1))
+                if node is not None:
+                    held[node] = np.where(np.arange(3) == label, 30.0, 0.0)
+                at += len(w)
+        fields.append((f, held))
+    if not fields:
+        return
+    prior, prior_tables = model.features.copy(), {k: v.copy() for k, v in model.tables.items()}
+    for _ in range(rounds):
+        grad, seen = np.zeros_like(model.features), np.zeros_like(model.features)
+        pairs = {k: np.zeros_like(v) for k, v in model.tables.items()}
+        count = dict.fromkeys(pairs, 0)
+        for f, held in fields:
+            for i, (*_, fs) in enumerate(f.values):
+                f.potential[i][1] = sum(model.features[_F[x]] for x in fs)
+            for sign, potential in ((1.0, [h if h is not p and abs(h).max() >= 30 else p for h, p in zip(held, f.potential)]), (-1.0, f.potential)):
+                belief = [np.exp(b - b.max()) / np.exp(b - b.max()).sum() for b in f.beliefs(model, potential)]
+                for i, (*_, fs) in enumerate(f.values):
+                    for x in fs:
+                        grad[_F[x]] += sign * belief[i][1]
+                        seen[_F[x]] += 0.5
+                for (i, j, kind), (_, _, table) in zip(f.edges, f.tables(model)):
+                    both = np.outer(belief[i], belief[j]) * np.exp(table - table.max())
+                    pairs[kind] += sign * both / both.sum()
+                    count[kind] += 0.5
+        model.features = model.features + rate * (grad / (seen + spread) * 10 - (model.features - prior) * spread / (seen + spread))
+        for k in pairs:
+            if k != "overlap":
+                model.tables[k] = model.tables[k] + rate * (pairs[k] / (count[k] + spread) * 10 - (model.tables[k] - prior_tables[k]) * spread / (count[k] + spread))
+
+
+def finds(text: str | None, model: Model, towns: Collection[str] | None = None) -> list[tuple[str, int, int]]:
+    """(kind, start, end) in a text, sorted by start; towns other than the model's may be given."""
+    if not text:
+        return []
+    f = Field(text, model, towns)
+    belief = f.beliefs(model)
+    out = _apart([(k, s, e) for i, (k, s, e, _) in enumerate(f.values) if belief[i][1] > belief[i][0]])
+    names, linked, words = f.names, f.linked, f.words
     if names:
         label = {i: int(belief[n].argmax()) for i, n in names.items()}
         people = []
@@ -615,13 +791,13 @@ def town_table(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def train(df: DataFrame, given_names: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, towns: int = TOWNS) -> Model:
-    """A model from at most ``sample`` texts of less than 4,000 characters that hold an introduction or a title, those with the least hash of their id.
+    """A model from at most ``sample`` texts of less than ``LONGEST`` characters that hold an introduction or a title, those with the least hash of their id.
 
     Its towns are those of all texts: held in the model up to ``towns`` of them, else as a table.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(rf"(?i)(?<!\w)(?:{INTRODUCTIONS})\s") | F.col("text").rlike(TITLE.pattern)).filter(F.length("text") < 4000)
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(rf"(?i)(?<!\w)(?:{INTRODUCTIONS})\s") | F.col("text").rlike(TITLE.pattern)).filter(F.length("text") < LONGEST)
     rows = rows.orderBy(F.xxhash64("id"), "text").limit(sample).select("text")
-    names = [r[0] for r in given_names.select("given_name").limit(100_000).collect()]
+    names = [r[0] for r in given_names.select("given_name").filter("given_name is not null").distinct().orderBy(F.xxhash64("given_name")).limit(100_000).collect()]
     table = materialize(town_table(df, text_col), "pii-towns")
     few = table.count() <= towns
     model = fit([r[0] for r in rows.collect()], names, towns=frozenset(r[0] for r in table.collect()) if few else frozenset())

@@ -111,3 +111,51 @@ def test_a_given_name_before_a_given_name_is_a_node():
     for name in ("Anna Maria Schmidt", "Maria Schmidt"):
         assert kinds(f"so {name} wrote it", m) == [("person", name)]
     assert kinds("so Anna Maria wrote it", m) == []
+
+
+def test_a_copied_id_needs_no_label(model):
+    text = "passport number is XZ0 123 456, why. " + "the pump " * 200 + "XZ0 123 456 and XZ0 123 457 in the list"
+    assert kinds(text, model) == [("id_number", "XZ0 123 456")] * 2
+    assert kinds("XZ0 123 456 in the list", model) == []
+
+
+def test_overlapping_values_compete(model):
+    """A stretch that looks like a phone and like a labelled identity number is one of them."""
+    for text in ("call me, tax id 12 345 678 901", "passport 0171 234 5678"):
+        assert len(kinds(text, model)) == 1
+
+
+def test_weights_are_fitted():
+    texts = TRAIN + [f"my name is Clara Harbeck, call 900 12{i} 456 or write\n900 12{i} 456\nthe list has 900 12{i} 456 too" for i in range(10)]
+    model = pii.fit(texts[::-1], GIVEN)
+    assert any(abs(a - b) > 1e-6 for a, b in zip(model.features, pii.FEATURES.values()))
+    assert any(np.abs(model.tables[k] - v).max() > 1e-6 for k, v in pii.TABLES.items())
+    again = pii.fit(texts[::-1], GIVEN)
+    assert (again.features == model.features).all() and (again.weights == model.weights).all()
+
+
+# phrases that stand in none of the project's tables
+UNSEEN = [
+    ("Reach our front desk under +32 470 12 34 56 at any hour", [("phone", "+32 470 12 34 56")]),
+    ("fax me on (0221) 998877-0 before Friday", [("phone", "(0221) 998877-0")]),
+    ("My passport, no. C4VK39F52, was stamped on 2023-11-08", [("id_number", "C4VK39F52")]),
+    ("Parcel for 14 Quarry Lane, Westhaven please", [("address", "14 Quarry Lane, Westhaven")]),
+    ("the invoice 2023-11-0815 lists 12 x 4,50 and 7 boxes of 300", []),
+    ("chapters 3.1.4.1.5 to 9.2.6.5 of ISO 80000-2:2019", []),
+    ("coordinates 50.9375 N, 6.9603 E, altitude 52 m, 10:45:30", []),
+    ("kernel 6.8.0-45-generic with 32768 MB and checksum 9f86d081884c7d65", []),
+    ("The Stone Age began 3 300 000 years ago near Lake Turkana", []),
+    ("signed by Emil Millbeck on behalf of the board", [("person", "Emil Millbeck")]),
+    ("first.last@sub.domain.example is read daily, support@ is not", [("email", "first.last@sub.domain.example")]),
+    ("prices rose 12 345 678 901 times, said nobody", []),
+]
+
+
+def test_precision_and_recall_on_unseen_phrases(model):
+    wrong = missed = right = 0
+    for text, want in UNSEEN:
+        got = kinds(text, model)
+        right += len(set(got) & set(want))
+        wrong += len(set(got) - set(want))
+        missed += len(set(want) - set(got))
+    assert right >= 6 and right / (right + wrong) >= 0.85 and right / (right + missed) >= 0.85, (right, wrong, missed)
