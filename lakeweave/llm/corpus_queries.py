@@ -24,7 +24,7 @@ def sessions(spark: SparkSession, folder: str) -> DataFrame:
 def _sized(spark: SparkSession, folder: str) -> DataFrame:
     """(id, source, tokens) of every document, counted once."""
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "source", "text")
-    return materialize(with_tokens(docs).select("id", "source", "tokens"), "sized")
+    return materialize(with_tokens(docs, paths=False).select("id", "source", "tokens"), "sized")
 
 
 def _packed(spark: SparkSession, folder: str) -> DataFrame:

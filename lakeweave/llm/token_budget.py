@@ -36,9 +36,9 @@ def _totals(df: DataFrame, corpus: str, part: str) -> DataFrame:
     )
 
 
-def result_tokens(results: DataFrame, model: str | None = None) -> DataFrame:
+def result_tokens(results: DataFrame, model: str | None = None, paths: bool = True) -> DataFrame:
     """(result_id, session_id, project_id, call_id, tokens, viterbi_tokens, n_chars), one row per result."""
-    rows = with_tokens(results.select("result_id", "session_id", "project_id", "call_id", "text"), model=model)
+    rows = with_tokens(results.select("result_id", "session_id", "project_id", "call_id", "text"), model=model, paths=paths)
     once = F.max(F.struct("tokens", "viterbi_tokens", "n_chars", "session_id", "project_id", "call_id")).alias("r")
     return rows.filter(F.col("result_id").isNotNull()).groupBy("result_id").agg(once).select("result_id", "r.*")
 
@@ -66,8 +66,8 @@ def session_totals(results: DataFrame, messages: DataFrame, reports: DataFrame,
     A session without report has one row with null tokens_before; a report of a session
     without texts is kept with 0 tokens. ratio is null where tokens_before is null or 0.
     """
-    res = result_tokens(results, model).groupBy("session_id").agg(F.sum("tokens").alias("result_tokens"))
-    msg = with_tokens(messages.select("session_id", "message_index", "text"), model=model)
+    res = result_tokens(results, model, paths=False).groupBy("session_id").agg(F.sum("tokens").alias("result_tokens"))
+    msg = with_tokens(messages.select("session_id", "message_index", "text"), model=model, paths=False)
     msg = msg.groupBy("session_id", "message_index").agg(F.max("tokens").alias("tokens")).groupBy("session_id").agg(F.sum("tokens").alias("message_tokens"))
     total = res.join(msg, "session_id", "full_outer")
     rep = reports.dropDuplicates(["report_id"]).select("session_id", "report_id", "tokens_before")

@@ -96,6 +96,10 @@ class DoubleArray:
         top = int(np.nonzero(~free)[0].max()) + width + 1
         self.base, self.check, self.value = (np.resize(x, top) if len(x) < top else x[:top] for x in (base, check, value))
         self.longest = max(map(len, pieces), default=0)
+        # the code of each character; the last place stands for all that are in no piece
+        self.table = np.zeros(max(map(ord, self.codes), default=0) + 2, np.int64)
+        for c, i in self.codes.items():
+            self.table[ord(c)] = i
 
     def encode(self, text: str) -> list[int]:
         """The codes of a text; 0 is a character in no piece."""
@@ -112,81 +116,114 @@ class DoubleArray:
         return int(self.value[node])
 
 
+#: Characters of segments that are searched at once.
+AT_ONCE = 400_000
+
+
 def count_best_path(trie: DoubleArray, score: np.ndarray, segments: list[str], byte_fallback: bool) -> np.ndarray:
     """Pieces on the best path of each segment: Viterbi over all segments at once, counts only."""
     out = np.zeros(len(segments), np.int64)
-    lengths = np.array([len(s) for s in segments], np.int64)
-    order = np.argsort(lengths, kind="stable")
-    unknown = float(score.min()) - 10.0
+    ends = np.cumsum([len(s) for s in segments]) if segments else np.zeros(0, np.int64)
     at = 0
-    while at < len(order):
-        # segments of like length together; a table of about four million cells at most
-        upto = at + 1
-        while upto < len(order) and (upto - at) * int(lengths[order[upto]]) < 4_000_000 and lengths[order[upto]] <= lengths[order[at]] * 1.3 + 4:
-            upto += 1
-        rows = order[at:upto]
-        n, width = len(rows), int(lengths[rows[-1]])
-        code = np.zeros((n, width), np.int64)
-        cost = np.ones((n, width), np.int64)
-        for r, i in enumerate(rows):
-            s = segments[i]
-            c = trie.encode(s)
-            code[r, : len(c)] = c
-            if byte_fallback and 0 in c:
-                for j, x in enumerate(c):
-                    if not x:
-                        cost[r, j] = len(s[j].encode())
-        size = lengths[rows]
-        best = np.full((n, width + 1), -np.inf)
-        count = np.zeros((n, width + 1), np.int64)
-        best[:, 0] = 0.0
-        for i in range(width):
-            live = np.nonzero(size > i)[0]
-            # a character may stand for itself, as an unknown
-            alone = best[live, i] + unknown * cost[live, i]
-            better = alone > best[live, i + 1]
-            w = live[better]
-            best[w, i + 1], count[w, i + 1] = alone[better], count[w, i] + cost[w, i]
-            node = np.zeros(len(live), np.int64)
-            for k in range(i, min(width, i + trie.longest)):
-                fits = size[live] > k
-                live, node = live[fits], node[fits]
-                if not len(live):
-                    break
-                c = code[live, k]
-                to = trie.base[node] + c
-                ok = (c > 0) & (trie.check[to] == node)
-                live, node = live[ok], to[ok]
-                piece = trie.value[node]
-                whole = piece >= 0
-                if whole.any():
-                    l, s = live[whole], best[live[whole], i] + score[piece[whole]]
-                    better = s > best[l, k + 1]
-                    l = l[better]
-                    best[l, k + 1], count[l, k + 1] = s[better], count[l, i] + 1
-        out[rows] = count[np.arange(n), size]
+    while at < len(segments):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+        out[at:upto] = _count_some(trie, score, segments[at:upto], byte_fallback)
         at = upto
     return out
 
 
+def _count_some(trie: DoubleArray, score: np.ndarray, segments: list[str], byte_fallback: bool) -> np.ndarray:
+    lengths = np.array([len(s) for s in segments], np.int64)
+    begin = np.cumsum(lengths) - lengths
+    chars = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)
+    code = trie.table[np.minimum(chars, len(trie.table) - 1)]
+    owner = np.repeat(np.arange(len(segments)), lengths)
+    end = (begin + lengths)[owner]
+    # every piece that begins at any character: all of them go down the trie together
+    live, node = np.arange(len(chars)), np.zeros(len(chars), np.int64)
+    starts, sizes, scores = [], [], []
+    for depth in range(trie.longest):
+        fits = live + depth < end[live]
+        live, node = live[fits], node[fits]
+        if not len(live):
+            break
+        c = code[live + depth]
+        to = trie.base[node] + c
+        ok = (c > 0) & (trie.check[to] == node)
+        live, node = live[ok], to[ok]
+        piece = trie.value[node]
+        whole = piece >= 0
+        starts.append(live[whole])
+        sizes.append(np.full(int(whole.sum()), depth + 1))
+        scores.append(score[piece[whole]])
+    starts, sizes, scores = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, sizes, scores))
+    # a character may stand for itself, as an unknown
+    cost = np.ones(len(chars), np.int64)
+    if byte_fallback:
+        cost = np.where(code == 0, 1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000), 1)
+    alone = (float(score.min()) - 10.0) * cost
+    # a segment has a place more than it has characters; places are worked off from the left, in all segments at once
+    slot = np.arange(len(chars)) + owner
+    best = np.full(len(chars) + len(segments), -np.inf)
+    count = np.zeros(len(best), np.int64)
+    first = begin + np.arange(len(segments))
+    best[first] = 0.0
+    left = np.arange(len(chars)) - begin[owner]
+    left = left.astype(np.uint16) if lengths.max(initial=0) < 1 << 16 else left  # small numbers sort faster
+    by_char = np.argsort(left, kind="stable")
+    char_cut = np.searchsorted(left[by_char], np.arange(int(lengths.max(initial=0)) + 1))
+    by_piece = np.argsort(left[starts], kind="stable")
+    piece_cut = np.searchsorted(left[starts[by_piece]], np.arange(len(char_cut)))
+    source, target, gain = slot[starts[by_piece]], (slot[starts] + sizes)[by_piece], scores[by_piece]
+    for i in range(len(char_cut) - 1):
+        x = by_char[char_cut[i] : char_cut[i + 1]]
+        s, value = slot[x], best[slot[x]] + alone[x]
+        better = value > best[s + 1]
+        s, x = s[better], x[better]
+        best[s + 1], count[s + 1] = value[better], count[s] + cost[x]
+        p = slice(piece_cut[i], piece_cut[i + 1])
+        value = best[source[p]] + gain[p]
+        better = value > best[target[p]]
+        to = target[p][better]
+        best[to], count[to] = value[better], count[source[p][better]] + 1
+    return count[first + lengths]
+
+
+@lru_cache(maxsize=4)
+def vocabulary(path: str) -> tuple[DoubleArray, np.ndarray, bool, bool]:
+    """(trie, score of each piece, whether it has byte pieces, whether it is a unigram vocabulary) of the file at ``path``.
+
+    Merge vocabularies hold ranks in place of log probabilities: a piece's score is then its
+    rank's share under Zipf's law.
+    """
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=path)
+    ids = _plain_ids(model)
+    scores = np.array([model.get_score(i) for i in ids])
+    is_unigram = bool((scores != np.floor(scores)).any())
+    if not is_unigram:
+        rank = np.arange(len(ids)) + 2.7
+        scores = -np.log(rank) - math.log(float((1 / rank).sum()))
+    return DoubleArray([model.id_to_piece(i) for i in ids]), scores, any(model.is_byte(i) for i in range(model.get_piece_size())), is_unigram
+
+
+def _plain_ids(model) -> list[int]:
+    return [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+
+
 class Counter:
-    """Counts tokens with the vocabulary file at ``path``; one is kept a worker."""
+    """Counts tokens with the vocabulary file at ``path``; one is kept a worker.
+
+    ``words`` is what :func:`vocabulary` gives, or None where best paths are not asked for.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: tuple[DoubleArray, np.ndarray, bool, bool] | None):
         from sentencepiece import SentencePieceProcessor
 
         self.model = SentencePieceProcessor(model_file=path)
-        ids = [i for i in range(self.model.get_piece_size()) if not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_byte(i) or self.model.is_unused(i))]
-        pieces = [self.model.id_to_piece(i) for i in ids]
-        scores = np.array([self.model.get_score(i) for i in ids])
-        self.byte_fallback = any(self.model.is_byte(i) for i in range(self.model.get_piece_size()))
-        # merge vocabularies hold ranks in place of log probabilities: take the rank's share under Zipf's law
-        self.is_unigram = bool((scores != np.floor(scores)).any())
-        if not self.is_unigram:
-            rank = np.arange(len(pieces)) + 2.7
-            scores = -np.log(rank) - math.log(float((1 / rank).sum()))
-        self.score = scores
-        self.trie = DoubleArray(pieces)
+        pieces = [self.model.id_to_piece(i) for i in _plain_ids(self.model)]
+        self.words = words
         self.digits_alone = not any(len(p.lstrip(_SPACE)) > 1 and re.search("[0-9]", p) or re.fullmatch(f"{_SPACE}+[0-9]", p) for p in pieces)
         if any(_SPACE in p.lstrip(_SPACE) or "\n" in p for p in pieces):
             raise ValueError("this vocabulary has pieces that reach across spaces or lines")
@@ -195,11 +232,12 @@ class Counter:
         self.shift = 1 << 40
 
     def _learn(self, new: list[str]) -> None:
-        if len(self.known) + len(new) > _CACHE_LIMIT:
-            self.known.clear()
-        plain = [s.replace(" ", _SPACE) for s in new]
-        paths = count_best_path(self.trie, self.score, plain, self.byte_fallback)
-        own = paths if self.is_unigram else self._merged(new)
+        paths = np.zeros(len(new), np.int64)
+        unigram = False
+        if self.words:
+            trie, score, byte_fallback, unigram = self.words
+            paths = count_best_path(trie, score, [s.replace(" ", _SPACE) for s in new], byte_fallback)
+        own = paths if unigram else self._merged(new)
         self.known.update(zip(new, (np.asarray(own) * self.shift + paths).tolist()))
 
     def _merged(self, segments: list[str]) -> np.ndarray:
@@ -209,10 +247,12 @@ class Counter:
         return np.array([len(x) - lead for x in self.model.encode(["\n" + s for s in segments], num_threads=1)])
 
     def count(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens, viterbi) of each text."""
+        """(tokens, viterbi) of each text; equal texts of a call are counted once."""
+        index: dict[str, int] = {}
+        which = [index.setdefault(t, len(index)) if t else -1 for t in texts]
         # the mark for a space counts as one where a text has it
-        pieces = [self.cut.findall(" " + (t.replace(_SPACE, " ") if _SPACE in t else t)) if t else [] for t in texts]
-        out = np.zeros(len(texts), np.int64)
+        pieces = [self.cut.findall(" " + (t.replace(_SPACE, " ") if _SPACE in t else t)) for t in index]
+        out = np.zeros(len(pieces) + 1, np.int64)
         at, held = 0, 0
         fresh: set[str] = set()
         for i, p in enumerate(pieces):
@@ -231,28 +271,49 @@ class Counter:
                     pieces[j] = []
                 at, held = i + 1, 0
                 fresh = set()
+        out = out[which]
         return out // self.shift, out % self.shift
 
 
-@lru_cache(maxsize=2)
-def counter(path: str) -> Counter:
-    return Counter(path)
+_KEPT: dict[tuple[str, bool], Counter] = {}
+
+
+def counter(path: str, words: tuple[DoubleArray, np.ndarray, bool, bool] | None) -> Counter:
+    """This worker's counter for the file."""
+    key = (path, words is not None)
+    if key not in _KEPT:
+        _KEPT[key] = Counter(path, words)
+    return _KEPT[key]
 
 
-def with_tokens(df: DataFrame, text_col: str = "text", model: str | None = None, keep_text: bool = False) -> DataFrame:
-    """The rows with ``tokens``, ``viterbi_tokens`` and ``n_chars``; the text itself is left behind unless kept."""
+def with_tokens(df: DataFrame, text_col: str = "text", model: str | None = None, keep_text: bool = False, paths: bool = True) -> DataFrame:
+    """The rows with ``tokens``, ``viterbi_tokens`` and ``n_chars``; the text itself is left behind unless kept.
+
+    Without ``paths`` no best paths are counted for a vocabulary of merges, and ``viterbi_tokens`` is 0.
+    The trie has the vocabulary's size: the driver makes it once and sends it to every task.
+    """
     path = model or default_model()
+    words = vocabulary(path) if paths or _is_unigram(path) else None
+    shared = df.sparkSession.sparkContext.broadcast(words) if words else None
     fields = [f for f in df.schema.fields if keep_text or f.name != text_col]
     clash = {"tokens", "viterbi_tokens", "n_chars"} & {f.name for f in fields}
     fields = [f for f in fields if f.name not in clash]
     schema = T.StructType([*fields, T.StructField("tokens", T.LongType()), T.StructField("viterbi_tokens", T.LongType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):
-        c = counter(path)
+        c = counter(path, shared.value if shared else None)
         for batch in batches:
             texts = batch.column(text_col).to_pylist()
-            tokens, paths = c.count(texts)
+            tokens, best = c.count(texts)
             chars = np.array([len(t) if t else 0 for t in texts], np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(tokens), pa.array(paths), pa.array(chars)], names=schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(tokens), pa.array(best), pa.array(chars)], names=schema.fieldNames())
 
     return df.mapInArrow(run, schema)
+
+
+@lru_cache(maxsize=4)
+def _is_unigram(path: str) -> bool:
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=path)
+    return any(x != math.floor(x) for x in (model.get_score(i) for i in _plain_ids(model)))

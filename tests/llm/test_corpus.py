@@ -16,7 +16,7 @@ TEXTS = ["", " ", "a", "hello  world\n\nnext\tline", "  lead and trail  ", "x1y2
 
 @pytest.fixture(scope="module")
 def counter():
-    return K.counter(K.default_model())
+    return K.counter(K.default_model(), K.vocabulary(K.default_model()))
 
 
 def test_counts_are_the_tokenizers(counter):
@@ -70,7 +70,7 @@ def test_budget_and_sessions(spark):
     docs = spark.createDataFrame([(1, "DE", " Forum ", "ein Text"), (2, "und", None, ""), (1, "DE", " Forum ", "ein Text")], "doc_id long, lang string, source string, text string")
     sources = spark.createDataFrame([("forum", "talk")], "source string, domain string")
     got = {(r.corpus, r.part, r.lang, r.domain): (r.n_records, r.tokens, r.n_chars) for r in token_budget.budget(results, calls, sessions, projects, docs, sources).collect()}
-    n = lambda t: int(K.counter(K.default_model()).count([t])[0][0])
+    n = lambda t: int(K.counter(K.default_model(), K.vocabulary(K.default_model())).count([t])[0][0])
     assert got == {
         ("results", "read", "en", "pay"): (2, n("one two"), 7),
         ("results", "unknown", "und", "unknown"): (1, n("three"), 5),
