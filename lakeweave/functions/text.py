@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from lakeweave.functions import fixed
 
 
+#: All Unicode white space, as a class of the JVM's patterns.
+BLANKS = r"\s\x0B\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+
+
 def stripped(text: Column) -> Column:
     """Without white space at either end, any Unicode white space."""
     return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
@@ -17,10 +21,9 @@ def stripped(text: Column) -> Column:
 
 def token_estimate(text: Column) -> Column:
     """Estimated tokens: the mean of characters / 4 and words / 0.75, half to even; 0 for blank or null."""
-    u = F.coalesce(stripped(text), F.lit(""))
-    words = F.size(F.split(u, r"(?U)\s+"))
+    words = F.coalesce(F.regexp_count(text, F.lit(f"[^{BLANKS}]+")), F.lit(0))
     estimate = F.bround((F.length(text) / F.lit(4.0) + words / F.lit(0.75)) / 2, 0).cast("bigint")
-    return F.when(u == "", F.lit(0).cast("bigint")).otherwise(F.greatest(F.lit(1).cast("bigint"), estimate))
+    return F.when(words == 0, F.lit(0).cast("bigint")).otherwise(F.greatest(F.lit(1).cast("bigint"), estimate))
 
 
 def words(text: Column, least: int = 3) -> Column:
@@ -38,7 +41,7 @@ def normalized(text: Column) -> Column:
     """Without byte order mark, with LF line ends, trailing and repeated inner blanks and long blank
     runs, and without line feeds at either end.
 
-    For texts without fenced code and tables; :func:`lakeweave.operators.clean.normalize` protects those.
+    For texts without fenced code and tables; :func:`lakeweave.operators.segments.normalize` protects those.
     """
     t = F.regexp_replace(text, "^\\x{FEFF}", "")
     t = F.replace(F.replace(t, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))

@@ -6,34 +6,76 @@ so cleaning and measuring a corpus takes no shuffle at all.
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeweave.functions import fixed, text as X
+from lakeweave.functions.arrow import map_arrow
+from lakeweave.operators import segments
+from lakeweave.sources.tables import materialize, spread
 
 
 def filled(df: DataFrame) -> DataFrame:
     """(doc_id, text) with null texts as empty ones."""
-    return df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return spread(df.select("doc_id", "text")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+#: Fenced code, or a table's delimiter row: texts with either are cleaned line by line, so that these stay as they are.
+PROTECTED = r"(?m)^[ \t]*(?:`{3,}|~{3,})|^[ \t]*\|?(?:[ \t]*:?-+:?[ \t]*\|)+[ \t]*(?::?-+:?)?[ \t]*\|?[ \t]*$"
+_ANY_BOILERPLATE = r"(?im)^[ \t\r]*(?:sent from my |page\s+\d|on .+ wrote:|-{4}|={4}|_{4}|\*{4}|~{4})"
 
 
 def clean(df: DataFrame) -> DataFrame:
-    """Stages of safe cleaning as columns: raw, normalized, without boilerplate, without repeated paragraphs."""
-    t = filled(df).withColumn("normalized", X.normalized(F.col("text")))
+    """Stages of safe cleaning as columns: text, normalized, plain (without boilerplate), unique (without repeated paragraphs), n_paragraphs, n_unique.
+
+    Fenced code and tables keep their lines. Texts with neither, nearly all, never leave the JVM.
+    """
+    t = filled(df)
+    held = F.col("text").rlike(PROTECTED)
+    return _clean_plain(t.filter(~held)).unionByName(_clean_protected(t.filter(held)))
+
+
+def _clean_plain(t: DataFrame) -> DataFrame:
+    t = t.withColumn("normalized", X.normalized(F.col("text")))
     kept = F.filter(X.lines(F.col("normalized")), lambda x: X.boilerplate_kind(x).isNull())
-    t = t.withColumn("plain", F.array_join(kept, "\n"))
-    parts = X.paragraphs(F.col("plain"))
-    keyed = F.transform(parts, lambda p: F.struct(X.paragraph_key(p).alias("key"), p.alias("p")))
-    t = t.withColumn("n_paragraphs", F.size(parts)).withColumn("keyed", keyed).withColumn("keys", F.transform("keyed", lambda k: k["key"]))
-    first = F.filter("keyed", lambda k, i: F.array_position(F.col("keys"), k["key"]) == i + 1)
-    t = t.withColumn("unique", F.array_join(F.transform(first, lambda k: k["p"]), "\n\n")).withColumn("n_unique", F.size(first))
-    return t.drop("keyed", "keys")
+    t = t.withColumn("plain", F.when(F.col("normalized").rlike(_ANY_BOILERPLATE), F.array_join(kept, "\n")).otherwise(F.col("normalized")))
+    t = t.withColumn("parts", X.paragraphs(F.col("plain"))).withColumn("keys", F.transform("parts", X.paragraph_key)).withColumn("n_unique", F.size(F.array_distinct("keys")))
+    # only where keys repeat is a paragraph's first place looked for
+    first = F.filter("parts", lambda p, i: F.array_position(F.col("keys"), F.get(F.col("keys"), i)) == i + 1)
+    unique = F.array_join(F.when(F.col("n_unique") == F.size("parts"), F.col("parts")).otherwise(first), "\n\n")
+    return t.select("doc_id", "text", "normalized", "plain", unique.alias("unique"), F.size("parts").alias("n_paragraphs"), "n_unique")
+
+
+def _clean_protected(t: DataFrame) -> DataFrame:
+    kinds = [re.compile(p) for _, p in fixed.BOILERPLATE]
+    id_type = dict(t.dtypes)["doc_id"]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for text in batch.column("text").to_pylist():
+            normalized, _ = segments.normalize(text)
+            lines = normalized.split("\n")
+            safe = segments.protected(lines)
+            plain = "\n".join(x for x, keep in zip(lines, safe) if keep or not any(k.match(x.strip(" \t\r")) for k in kinds))
+            parts = segments.paragraphs(plain)
+            # a fence is a paragraph like any other, but with its inner blanks
+            first = {p if segments.FENCE.match(p) else " ".join(p.split()): p for p in reversed(parts)}
+            kept = set(map(id, first.values()))
+            rows.append((text, normalized, plain, "\n\n".join(p for p in parts if id(p) in kept), len(parts), len(first)))
+        cols = list(zip(*rows)) or [()] * 6
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.string()) for c in cols[:4]), *(pa.array(c, pa.int32()) for c in cols[4:])], names=["doc_id", "text", "normalized", "plain", "unique", "n_paragraphs", "n_unique"])
+
+    return map_arrow(t, run, f"doc_id {id_type}, text string, normalized string, plain string, unique string, n_paragraphs int, n_unique int")
 
 
 def savings(df: DataFrame) -> DataFrame:
-    """(doc_id, tokens_before, tokens_after, saved, saved_percent, n_paragraphs, n_removed) of the cleaning."""
-    t = clean(df).select("doc_id", X.token_estimate(F.col("text")).alias("tokens_before"), X.token_estimate(F.col("unique")).alias("tokens_after"), "n_paragraphs", (F.col("n_paragraphs") - F.col("n_unique")).alias("n_removed"))
+    """(doc_id, tokens_before, tokens_after, saved, saved_percent, n_paragraphs, n_removed, digest of the cleaned text) of the cleaning."""
+    t = clean(df).select("doc_id", X.token_estimate(F.col("text")).alias("tokens_before"), X.token_estimate(F.col("unique")).alias("tokens_after"), "n_paragraphs", (F.col("n_paragraphs") - F.col("n_unique")).alias("n_removed"), F.sha2("unique", 256).alias("digest"))
     saved = F.col("tokens_before") - F.col("tokens_after")
     return t.withColumn("saved", saved).withColumn("saved_percent", F.when(F.col("tokens_before") > 0, F.round(saved * 100 / F.col("tokens_before"), 2)).otherwise(F.lit(0.0)))
 
@@ -87,27 +129,49 @@ def line_table(df: DataFrame) -> DataFrame:
     return rows.withColumn("char_start", F.coalesce(F.sum(F.length("line") + 1).over(w), F.lit(0)))
 
 
+def _chunk_spans(text: str) -> list[tuple[int, int, int, str]]:
+    """(first line, last line, first character, text) of the unbroken runs of lines that are not blank."""
+    out, at, begin = [], 0, None
+    lines = text.split("\n")
+    for i, line in enumerate([*lines, ""]):
+        blank = not line.strip(" \t\n\x0b\f\r")
+        if blank and begin is not None:
+            first, start = begin
+            out.append((first, i - 1, start, text[start : at - 1]))
+            begin = None
+        elif not blank and begin is None:
+            begin = (i, at)
+        at += len(line) + 1
+    return out
+
+
 def chunks(df: DataFrame) -> DataFrame:
-    """(doc_id, idx, chunk_id, label, char_start, char_end, line_start, line_end, duplicate_of, tokens).
+    """(doc_id, idx, chunk_id, label, char_start, char_end, line_start, line_end, duplicate_of, tokens, text).
 
-    A chunk is an unbroken run of lines that are not blank (gaps and islands over the line
-    table); duplicate_of is the first chunk with the same stripped text.
+    A chunk is an unbroken run of lines that are not blank; duplicate_of is the first chunk of
+    the document with the same stripped text. One pass, no shuffle.
     """
-    rows = line_table(df).filter(~F.col("line").rlike(r"^\s*$"))
-    w = W.partitionBy("doc_id").orderBy("line_no")
-    rows = rows.withColumn("island", F.col("line_no") - F.row_number().over(w))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    c = rows.groupBy("doc_id", "island").agg(F.min("line_no").alias("l0"), F.max("line_no").alias("l1"), F.min("char_start").alias("char_start"), text.alias("text"))
-    by = W.partitionBy("doc_id").orderBy("l0")
-    c = c.withColumn("idx", F.row_number().over(by) - 1).withColumn("char_end", F.col("char_start") + F.length("text"))
-    digest = F.substring(F.sha2(F.concat_ws("\u0000", F.col("idx").cast("string"), F.col("char_start").cast("string"), F.col("char_end").cast("string"), "text"), 256), 1, 12)
-    c = c.withColumn("chunk_id", F.concat(F.format_string("chunk_%04d_", F.col("idx") + 1), digest)).withColumn("key", F.regexp_replace("text", r"\A\s+|\s+\z", ""))
-    first = F.first("chunk_id").over(W.partitionBy("doc_id", "key").orderBy("idx"))
-    heading = (F.col("l0") == F.col("l1")) & F.col("key").rlike(r"^#{1,6}[ \t]+\S")
-    return c.select(
-        "doc_id", "idx", "chunk_id", F.when(heading, "heading").otherwise("paragraph_block").alias("label"), "char_start", "char_end", (F.col("l0") + 1).alias("line_start"), (F.col("l1") + 1).alias("line_end"),
-        F.when(first != F.col("chunk_id"), first).alias("duplicate_of"), X.token_estimate(F.col("text")).alias("tokens"), "text",
-    )
+    id_type = dict(df.dtypes)["doc_id"]
+    heading = re.compile(r"#{1,6}[ \t]+\S")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for i, t in enumerate(batch.column("text").to_pylist()):
+            seen: dict[str, str] = {}
+            for idx, (l0, l1, start, body) in enumerate(_chunk_spans(t)):
+                end = start + len(body)
+                name = f"chunk_{idx + 1:04d}_" + hashlib.sha256(f"{idx}\0{start}\0{end}\0{body}".encode()).hexdigest()[:12]
+                key = body.strip(" \t\n\x0b\f\r")
+                first = seen.setdefault(key, name)
+                rows.append((i, idx, name, "heading" if l0 == l1 and heading.match(key) else "paragraph_block", start, end, l0 + 1, l1 + 1, None if first == name else first, body))
+        cols = list(zip(*rows)) or [()] * 10
+        ints = {1, 4, 5, 6, 7}
+        arrays = [pa.array(c, pa.int64() if k in ints else pa.string()) for k, c in enumerate(cols[1:], 1)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(cols[0], pa.int64())), *arrays], names=["doc_id", "idx", "chunk_id", "label", "char_start", "char_end", "line_start", "line_end", "duplicate_of", "text"])
+
+    c = map_arrow(filled(df), run, f"doc_id {id_type}, idx long, chunk_id string, label string, char_start long, char_end long, line_start long, line_end long, duplicate_of string, text string")
+    whole = ("idx", "line_start", "line_end")
+    return c.select("doc_id", *[F.col(x).cast("int").alias(x) if x in whole else F.col(x) for x in c.columns[1:9]], X.token_estimate(F.col("text")).alias("tokens"), "text")
 
 
 def exact_duplicates(df: DataFrame) -> DataFrame:
@@ -191,16 +255,19 @@ def relations(df: DataFrame, question: str = "", least_shared: int = 2) -> DataF
     term), QUALIFIES, CONTRADICTS (two). Terms that a cap excludes make no edge at all, by
     definition of distinctive; it also bounds the join.
     """
-    c = chunks(df)
+    # what the edges need of a chunk is read by every kind of edge: written once, without texts
+    text = F.col("text")
+    cues = F.when(text.rlike(fixed.SUPERSESSION), 1).when(text.rlike(fixed.QUALIFIER), 2).when(text.rlike(fixed.NEGATION), 3)
+    c = materialize(chunks(df).select("doc_id", "idx", "chunk_id", "duplicate_of", cues.alias("cued"), (F.length("text") >= 80).alias("long"), F.array_except(X.terms(text, 4), _query(question)).alias("terms")), "chunks")
     # only documents with several chunks can have relations
     c = c.withColumn("n", F.count("*").over(W.partitionBy("doc_id"))).filter("n > 1")
     dup = c.filter(F.col("duplicate_of").isNotNull()).alias("a").join(c.select("doc_id", F.col("chunk_id").alias("duplicate_of"), F.col("idx").alias("dst")), ["doc_id", "duplicate_of"]).select("doc_id", F.col("idx").alias("src"), "dst", F.lit("DUPLICATES").alias("type"), F.lit(1.0).alias("confidence"))
     cue = (
-        F.when(F.col("text").rlike(fixed.SUPERSESSION), F.struct(F.lit("SUPERSEDES").alias("type"), F.lit(1).alias("least"), F.lit(0.75).alias("confidence")))
-        .when(F.col("text").rlike(fixed.QUALIFIER), F.struct(F.lit("QUALIFIES").alias("type"), F.when(F.length("text") >= 80, 2).otherwise(1 << 20).alias("least"), F.lit(0.7).alias("confidence")))
-        .when(F.col("text").rlike(fixed.NEGATION), F.struct(F.lit("CONTRADICTS").alias("type"), F.lit(least_shared).alias("least"), F.lit(0.6).alias("confidence")))
+        F.when(F.col("cued") == 1, F.struct(F.lit("SUPERSEDES").alias("type"), F.lit(1).alias("least"), F.lit(0.75).alias("confidence")))
+        .when(F.col("cued") == 2, F.struct(F.lit("QUALIFIES").alias("type"), F.when(F.col("long"), 2).otherwise(1 << 20).alias("least"), F.lit(0.7).alias("confidence")))
+        .when(F.col("cued") == 3, F.struct(F.lit("CONTRADICTS").alias("type"), F.lit(least_shared).alias("least"), F.lit(0.6).alias("confidence")))
     )
-    post = c.select("doc_id", "idx", "n", F.explode(F.array_except(X.terms(F.col("text"), 4), _query(question))).alias("term"))
+    post = c.select("doc_id", "idx", "n", F.explode("terms").alias("term"))
     post = post.withColumn("df", F.count("*").over(W.partitionBy("doc_id", "term"))).filter((F.col("df") > 1) & (F.col("df") <= F.least(F.lit(64), F.greatest(F.lit(2), F.floor(F.col("n") / 2)))))
     a, b = post.select("doc_id", "term", F.col("idx").alias("i")), post.select("doc_id", "term", F.col("idx").alias("j"))
     shared = a.join(b, ["doc_id", "term"]).filter("i < j").groupBy("doc_id", "i", "j").agg(F.count("*").alias("shared"))

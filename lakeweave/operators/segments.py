@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeweave.functions.arrow import map_arrow
+from lakeweave.sources.tables import spread
 
 FENCE = re.compile(r"^[ \t]*(`{3,}|~{3,})")
 DELIMITER = re.compile(r"^[ \t]*\|?([ \t]*:?-+:?[ \t]*\|)+[ \t]*(:?-+:?)?[ \t]*\|?[ \t]*$")
@@ -185,7 +186,7 @@ def blocks(df: DataFrame, most: int = BLOCK_MOST) -> DataFrame:
         arrays = [pa.array(c, k) for c, k in zip(cols, kinds)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id").take(arrays[0]), *arrays[1:]], names=["doc_id", "idx", "block_id", "gap_before", "text", "char_start", "char_end", "is_protected", "reason"])
 
-    return map_arrow(df.select("doc_id", "text"), run, f"doc_id {id_type}, idx int, block_id string, gap_before string, text string, char_start int, char_end int, is_protected boolean, reason string")
+    return map_arrow(spread(df.select("doc_id", "text")), run, f"doc_id {id_type}, idx int, block_id string, gap_before string, text string, char_start int, char_end int, is_protected boolean, reason string")
 
 
 def rebuilt(parts: DataFrame) -> DataFrame:
@@ -207,7 +208,7 @@ def cleaned(df: DataFrame, likeness: float = 0.95) -> DataFrame:
         cols = list(zip(*rows))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cols[0], pa.string()), *(pa.array(c, pa.int32()) for c in cols[1:])], names=["doc_id", "text", "n_trailing", "n_inner", "n_exact", "n_near"])
 
-    return map_arrow(df.select("doc_id", "text"), run, f"doc_id {id_type}, text string, n_trailing int, n_inner int, n_exact int, n_near int")
+    return map_arrow(spread(df.select("doc_id", "text")), run, f"doc_id {id_type}, text string, n_trailing int, n_inner int, n_exact int, n_near int")
 
 
 # --- sentences ------------------------------------------------------------------------------
@@ -225,7 +226,7 @@ def sentences(df: DataFrame) -> DataFrame:
     has no topic stem (the first five letters of words of four and more) of the one before.
     """
     found = F.regexp_extract_all("text", F.lit(r"[^.!?\n]+[.!?]*"), 0)
-    rows = df.filter("text is not null").select("doc_id", F.posexplode(F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: s.rlike(r"\w"))).alias("idx", "sentence"))
+    rows = spread(df.select("doc_id", "text")).filter("text is not null").select("doc_id", F.posexplode(F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: s.rlike(r"\w"))).alias("idx", "sentence"))
     s = F.col("sentence")
     role = F.when(s.rlike(r"\?$"), "ask").when(s.rlike(RULE), "constraint").when(s.rlike(ASK), "ask").otherwise("context")
     stems = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(s), F.lit(r"\p{L}{4,}"), 0), lambda w: F.substring(w, 1, 5)))

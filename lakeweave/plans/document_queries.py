@@ -144,7 +144,7 @@ d AS (SELECT *, list_transform(ps, lambda p: trim(regexp_replace(p, '\\s+', ' ',
 e AS (SELECT *, list_filter(range(1, len(ps) + 1), lambda i: list_position(ks, ks[i]) = i) AS firsts FROM d),
 clean AS (SELECT *, coalesce(array_to_string(list_transform(firsts, lambda i: ps[i]), chr(10) || chr(10)), '') AS uniq FROM e)"""
 _SAVINGS = f"""{_CLEAN},
-s0 AS (SELECT doc_id, {_est("text")} AS tokens_before, {_est("uniq")} AS tokens_after, len(ps) AS n_paragraphs, len(ps) - len(firsts) AS n_removed FROM clean),
+s0 AS (SELECT doc_id, {_est("text")} AS tokens_before, {_est("uniq")} AS tokens_after, len(ps) AS n_paragraphs, len(ps) - len(firsts) AS n_removed, sha256(uniq) AS digest FROM clean),
 sav AS (SELECT *, tokens_before - tokens_after AS saved, CASE WHEN tokens_before > 0 THEN round((tokens_before - tokens_after) * 100 / tokens_before, 2) ELSE 0.0 END AS saved_percent FROM s0)"""
 _LINES = f"lines AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {_T})))"
 _CHUNKS = f"""{_LINES},

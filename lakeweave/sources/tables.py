@@ -78,3 +78,19 @@ def total_bytes(df: DataFrame, text_col: str) -> int:
     if estimate < 1 << 60:
         return 4 * estimate
     return df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+
+
+#: Below this the rows of a few files are dealt out to all cores before work on each of them.
+SMALL_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where the input is small, so that one file is no single task; else as they are.
+
+    A large input has tasks enough and is not shuffled. What comes out is the same.
+    """
+    if not hasattr(df, "_jdf"):
+        return df
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < estimate < SMALL_BYTES and cores > 1 else df

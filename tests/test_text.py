@@ -3,6 +3,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lakeweave.functions import text as X
+from lakeweave.operators import documents as D
 from lakeweave.functions.arrow import pack, unpack
 
 EDGES = ["", "   ", "\n", "﻿", "\x00", "a", "x" * 20000, "a\rb\rc", "a\r\nb\nc\rd", "```\nopen", "﻿```\nx\n```", "p\n\np\n\np", "one  two   three  ", "a\n\n\n\nb\n", " lead", "fin.  \n\n"]
@@ -55,3 +56,14 @@ def test_pack(arrays):
     given_ = [np.array(a, t) for a, t in zip(arrays, (np.uint8, np.int64, np.float64, np.uint32, np.int16))]
     back = unpack(pack(*given_))
     assert len(back) == len(given_) and all(a.dtype == b.dtype and (a == b).all() for a, b in zip(given_, back))
+
+
+def test_cleaning_keeps_fences_and_tables(spark):
+    fence = "```\nx  =  1\n\n\n\n----\nSent from my phone\nx  =  1\n```"
+    table = "| a  |  b |\n|----|----|\n| 1  |  2 |"
+    text = "﻿Hello   there  \r\n\r\n\r\n\r\nPage 3 of 9\n\n" + fence + "\n\nHello there\n\n" + table + "\n\n" + fence
+    df = spark.createDataFrame([(1, text), (2, "Hello   there  \n\n\n\nPage 3 of 9\n\nHello there\n----"), (3, None), (4, "```\nopen  fence\n\n\n\nto the end")], "doc_id long, text string")
+    got = {r.doc_id: r for r in D.clean(df).collect()}
+    assert got[1].unique == "Hello there\n\n" + fence + "\n\n" + table and (got[1].n_paragraphs, got[1].n_unique) == (5, 3)
+    assert got[2].unique == "Hello there" and (got[2].n_paragraphs, got[2].n_unique) == (2, 1)
+    assert got[3].unique == "" and got[4].unique == "```\nopen  fence\n\n\n\nto the end"
