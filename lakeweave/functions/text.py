@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from lakeweave.functions import fixed
 
 
-#: All Unicode white space, as a class of the JVM's patterns.
-BLANKS = r"\s\x0B\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-
-
 def stripped(text: Column) -> Column:
     """Without white space at either end, any Unicode white space."""
     return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
@@ -21,7 +17,7 @@ def stripped(text: Column) -> Column:
 
 def token_estimate(text: Column) -> Column:
     """Estimated tokens: the mean of characters / 4 and words / 0.75, half to even; 0 for blank or null."""
-    words = F.coalesce(F.regexp_count(text, F.lit(f"[^{BLANKS}]+")), F.lit(0))
+    words = F.coalesce(F.regexp_count(text, F.lit(r"(?U)\S+")), F.lit(0))
     estimate = F.bround((F.length(text) / F.lit(4.0) + words / F.lit(0.75)) / 2, 0).cast("bigint")
     return F.when(words == 0, F.lit(0).cast("bigint")).otherwise(F.greatest(F.lit(1).cast("bigint"), estimate))
 
