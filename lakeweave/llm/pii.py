@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeweave.functions.arrow import map_arrow
-from lakeweave.sources.tables import materialize
+from lakeweave.sources.tables import materialize, spread
 
 SAMPLE = 20_000
 LONGEST = 4_000
@@ -774,7 +774,7 @@ def _map_texts(df: DataFrame, key: str, fn, schema: str) -> DataFrame:
         names, kinds = zip(*(c.split() for c in f"{key} bigint, {schema}".split(", ")))
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[k]) for i, k in enumerate(kinds)], names=list(names))
 
-    texts = df.select(F.xxhash64("text").alias("key"), "text").filter(F.length("text") > 0)
+    texts = spread(df.select(F.xxhash64("text").alias("key"), "text").filter(F.length("text") > 0))
     return map_arrow(texts, run, f"{key} bigint, {schema}")
 
 
@@ -840,13 +840,14 @@ def find(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "t
             ids = batch.column("id").take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["id", "kind", "span_start", "span_end"])
 
-    return _with_towns(rows, model).mapInArrow(run, f"id {id_type}, kind string, span_start int, span_end int").distinct().withColumnRenamed("id", id_col)
+    return spread(_with_towns(rows, model)).mapInArrow(run, f"id {id_type}, kind string, span_start int, span_end int").distinct().withColumnRenamed("id", id_col)
 
 
 def masked(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, n_finds): every text with its finds replaced by typed placeholders."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull())
+    # a repeated id counts once, whichever text is the greatest: before any text is looked through
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull()).groupBy("id").agg(F.max("text").alias("text"))
     id_type = dict(rows.dtypes)["id"]
 
     def run(batches):
@@ -859,4 +860,4 @@ def masked(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string()), pa.array(n, pa.int32())], names=["id", "text", "n_finds"])
 
     out = _with_towns(rows, model).mapInArrow(run, f"id {id_type}, text string, n_finds int")
-    return out.dropDuplicates(["id"]).withColumnsRenamed({"id": id_col, "text": text_col})
+    return out.withColumnsRenamed({"id": id_col, "text": text_col})

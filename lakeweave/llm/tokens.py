@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lakeweave.sources.tables import spread
+
 #: The public vocabulary counted with unless another path is given.
 DEFAULT_MODEL = "piece_bpe_32k.model"
 _SPACE = "▁"
@@ -308,7 +310,7 @@ def with_tokens(df: DataFrame, text_col: str = "text", model: str | None = None,
             chars = np.array([len(t) if t else 0 for t in texts], np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(tokens), pa.array(best), pa.array(chars)], names=schema.fieldNames())
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
 
 
 @lru_cache(maxsize=4)
