@@ -38,6 +38,10 @@ INSTRUCTION = (
     r"(?i)\b(?:ignore|disregard|forget|override)\s+(?:all\s+)?(?:the\s+)?(?:previous|prior|above|earlier)?\s*(?:instructions?|directions?|rules?)\b"
     r"|\b(?:you\s+are\s+now|reveal\s+the\s+system\s+prompt|delete\s+the\s+user\s+account)\b"
 )
+STANDALONE_INSTRUCTION = (
+    r"(?is)^\s*(?:ignore|disregard|forget|override)\s+(?:all\s+)?(?:the\s+)?(?:previous|prior|above|earlier)?\s*(?:instructions?|directions?|rules?)\b"
+    r"|^\s*you\s+are\s+now\b.*\b(?:reveal|delete|send|execute|disable|secrets?|configuration)\b"
+)
 QUOTED_SPEECH = r"(?i)[“\"'][^\"“”]{12,}[”\"']|\b(?:wrote|said|reported|stated|asked|complained|replied)\b[^.]{0,40}:"
 
 # Tools and limits of the transcript rules.
@@ -64,3 +68,17 @@ REDACTIONS = (
     ("HOST", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"),
     ("NUMBER", r"\b[0-9][0-9.,/:-]{3,}[0-9]\b"),
 )
+
+# How the lines of a kind of passage look.
+LINE_LOOKS = {
+    "markdown_table": r"^[ \t]*\|?([ \t]*:?-+:?[ \t]*\|)+[ \t]*:?-+:?[ \t]*\|?[ \t]*$",
+    "yaml": r"^\s*[A-Za-z0-9_.\-]+:\s*\S?",
+    "logs": r"^\s*(\d{4}-\d{2}-\d{2}|\d{2}:\d{2}(:\d{2})?|INFO|DEBUG|WARN|ERROR|TRACE|LOG\b)",
+    "code": r"^\s*(def |class |function |import |from |const |let |var |fn |func |public |private |if |for |while |return |#include|package |interface )",
+    "config": r"^\s*[A-Za-z0-9_.\-/]+(\s*[:=]\s*|\s*=\s*)\S+",
+}
+# Words of passages in which nothing may be cut.
+HIGH_RISK = (
+    r"(?i)\b(?:indemnif\w*|liabilit\w*|lawsuit|arbitration|arbitrat\w*|dosage|prescri\w+|diagnos\w*|contraindicat\w*|fiduciar\w*|malpractice|overdose|chemotherapy|"
+    r"insider\s+trading|money\s+laundering)\b"
+)

@@ -119,23 +119,29 @@ def gap_bucket(seconds: Column) -> Column:
 
 
 def content_type(text: Column) -> Column:
-    """A coarse kind of a passage: json, xml, markdown_table, yaml, logs, code, markdown or prose."""
+    """A coarse kind of a passage: high_risk, json, xml, markdown_table, yaml, logs, code, config, markdown or prose.
+
+    The looks and their order are fixed values; what begins like JSON or XML counts as such
+    though it may be broken, so that it is never cut.
+    """
     t = F.regexp_replace(text, r"\A\s+|\s+\z", "")
     ls = F.split(t, "\n")
-    hits = lambda p: F.size(F.filter(ls, lambda x: x.rlike(p)))
+    hits = lambda kind: F.size(F.filter(ls, lambda x: x.rlike(fixed.LINE_LOOKS[kind])))
     n = F.size(ls)
-    return (
-        F.when(t == "", "prose")
-        .when(t.rlike(r"(?m)^\s*(`{3,}|~{3,})"), "code")
-        .when(t.rlike(r"^[\[{]"), "json")
-        .when(t.rlike(r"^<") & t.rlike(r"<[a-zA-Z][^>]*>"), "xml")
-        .when((n >= 3) & (hits(r"^[ \t]*\|?([ \t]*:?-+:?[ \t]*\|)+[ \t]*:?-+:?[ \t]*\|?[ \t]*$") > 0), "markdown_table")
-        .when((n >= 2) & (hits(r"^\s*[A-Za-z0-9_.\-]+:\s*\S?") >= F.greatest(F.lit(2), F.floor(n / 2))), "yaml")
-        .when((n >= 3) & (hits(r"^\s*(\d{4}-\d{2}-\d{2}|\d{2}:\d{2}(:\d{2})?|INFO|DEBUG|WARN|ERROR|TRACE|LOG\b)") >= 2), "logs")
-        .when((n >= 2) & (hits(r"^\s*(def |class |function |import |from |const |let |var |fn |func |public |private |if |for |while |return |#include|package |interface )") > 0), "code")
-        .when(t.rlike(r"^#"), "markdown")
-        .otherwise("prose")
+    looks = (
+        (t == "", "prose"),
+        (text.rlike(fixed.HIGH_RISK) & (F.length(text) > 200), "high_risk"),
+        (t.rlike(r"(?m)^\s*(`{3,}|~{3,})"), "code"),
+        (t.rlike(r"^[\[{]"), "json"),
+        (t.rlike(r"^<") & t.rlike(r"<[a-zA-Z][^>]*>"), "xml"),
+        ((n >= 3) & (hits("markdown_table") > 0), "markdown_table"),
+        ((n >= 2) & (hits("yaml") >= F.greatest(F.lit(2), F.floor(n / 2))), "yaml"),
+        ((n >= 3) & (hits("logs") >= 2), "logs"),
+        ((n >= 2) & (hits("code") > 0), "code"),
+        (hits("config") >= 2, "config"),
+        (t.rlike(r"^#"), "markdown"),
     )
+    return F.coalesce(*[F.when(c, k) for c, k in looks], F.lit("prose"))
 
 
 def tool_name(tool: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 import unicodedata
 
@@ -12,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeweave.functions import fixed, text as X
+from lakeweave.functions import fixed, jsontext, text as X
 
 # The endings by which a bare name is a file's.
 FILE_NAME = r"\b[\w-]+\.(?:py|ts|tsx|js|jsx|md|json|toml|yaml|yml|sql|css|html|sh|go|rs)\b"
@@ -113,43 +112,61 @@ def folded_frequency(df: DataFrame) -> DataFrame:
     return t.groupBy("term").agg(F.count("*").alias("n_docs"))
 
 
+#: A text is cut only where it exceeds the budget by more than this; the turn of meaning is looked for so far before a cut.
+SLACK, LOOK_BACK = 200, 120
+
+
+def _heads(text: str, budget: int, kind: str) -> list[str]:
+    """What may stand for a text of that kind, the best first."""
+    ends = [m.start() for m in re.finditer("\n", text)]
+    if kind == "markdown_table":
+        fits = [e for e in ends if e < budget]
+        return [text[: fits[-1]]] if len(fits) >= 3 else []
+    if kind == "logs":
+        quarter = ends[len(ends) // 4] if ends else 0
+        head = [e for e in ends if 0 < e <= min(budget // 3, quarter)]
+        tail = [e for e in ends if e >= len(text) - 2 * budget // 3]
+        return [text[: head[-1]] + text[tail[0] :]] if head and tail else []
+    if kind == "json":
+        return [text[:e] for e in ends if e <= budget][::-1]
+    stops = ends if kind in ("code", "config", "markdown") else [m.start() for m in re.finditer(" ", text)]
+    late = [e for e in stops if max(20, budget // 2) <= e < budget]
+    return [text[: late[-1]] if late else text[:budget]]
+
+
+def _is_json(text: str) -> bool:
+    try:
+        jsontext.loads(text)
+    except ValueError:
+        return False
+    return True
+
+
+def _fields(text: str) -> set[str]:
+    """Names that stand before a colon or an equals sign."""
+    return set(re.findall(r"(?m)^\s*[\"']?([A-Za-z_][\w.-]*)[\"']?\s*[:=]", text))
+
+
 def trimmed(text: str, budget: int, kind: str) -> str | None:
     """The head of a text that says no less than it seems to, or None where there is none.
 
-    Not cut: texts that exceed the budget by 200 characters or less. JSON is cut where what
-    is left parses; tables keep head, delimiter and whole rows; logs a third from the head and two
-    from the tail; the rest at a line's or a word's end. Refused where the cut comes before, or shortly
-    after, a word that turns the meaning.
+    A table keeps its head, delimiter and whole rows, a log its two ends, JSON what parses by
+    itself; code, settings and Markdown end at a line, prose at a word. XML, YAML and texts of
+    high risk are never cut. Refused where what is left out turns the meaning of what
+    stays, or names a field that no longer stands anywhere.
     """
-    if len(text) <= budget + 200:
+    if len(text) <= budget + SLACK or kind in ("xml", "yaml", "high_risk"):
         return None
-    if kind in ("json", "xml", "yaml"):
-        cut = text.rfind("\n", 0, budget)
-        head = text[: max(cut, 0)]
-        if kind == "json":
-            try:
-                json.loads(head)
-            except ValueError:
-                return None
-        return head if head.strip() and kind == "json" and not TURN.search(text[len(head) :]) else None
-    if kind == "markdown_table":
-        lines, size, keep = text.split("\n"), 0, []
-        for line in lines:
-            size += len(line) + 1
-            if size > budget:
-                break
-            keep.append(line)
-        return "\n".join(keep) if len(keep) >= 3 else None
-    if kind == "logs":
-        lines = text.split("\n")
-        first = text.rfind("\n", 0, min(budget // 3, sum(len(x) + 1 for x in lines[: len(lines) // 4])))
-        last = text.find("\n", len(text) - 2 * budget // 3)
-        return text[:first] + "\n" + text[last + 1 :] if first > 0 and 0 < last and first + len(text) - last >= 120 else None
-    cut = text.rfind("\n", 0, budget) if kind in ("code", "config", "markdown") else text.rfind(" ", 0, budget)
-    if cut < max(20, budget // 2):
-        cut = budget
-    head, tail = text[:cut], text[cut:]
-    return None if TURN.search(tail) or TURN.search(head[-120:]) else head
+    for head in _heads(text, budget, kind):
+        gone = text[len(head) :]
+        if not head.strip() or kind == "json" and not _is_json(head):
+            continue
+        if kind not in ("logs", "markdown_table") and (TURN.search(gone) or kind != "json" and TURN.search(head[-LOOK_BACK:])):
+            continue
+        if kind in ("config", "json") and _fields(gone) - _fields(head):
+            continue
+        return head
+    return None
 
 
 def safe_trims(df: DataFrame, budget: int = 400) -> DataFrame:

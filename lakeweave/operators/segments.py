@@ -10,6 +10,8 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
+from collections import Counter
 from difflib import SequenceMatcher
 from itertools import groupby
 
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from lakeweave.functions.arrow import map_arrow
 from lakeweave.sources.tables import spread
 
+# Where fenced code begins, a table's delimiter row, and the sizes of blocks.
 FENCE = re.compile(r"^[ \t]*(`{3,}|~{3,})")
 DELIMITER = re.compile(r"^[ \t]*\|?([ \t]*:?-+:?[ \t]*\|)+[ \t]*(:?-+:?)?[ \t]*\|?[ \t]*$")
 INNER_RUN = re.compile(r"(?<=\S)[ \t]{2,}(?=\S)")
@@ -90,36 +93,68 @@ def _key(paragraph: str) -> str:
     return " ".join(unicodedata.normalize("NFC", paragraph).split())
 
 
+GRAM = 8
+
+
+class _Near:
+    """Paragraphs kept so far, found again by the letter groups that a near repeat must share.
+
+    If the matching blocks of two keys cover 95 % of both, at most a twentieth of their
+    characters lie outside, and the places of these cut neither key into stretches that are all
+    shorter than eight characters. So only kept keys with a letter group in common, in a
+    number that follows from the lengths, are compared; one that long passages do not share
+    costs nothing.
+    """
+
+    def __init__(self, likeness: float):
+        self.likeness = likeness
+        self.keys: list[str] = []
+        self.holders: dict[str, list[int]] = {}
+
+    @staticmethod
+    def grams(key: str) -> set[str]:
+        return {key[i : i + GRAM] for i in range(len(key) - GRAM + 1)}
+
+    def has_like(self, key: str) -> bool:
+        met = Counter(i for g in self.grams(key) for i in self.holders.get(g, ()))
+        matcher = SequenceMatcher(None, "", key)
+        for i, shared in sorted(met.items(), key=lambda x: -x[1]):
+            both = len(self.keys[i]) + len(key)
+            outside = (1 - self.likeness) * both
+            if abs(len(self.keys[i]) - len(key)) > outside:
+                continue
+            matcher.set_seq1(self.keys[i])
+            if matcher.quick_ratio() >= self.likeness and matcher.ratio() >= self.likeness:
+                return True
+        return False
+
+    def add(self, key: str) -> None:
+        for g in self.grams(key):
+            self.holders.setdefault(g, []).append(len(self.keys))
+        self.keys.append(key)
+
+
 def near_unique(text: str, likeness: float = 0.95, least: int = 40) -> tuple[list[str], int, int]:
     """(kept paragraphs, exact repeats, near repeats), the first of each kept, in order.
 
-    Two paragraphs of ``least`` characters or more are near repeats when the matching-blocks
-    ratio of their folded keys reaches the likeness; lengths bound it, so most pairs cost
-    a comparison of two numbers.
+    Paragraphs with one key are repeats; those whose keys, without case, have ``least``
+    characters or more are near repeats when their matching-blocks ratio reaches the likeness.
     """
-    seen: set[str] = set()
-    kept: list[tuple[str, SequenceMatcher | None, int]] = []
-    exact = near = 0
+    kept: dict[str, str] = {}
+    near = _Near(likeness)
+    exact = alike = 0
     for p in paragraphs(text):
         key = _key(p)
-        if key in seen:
+        small = key.lower()
+        if key in kept:
             exact += 1
-            continue
-        low, like = key.lower(), False
-        if len(key) >= least:
-            for _, matcher, n in kept:
-                if matcher is None or 2 * min(n, len(low)) < likeness * (n + len(low)):
-                    continue
-                matcher.set_seq1(low)
-                if matcher.quick_ratio() >= likeness and matcher.ratio() >= likeness:
-                    like = True
-                    break
-        if like:
-            near += 1
-            continue
-        seen.add(key)
-        kept.append((p, SequenceMatcher(None, "", low) if len(key) >= least else None, len(low)))
-    return [p for p, _, _ in kept], exact, near
+        elif len(key) >= least and near.has_like(small):
+            alike += 1
+        else:
+            kept[key] = p
+            if len(key) >= least:
+                near.add(small)
+    return list(kept.values()), exact, alike
 
 
 def block_spans(text: str, most: int = BLOCK_MOST) -> list[tuple[int, int]]:
@@ -142,20 +177,25 @@ def block_spans(text: str, most: int = BLOCK_MOST) -> list[tuple[int, int]]:
     return [piece for s, e in spans for piece in _pieces(text, s, e, most)]
 
 
+LINE_END = re.compile(r"\r\n|\r|\n")
+
+
 def _pieces(text: str, start: int, end: int, most: int) -> list[tuple[int, int]]:
-    out = []
-    while end - start > most:
-        newline = max(text.rfind("\n", start + most // 2, start + most), text.rfind("\r", start + most // 2, start + most))
-        cut = newline + 1 if newline >= 0 else start + most
-        if text[cut - 1 : cut + 1] == "\r\n":
-            cut += 1
-        out.append((start, cut))
-        start = cut
-    if out and end - start < BLOCK_LEAST:
-        out[-1] = (out[-1][0], end)
-    elif end > start:
-        out.append((start, end))
-    return out
+    """A span in pieces of ``most`` characters at most: each ends at the last line end in its second half, if there is one.
+
+    No line end is cut in two, and a rest of less than BLOCK_LEAST stays with the piece before.
+    """
+    stops = [m.end() for m in LINE_END.finditer(text, start, end)] if end - start > most else []
+    borders = [start]
+    while end - borders[-1] > most:
+        full = borders[-1] + most
+        whole = full + (text[full - 1 : full + 1] == "\r\n")
+        last = bisect_right(stops, whole) - 1
+        in_half = last >= 0 and stops[last] > full - (most - most // 2)
+        borders.append(stops[last] if in_half else whole)
+    if len(borders) > 1 and end - borders[-1] < BLOCK_LEAST:
+        borders.pop()
+    return list(zip(borders, [*borders[1:], end]))
 
 
 def block_id(index: int, text: str) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweave.functions import fixed, text as X
-from lakeweave.operators import documents as D
+from lakeweave.operators import documents as D, masking
 from lakeweave.sources.tables import table
 
 QUESTION = "Which greenhouse fan needs a new seal when the cable is wet?"
@@ -29,9 +29,20 @@ def redaction_counts(spark, folder):
     return red.select("doc_id", *[X.count_matches(F.col("t"), f"<{k}>").alias(f"n_{k.lower()}") for k, _ in fixed.REDACTIONS], F.sha2("t", 256).alias("digest"))
 
 
+def redacted_texts(spark, folder):
+    return masking.redacted(D.filled(_docs(spark, folder)))
+
+
+def secrets_masked(spark, folder):
+    return D.filled(_docs(spark, folder)).select("doc_id", masking.mask_secrets("text").alias("text"))
+
+
 def instruction_blocks(spark, folder):
+    """Texts shaped like instructions: a standalone one is left out of what is handed on, one inside other text or quotes stays as data."""
     t = D.filled(_docs(spark, folder))
-    return t.select("doc_id", F.col("text").rlike(fixed.INSTRUCTION).alias("instruction"), F.col("text").rlike(fixed.QUOTED_SPEECH).alias("quoted")).filter("instruction or quoted")
+    shaped, alone, quoted = (F.col("text").rlike(p) for p in (fixed.INSTRUCTION, fixed.STANDALONE_INSTRUCTION, fixed.QUOTED_SPEECH))
+    kind = F.when(shaped & alone & ~quoted, "standalone").when(shaped, "embedded")
+    return t.select("doc_id", shaped.alias("instruction"), quoted.alias("quoted"), kind.alias("kind")).filter("instruction or quoted")
 
 
 def content_types(spark, folder):
@@ -86,7 +97,7 @@ QUERIES = {
     "lexical_selection": _on(D.select_chunks, QUESTION),
     "relation_edges": _on(D.relations, QUESTION),
     "relation_closure": closure,
-    "language_vote": language_vote,
+    "language_vote": language_vote, "redacted_texts": redacted_texts, "secrets_masked": secrets_masked,
     "redaction_counts": redaction_counts,
     "instruction_blocks": instruction_blocks,
     "content_types": content_types,
@@ -217,13 +228,11 @@ SQL = {
         v AS (SELECT doc_id, n, list_sort([{{'n': pt, 'o': 0, 't': 'pt'}}, {{'n': es, 'o': -1, 't': 'es'}}, {{'n': fr, 'o': -2, 't': 'fr'}}, {{'n': de, 'o': -3, 't': 'de'}}], 'DESC') AS r FROM h)
         SELECT doc_id, CASE WHEN n >= 12 AND r[1].n >= 3 AND r[1].n > r[2].n * 1.5 THEN r[1].t END AS voted FROM v""",
     "redaction_counts": f"WITH r AS (SELECT doc_id, {_redacted('text')} AS t FROM {_T}) SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(t, '<{k}>')) AS n_{k.lower()}" for k, _ in fixed.REDACTIONS) + ", sha256(t) AS digest FROM r",
-    "instruction_blocks": f"SELECT * FROM (SELECT doc_id, regexp_matches(text, {_s(fixed.INSTRUCTION)}) AS instruction, regexp_matches(text, {_s(fixed.QUOTED_SPEECH)}) AS quoted FROM {_T}) WHERE instruction OR quoted",
-    "content_types": f"""WITH t AS (SELECT regexp_replace(text, '\\A\\s+|\\s+\\z', '', 'g') AS t FROM {_T}), l AS (SELECT t, string_split(t, chr(10)) AS ls FROM t),
-        h AS (SELECT t, len(ls) AS n, len(list_filter(ls, lambda x: regexp_matches(x, '^[ \\t]*\\|?([ \\t]*:?-+:?[ \\t]*\\|)+[ \\t]*:?-+:?[ \\t]*\\|?[ \\t]*$'))) AS d, len(list_filter(ls, lambda x: regexp_matches(x, '^\\s*[A-Za-z0-9_.\\-]+:\\s*\\S?'))) AS y,
-          len(list_filter(ls, lambda x: regexp_matches(x, '^\\s*(\\d{{4}}-\\d{{2}}-\\d{{2}}|\\d{{2}}:\\d{{2}}(:\\d{{2}})?|INFO|DEBUG|WARN|ERROR|TRACE|LOG\\b)'))) AS g,
-          len(list_filter(ls, lambda x: regexp_matches(x, '^\\s*(def |class |function |import |from |const |let |var |fn |func |public |private |if |for |while |return |#include|package |interface )'))) AS c FROM l)
-        SELECT CASE WHEN t = '' THEN 'prose' WHEN regexp_matches(t, '(?m)^\\s*(`{{3,}}|~{{3,}})') THEN 'code' WHEN regexp_matches(t, '^[\\[{{]') THEN 'json' WHEN regexp_matches(t, '^<') AND regexp_matches(t, '<[a-zA-Z][^>]*>') THEN 'xml' WHEN n >= 3 AND d > 0 THEN 'markdown_table'
-          WHEN n >= 2 AND y >= greatest(2, n // 2) THEN 'yaml' WHEN n >= 3 AND g >= 2 THEN 'logs' WHEN n >= 2 AND c > 0 THEN 'code' WHEN regexp_matches(t, '^#') THEN 'markdown' ELSE 'prose' END AS content_type, count(*) AS n FROM h GROUP BY 1""",
+    "instruction_blocks": f"SELECT doc_id, instruction, quoted, CASE WHEN instruction AND alone AND NOT quoted THEN 'standalone' WHEN instruction THEN 'embedded' END AS kind FROM (SELECT doc_id, regexp_matches(text, {_s(fixed.INSTRUCTION)}) AS instruction, regexp_matches(text, {_s(fixed.QUOTED_SPEECH)}) AS quoted, regexp_matches(text, {_s(fixed.STANDALONE_INSTRUCTION)}) AS alone FROM {_T}) WHERE instruction OR quoted",
+    "content_types": f"""WITH t AS (SELECT text, regexp_replace(text, '\\A\\s+|\\s+\\z', '', 'g') AS t FROM {_T}), l AS (SELECT text, t, string_split(t, chr(10)) AS ls FROM t),
+        h AS (SELECT text, t, len(ls) AS n, {", ".join(f"len(list_filter(ls, lambda x: regexp_matches(x, {_s(p)}))) AS {k}" for k, p in fixed.LINE_LOOKS.items())} FROM l)
+        SELECT CASE WHEN t = '' THEN 'prose' WHEN regexp_matches(text, {_s(fixed.HIGH_RISK)}) AND len(text) > 200 THEN 'high_risk' WHEN regexp_matches(t, '(?m)^\\s*(`{{3,}}|~{{3,}})') THEN 'code' WHEN regexp_matches(t, '^[\\[{{]') THEN 'json' WHEN regexp_matches(t, '^<') AND regexp_matches(t, '<[a-zA-Z][^>]*>') THEN 'xml'
+          WHEN n >= 3 AND markdown_table > 0 THEN 'markdown_table' WHEN n >= 2 AND yaml >= greatest(2, n // 2) THEN 'yaml' WHEN n >= 3 AND logs >= 2 THEN 'logs' WHEN n >= 2 AND code > 0 THEN 'code' WHEN config >= 2 THEN 'config' WHEN regexp_matches(t, '^#') THEN 'markdown' ELSE 'prose' END AS content_type, count(*) AS n FROM h GROUP BY 1""",
     "dictation_signals": f"""WITH t AS (SELECT doc_id, len(regexp_extract_all(text, {_s("(" + fixed.FILLER + ")")})) AS fillers, len(list_filter(string_split_regex(text, '[ \\t\\r\\n]+'), lambda w: w <> '')) AS n_words FROM {_T}),
         p AS (SELECT *, CASE WHEN n_words > 0 THEN round(fillers * 100 / n_words, 4) ELSE 0.0 END AS per_hundred FROM t) SELECT *, fillers >= 3 AND per_hundred >= 3 AS dictated FROM p""",
     "term_sets": f"""WITH t AS (SELECT doc_id, list_distinct({_words("text")}) AS t FROM {_T}), u AS (SELECT doc_id, len(t) AS n_terms, len(list_intersect(t, {_Q})) AS n_both FROM t)

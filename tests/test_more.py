@@ -46,11 +46,45 @@ def test_fences_stay_whole_and_protected():
 
 
 def test_near_repeats():
-    long = "The quick brown fox jumps over the lazy dog near the river bank at noon."
-    kept, exact, near = segments.near_unique("\n\n".join([long, "short", long.replace("noon", "none"), "  ".join(long.split()), "shorT", long[::-1]]))
+    long = "Each evening the harbour master rows out to light the green lamp on pier nine."
+    kept, exact, near = segments.near_unique("\n\n".join([long, "short", long.replace("nine", "none"), "  ".join(long.split()), "shorT", long[::-1]]))
     assert (kept, exact, near) == ([long, "short", "shorT", long[::-1]], 1, 1)
 
 
+def test_near_repeats_against_comparing_all():
+    from difflib import SequenceMatcher
+
+    rnd = random.Random(8)
+    for _ in range(30):
+        base = ["".join(rnd.choice("abcdefg hij") for _ in range(rnd.choice([30, 41, 60, 150, 420]))).strip() or "x" for _ in range(4)]
+        parts = []
+        for _ in range(25):
+            c = list(rnd.choice(base))
+            for _ in range(rnd.randrange(0, max(1, len(c) // 12))):
+                at = rnd.randrange(len(c))
+                c[at : at + rnd.randrange(2)] = [rnd.choice("XYZ")] * rnd.randrange(2)
+            parts.append("".join(c).strip() or "x")
+        kept, keys = [], []
+        for p in parts:
+            key = " ".join(p.split())
+            if key in [" ".join(k.split()) for k in kept]:
+                continue
+            if len(key) >= 40 and any(SequenceMatcher(None, k, key.lower()).ratio() >= 0.95 for k in keys):
+                continue
+            kept.append(p)
+            if len(key) >= 40:
+                keys.append(key.lower())
+        assert segments.near_unique("\n\n".join(parts))[0] == kept
+
+
+def test_pieces_end_at_lines():
+    text = "".join(f"line {i}\r\n" for i in range(3000))
+    spans = segments._pieces(text, 0, len(text), 1000)
+    assert "".join(text[s:e] for s, e in spans) == text and all(e - s <= 1001 and text[s:e].endswith("\r\n") for s, e in spans[:-1])
+    assert segments._pieces("x" * 2050, 0, 2050, 1000) == [(0, 1000), (1000, 2050)]
+    assert segments._pieces("x" * 999 + "\r\n" + "y" * 500, 0, 1501, 1000) == [(0, 1001), (1001, 1501)]
+
+
 def test_blocks_table_and_sql(spark):
     df = spark.createDataFrame([*enumerate(EDGES), (99, None)], "doc_id long, text string")
     back = {r.doc_id: r.text for r in segments.rebuilt(segments.blocks(df)).collect()}
@@ -229,3 +263,14 @@ def test_trims():
     out = trimmed(logs, 600, "logs")
     assert out.startswith("2025-01-01 INFO line 0\n") and out.endswith("line 199\n") and len(out) < 700
     assert trimmed('{"a": [' + "1,\n" * 500 + "1]}", 400, "json") is None
+    assert trimmed("a risk of overdose " * 60, 400, "high_risk") is None and trimmed("a: 1\n" * 300, 400, "yaml") is None
+    assert trimmed("port = 1\n" * 90, 400, "config") == ("port = 1\n" * 45)[:-1].rsplit("\n", 1)[0] and trimmed("port = 1\n" * 90 + "host = x", 400, "config") is None
+
+
+def test_kinds_of_passages(spark):
+    from lakeweave.functions import text as X
+
+    texts = ["the dosage " + "x " * 120, "```py\nx\n```", '{"a"', "<p>x</p> y", "a | b\n---|---\n1 | 2", "a: 1\nb: 2\nc", "10:00 x\n10:01 y\nz", "import x\ny", "/a/b = 1\nc d\ne f\ng h\n/k = 2", "# Title", "plain words", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(X.content_type(F.col("t"))).collect()]
+    assert got == ["high_risk", "code", "json", "xml", "markdown_table", "yaml", "logs", "code", "config", "markdown", "prose", "prose"]

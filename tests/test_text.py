@@ -67,3 +67,31 @@ def test_cleaning_keeps_fences_and_tables(spark):
     assert got[1].unique == "Hello there\n\n" + fence + "\n\n" + table and (got[1].n_paragraphs, got[1].n_unique) == (5, 3)
     assert got[2].unique == "Hello there" and (got[2].n_paragraphs, got[2].n_unique) == (2, 1)
     assert got[3].unique == "" and got[4].unique == "```\nopen  fence\n\n\n\nto the end"
+
+
+def test_masking(spark):
+    from lakeweave.operators import masking
+
+    cases = {
+        "see https://a.b/c?d=1 now": "see <URL> now",
+        "mail --x.y+z@mail.example.org, a@b": "mail --<EMAIL>, <EMAIL>",
+        "Authorization: Bearer abc.def": "<TOKEN>",
+        "my_api_key=9, max_tokens: 40 left": "<TOKEN> max_tokens: 40 left",
+        "the password is hunter2 ok": "the <TOKEN> ok",
+        "token tomorrow, token t0morrow": "token tomorrow, <TOKEN>",
+        "ghp_abcdefgh12 and AKIA0123456789ABCD": "<TOKEN> and <TOKEN>",
+        "in src/a/b.py and /etc/x.d/ or ~/n or C:\\tmp\\q": "in <PATH> and <PATH> or <PATH> or <PATH>",
+        "10.0.0.1 db.internal.net host:8080 fe80::1": "<HOST> <HOST> <HOST> <HOST>",
+        'say "hello you" or `x`': "say <VALUE> or <VALUE>",
+        "12-05-2024 and x123456789": "<NUMBER> and x<NUMBER>",
+        "plain words stay, e.g. a/b or 3.5": "plain words stay, e.g. a/b or 3.5",
+    }
+    df = spark.createDataFrame([(k,) for k in [*cases, None]], "text string")
+    got = [r[0] for r in df.select(masking.redact("text")).collect()]
+    assert got == [*cases.values(), None]
+    long = spark.createDataFrame([("a.b-c/" * 20000,), ("a" * 31 + "." * 50000,), ("/a" * 50000,), ("x@" * 20000,)], "text string")
+    assert long.select(masking.redact("text")).count() == 4 and len(long.select(masking.redact("text").alias("t")).collect()) == 4
+    keep = spark.createDataFrame([("test_a_very_long_name_without_any_digit_in_it password=x1 at src/a.py",)], "text string")
+    assert keep.select(masking.mask_secrets("text")).first()[0] == "test_a_very_long_name_without_any_digit_in_it <TOKEN> at src/a.py"
+    marks = masking.redacted(spark.createDataFrame([("a@b.c, 10.0.0.1 <HOST>",)], "text string")).first().marks
+    assert marks == {"EMAIL": 1, "HOST": 1}
