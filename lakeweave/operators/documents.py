@@ -255,13 +255,18 @@ def relations(df: DataFrame, question: str = "", least_shared: int = 2) -> DataF
     term), QUALIFIES, CONTRADICTS (two). Terms that a cap excludes make no edge at all, by
     definition of distinctive; it also bounds the join.
     """
-    # what the edges need of a chunk is read by every kind of edge: written once, without texts
+    return edges(chunks(df).select("doc_id", "idx", F.col("chunk_id").alias("part_id"), "duplicate_of", "text"), question, least_shared)
+
+
+def edges(parts: DataFrame, question: str = "", least_shared: int = 2) -> DataFrame:
+    """The relations between parts (doc_id, idx, part_id, duplicate_of, text), as of :func:`relations`."""
+    # what the edges need of a part is read by every kind of edge: written once, without texts
     text = F.col("text")
     cues = F.when(text.rlike(fixed.SUPERSESSION), 1).when(text.rlike(fixed.QUALIFIER), 2).when(text.rlike(fixed.NEGATION), 3)
-    c = materialize(chunks(df).select("doc_id", "idx", "chunk_id", "duplicate_of", cues.alias("cued"), (F.length("text") >= 80).alias("long"), F.array_except(X.terms(text, 4), _query(question)).alias("terms")), "chunks")
+    c = materialize(parts.select("doc_id", "idx", "part_id", "duplicate_of", cues.alias("cued"), (F.length("text") >= 80).alias("long"), F.array_except(X.terms(text, 4), _query(question)).alias("terms")), "parts")
     # only documents with several chunks can have relations
     c = c.withColumn("n", F.count("*").over(W.partitionBy("doc_id"))).filter("n > 1")
-    dup = c.filter(F.col("duplicate_of").isNotNull()).alias("a").join(c.select("doc_id", F.col("chunk_id").alias("duplicate_of"), F.col("idx").alias("dst")), ["doc_id", "duplicate_of"]).select("doc_id", F.col("idx").alias("src"), "dst", F.lit("DUPLICATES").alias("type"), F.lit(1.0).alias("confidence"))
+    dup = c.filter(F.col("duplicate_of").isNotNull()).alias("a").join(c.select("doc_id", F.col("part_id").alias("duplicate_of"), F.col("idx").alias("dst")), ["doc_id", "duplicate_of"]).select("doc_id", F.col("idx").alias("src"), "dst", F.lit("DUPLICATES").alias("type"), F.lit(1.0).alias("confidence"))
     cue = (
         F.when(F.col("cued") == 1, F.struct(F.lit("SUPERSEDES").alias("type"), F.lit(1).alias("least"), F.lit(0.75).alias("confidence")))
         .when(F.col("cued") == 2, F.struct(F.lit("QUALIFIES").alias("type"), F.when(F.col("long"), 2).otherwise(1 << 20).alias("least"), F.lit(0.7).alias("confidence")))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeweave.plans import compaction_queries, document_queries, drift_queries, intake_queries, more_queries, nested_queries, relating_queries, rule_queries, stash_queries, transcript_queries
+from lakeweave.plans import block_queries, compaction_queries, document_queries, drift_queries, intake_queries, more_queries, nested_queries, relating_queries, rule_queries, stash_queries, transcript_queries
 
-MODULES = (rule_queries, intake_queries, stash_queries, document_queries, compaction_queries, transcript_queries, relating_queries, more_queries, nested_queries, drift_queries)
+MODULES = (block_queries, rule_queries, intake_queries, stash_queries, document_queries, compaction_queries, transcript_queries, relating_queries, more_queries, nested_queries, drift_queries)
 FLAGSHIP = "optimize_savings"
 
 
