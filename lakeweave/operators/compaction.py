@@ -44,7 +44,7 @@ def restore(edges: DataFrame, dropped: DataFrame, n: int = 8) -> DataFrame:
     rank counts an edge as 1, adds its confidence, 1 for edges other than SUPPORTS and
     DUPLICATES and a half for an edge to a kept chunk; ties go by place; n at most.
     """
-    both = edges.select("doc_id", F.col("src").alias("idx"), F.col("dst").alias("other"), "type", "confidence").unionByName(edges.select("doc_id", F.col("dst").alias("idx"), F.col("src").alias("other"), "type", "confidence"))
+    both = D.both_ways(edges, "src", "dst", "type", "confidence")
     e = both.join(dropped, ["doc_id", "idx"], "left_semi").join(dropped.select("doc_id", F.col("idx").alias("other"), F.lit(True).alias("gone")), ["doc_id", "other"], "left")
     strong = F.col("type").isin("QUALIFIES", "CONTRADICTS", "SUPERSEDES", "DEPENDS_ON")
     s = e.groupBy("doc_id", "idx").agg(F.round(F.sum(1 + F.col("confidence") + strong.cast("int") + F.when(F.col("gone").isNull(), 0.5).otherwise(0.0)), 6).alias("score"), F.count_if(F.col("gone").isNull()).alias("kept_edges"))

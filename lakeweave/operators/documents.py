@@ -267,25 +267,30 @@ def edges(parts: DataFrame, question: str = "", least_shared: int = 2) -> DataFr
     # only documents with several chunks can have relations
     c = c.withColumn("n", F.count("*").over(W.partitionBy("doc_id"))).filter("n > 1")
     dup = c.filter(F.col("duplicate_of").isNotNull()).alias("a").join(c.select("doc_id", F.col("part_id").alias("duplicate_of"), F.col("idx").alias("dst")), ["doc_id", "duplicate_of"]).select("doc_id", F.col("idx").alias("src"), "dst", F.lit("DUPLICATES").alias("type"), F.lit(1.0).alias("confidence"))
-    cue = (
-        F.when(F.col("cued") == 1, F.struct(F.lit("SUPERSEDES").alias("type"), F.lit(1).alias("least"), F.lit(0.75).alias("confidence")))
-        .when(F.col("cued") == 2, F.struct(F.lit("QUALIFIES").alias("type"), F.when(F.col("long"), 2).otherwise(1 << 20).alias("least"), F.lit(0.7).alias("confidence")))
-        .when(F.col("cued") == 3, F.struct(F.lit("CONTRADICTS").alias("type"), F.lit(least_shared).alias("least"), F.lit(0.6).alias("confidence")))
-    )
     post = c.select("doc_id", "idx", "n", F.explode("terms").alias("term"))
     post = post.withColumn("df", F.count("*").over(W.partitionBy("doc_id", "term"))).filter((F.col("df") > 1) & (F.col("df") <= F.least(F.lit(64), F.greatest(F.lit(2), F.floor(F.col("n") / 2)))))
     a, b = post.select("doc_id", "term", F.col("idx").alias("i")), post.select("doc_id", "term", F.col("idx").alias("j"))
     shared = a.join(b, ["doc_id", "term"]).filter("i < j").groupBy("doc_id", "i", "j").agg(F.count("*").alias("shared"))
     supports = shared.filter("shared >= 2").select("doc_id", F.col("j").alias("src"), F.col("i").alias("dst"), F.lit("SUPPORTS").alias("type"), F.lit(0.6).alias("confidence"))
-    both = shared.select("doc_id", F.col("i").alias("idx"), F.col("j").alias("other"), "shared").unionByName(shared.select("doc_id", F.col("j").alias("idx"), F.col("i").alias("other"), "shared"))
-    cued = c.select("doc_id", "idx", cue.alias("cue")).filter("cue is not null").join(both, ["doc_id", "idx"]).filter(F.col("shared") >= F.col("cue.least"))
-    first = cued.groupBy("doc_id", F.col("idx").alias("src"), "cue.type", "cue.confidence").agg(F.min("other").alias("dst")).select("doc_id", "src", "dst", "type", "confidence")
+    both = both_ways(shared, "i", "j", "shared")
+    least = F.when(F.col("cued") == 1, 1).when(F.col("cued") == 3, least_shared).when(F.col("long"), 2)
+    cued = c.filter("cued is not null").select("doc_id", "idx", "cued", least.alias("least")).join(both, ["doc_id", "idx"]).filter(F.col("shared") >= F.col("least"))
+    first = cued.groupBy("doc_id", F.col("idx").alias("src"), "cued").agg(F.min("other").alias("dst"))
+    kinds = (("SUPERSEDES", 0.75), ("QUALIFIES", 0.7), ("CONTRADICTS", 0.6))
+    pick = lambda i: F.element_at(F.array(*[F.lit(k[i]) for k in kinds]), F.col("cued"))
+    first = first.select("doc_id", "src", "dst", pick(0).alias("type"), pick(1).alias("confidence"))
     return dup.unionByName(supports).unionByName(first)
 
 
+def both_ways(pairs: DataFrame, a: str, b: str, *rest: str) -> DataFrame:
+    """(doc_id, idx, other, rest) of every pair from either side, in one pass."""
+    side = lambda x, y: F.struct(F.col(x).alias("idx"), F.col(y).alias("other"))
+    return pairs.select("doc_id", F.explode(F.array(side(a, b), side(b, a))).alias("p"), *rest).select("doc_id", "p.idx", "p.other", *rest)
+
+
 def closure(edges: DataFrame, kept: DataFrame) -> DataFrame:
     """(doc_id, idx, type, confidence): what one hop from the kept chunks (doc_id, idx) pulls in, by its strongest edge."""
-    both = edges.select("doc_id", F.col("src").alias("idx"), F.col("dst").alias("other"), "type", "confidence").unionByName(edges.select("doc_id", F.col("dst").alias("idx"), F.col("src").alias("other"), "type", "confidence"))
+    both = both_ways(edges, "src", "dst", "type", "confidence")
     near = both.join(kept.select("doc_id", F.col("idx").alias("other")), ["doc_id", "other"], "left_semi").join(kept, ["doc_id", "idx"], "left_anti")
     rank = F.row_number().over(W.partitionBy("doc_id", "idx").orderBy(F.desc("confidence"), "type", "other"))
     return near.withColumn("r", rank).filter("r = 1").select("doc_id", "idx", "type", "confidence")
