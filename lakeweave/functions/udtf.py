@@ -25,17 +25,26 @@ class Paragraphs:
         yield from enumerate(paragraphs(text or ""))
 
 
+@udtf(returnType="idx int, char_start int, char_end int, chunk string")
+class Chunks:
+    def eval(self, text: str) -> Iterator[tuple]:
+        from lakeweave.operators.documents import chunk_spans
+
+        for n, (_, _, start, body) in enumerate(chunk_spans(text or "")):
+            yield n, start, start + len(body), body
+
+
 @udtf(returnType="json_path string, member string, kind string")
 class JsonNodes:
     def eval(self, text: str) -> Iterator[tuple]:
         from lakeweave.operators.nested import kind_of, parse_object, walk
 
         root = parse_object(text)
-        for path, name, value in walk(root) if root is not None else ():
-            yield path, name, kind_of(value) or "null"
+        for node in walk(root) if root is not None else ():
+            yield node.path(), node.member, kind_of(node.value) or "null"
 
 
 def register(spark: SparkSession) -> None:
     """Make the table functions known to the session's SQL."""
-    for name, f in (("split_blocks", SplitBlocks), ("paragraphs", Paragraphs), ("json_nodes", JsonNodes)):
+    for name, f in (("split_blocks", SplitBlocks), ("paragraphs", Paragraphs), ("chunks", Chunks), ("json_nodes", JsonNodes)):
         spark.udtf.register(name, f)

@@ -129,7 +129,7 @@ def line_table(df: DataFrame) -> DataFrame:
     return rows.withColumn("char_start", F.coalesce(F.sum(F.length("line") + 1).over(w), F.lit(0)))
 
 
-def _chunk_spans(text: str) -> list[tuple[int, int, int, str]]:
+def chunk_spans(text: str) -> list[tuple[int, int, int, str]]:
     """(first line, last line, first character, text) of the unbroken runs of lines that are not blank."""
     out, at, begin = [], 0, None
     lines = text.split("\n")
@@ -158,7 +158,7 @@ def chunks(df: DataFrame) -> DataFrame:
         rows = []
         for i, t in enumerate(batch.column("text").to_pylist()):
             seen: dict[str, str] = {}
-            for idx, (l0, l1, start, body) in enumerate(_chunk_spans(t)):
+            for idx, (l0, l1, start, body) in enumerate(chunk_spans(t)):
                 end = start + len(body)
                 name = f"chunk_{idx + 1:04d}_" + hashlib.sha256(f"{idx}\0{start}\0{end}\0{body}".encode()).hexdigest()[:12]
                 key = body.strip(" \t\n\x0b\f\r")

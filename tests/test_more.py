@@ -270,7 +270,7 @@ def test_trims():
 def test_kinds_of_passages(spark):
     from lakeweave.functions import text as X
 
-    texts = ["the dosage " + "x " * 120, "```py\nx\n```", '{"a"', "<p>x</p> y", "a | b\n---|---\n1 | 2", "a: 1\nb: 2\nc", "10:00 x\n10:01 y\nz", "import x\ny", "/a/b = 1\nc d\ne f\ng h\n/k = 2", "# Title", "plain words", ""]
+    texts = ["the dosage " + "x " * 120, "```py\nx\n```", '{"a"', "<p>x</p> y", "a | b\n---|---\n1 | 2", "a: 1\nb: 2\nc", "INFO x\nWARN y\nz", "import x\ny", "/a/b = 1\nc d\ne f\ng h\n/k = 2", "# Title", "plain words", ""]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r[0] for r in df.orderBy("i").select(X.content_type(F.col("t"))).collect()]
     assert got == ["high_risk", "code", "json", "xml", "markdown_table", "yaml", "logs", "code", "config", "markdown", "prose", "prose"]
