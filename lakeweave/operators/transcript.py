@@ -19,8 +19,8 @@ NOTE_LEAST = 60
 
 
 def _member(name: str) -> Column:
-    """A text member of the input, null where the input is no JSON object or the member no text."""
-    v = F.try_parse_json("input_json")
+    """A text member of the parsed input ``v``, null where the input is no JSON object or the member no text."""
+    v = F.col("v")
     return F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant")) == "STRING", F.try_variant_get(v, f"$.{name}", "string"))
 
 
@@ -49,11 +49,11 @@ def stream(calls: DataFrame, results: DataFrame) -> DataFrame:
     key is what a later call must share to replace this one: the file of views and edits, the
     command of a shell, else tool and input. whole marks a successful view of a whole file.
     """
-    c = calls_once(calls)
+    # parsed once for all that is asked of it
+    c = calls_once(calls).withColumn("v", F.try_parse_json("input_json"))
     path = F.coalesce("path", _member("file_path"), _member("notebook_path"), _member("path"))
     command = F.coalesce("command", _member("command"), _member("cmd"))
-    v = F.try_parse_json("input_json")
-    partial = reduce(lambda a, b: a | b, [F.try_variant_get(v, f"$.{k}", "variant").isNotNull() for k in ("offset", "limit", "pages")])
+    partial = reduce(lambda a, b: a | b, [F.try_variant_get("v", f"$.{k}", "variant").isNotNull() for k in ("offset", "limit", "pages")])
     c = c.select("session_id", "message_index", "pos", "call_id", X.tool_name(F.col("tool")).alias("tool"), path.alias("path"), command.alias("command"), F.coalesce(partial, F.lit(False)).alias("partial"), F.sha2(F.coalesce("input_json", F.lit("")), 256).alias("input_digest"))
     r = results_last(results).select("session_id", "call_id", "result_id", F.length("text").alias("n_chars"), F.sha2(comparable(F.col("text")), 256).alias("digest"), F.coalesce("is_error", F.lit(False)).alias("is_error"), F.col("text").rlike(fixed.ERROR).alias("looks_failed"), X.token_estimate(F.col("text")).alias("tokens"))
     s = c.join(r, ["session_id", "call_id"], "left")
